@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annotide.llm import langid
 from annotide.llm._common import documents
+from annotide.llm.byte_bpe import decode_ids, encode_documents
 from annotide.llm.mixing import poisson_mix
 from annotide.llm.sharding import shard_documents
+from annotide.llm.token_counts import count_tokens
 
 
 def op1_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +21,23 @@ def op1_lpt_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_cross_parsing_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    got = langid.identify(docs, langid.fit(docs))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    return got.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    got = decode_ids(encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
+    return got.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = poisson_mix(documents(spark, sf_dir))
     return got.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
@@ -37,7 +58,7 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op7_byte_bpe, op10_poisson_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from annotide.llm import langid
 from annotide.llm._common import documents
 from annotide.llm.byte_bpe import decode_ids, encode_documents
+from annotide.llm.fingerprints import fingerprint_documents
 from annotide.llm.mixing import poisson_mix
+from annotide.llm.quality_rules import judge
 from annotide.llm.sharding import shard_documents
 from annotide.llm.token_counts import count_tokens
 
@@ -32,6 +34,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     got = decode_ids(encode_documents(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN), ranks)
@@ -43,6 +53,33 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
 
 
+#: Exact quartiles: the sketches hold every rate as long as no merged cell has more rows than their parameter k.
+OP5_SQL = r"""
+WITH t AS (SELECT *, coalesce(text, '') AS tx, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, regexp_extract_all(tx, '[^\x20\x09-\x0D]+') AS ws FROM t),
+f AS (SELECT doc_id, rid, lang, source, ws, len(ws) AS n_words,
+      length(translate(tx, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '')) AS word_chars,
+      length(tx) - length(translate(tx, '#*$%&|<>', '')) AS n_symbols,
+      length(tx) - length(translate(tx, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS caps,
+      length(tx) - length(replace(tx, '!', '')) AS bangs,
+      list_filter(string_split(tx, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM w),
+win AS (SELECT rid, i, list_aggregate(ws[i:i+7], 'string_agg', ' ') AS g FROM f, LATERAL (SELECT unnest(generate_series(1, len(ws) - 7)) AS i)),
+dup AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS p FROM (SELECT *, count(*) OVER (PARTITION BY rid, g) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, CAST(sum(least(8, i - coalesce(p, i - 8))) AS BIGINT) AS n_repeat_words FROM dup GROUP BY rid),
+b AS (SELECT f.*, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+      n_symbols::DOUBLE / nullif(n_words, 0) AS a1, caps::DOUBLE / nullif(word_chars, 0) AS a2, bangs::DOUBLE / nullif(n_words, 0) AS a3, word_chars::DOUBLE / nullif(n_words, 0) AS a4
+      FROM f LEFT JOIN rep USING (rid)),
+lng AS (SELECT * FROM b WHERE n_words >= 20),
+q AS (SELECT 1 AS lvl, lang, source, count(*) AS n, {q} FROM lng GROUP BY lang, source
+      UNION ALL SELECT 2, lang, NULL, count(*), {q} FROM lng GROUP BY lang UNION ALL SELECT 3, NULL, NULL, count(*), {q} FROM lng),
+c AS (SELECT x.lang, x.source, CASE WHEN x.n >= 200 THEN x.f WHEN y.n >= 200 THEN y.f ELSE z.f END AS f
+      FROM q x JOIN q y ON x.lvl = 1 AND y.lvl = 2 AND x.lang IS NOT DISTINCT FROM y.lang JOIN q z ON z.lvl = 3)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
+       CASE WHEN n_words < 20 OR 100 * n_repeat_words > 30 * n_words THEN false
+            ELSE coalesce(a1 <= f[1] AND a2 <= f[2] AND a3 <= f[3] AND a4 <= f[4], true) END AS kept
+FROM b LEFT JOIN c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source
+""".replace("{q}", "[" + ", ".join(f"quantile_disc({a}, 0.75) + 6.0 * greatest(quantile_disc({a}, 0.75) - quantile_disc({a}, 0.25), {m})" for a, m in (("a1", 0.02), ("a2", 0.02), ("a3", 0.02), ("a4", 1.0))) + "] AS f")
+
 OP10_SQL = """
 WITH c AS (SELECT source, count(*) n, pow(count(*)::DOUBLE, 0.5) w FROM documents GROUP BY source),
 r AS (SELECT source, (SELECT sum(n) FROM c)::DOUBLE * w / (SELECT sum(w) FROM c) / n AS rate FROM c),
@@ -58,8 +95,8 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op7_byte_bpe, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op10_poisson_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_poisson_mix": OP10_SQL}
+    return {"op5_quality_rules": OP5_SQL, "op10_poisson_mix": OP10_SQL}

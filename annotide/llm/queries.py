@@ -13,6 +13,7 @@ from annotide.llm._common import documents
 from annotide.llm.byte_bpe import decode_ids, encode_documents
 from annotide.llm.fingerprints import fingerprint_documents
 from annotide.llm.mixing import poisson_mix
+from annotide.llm.ngram_jaccard import near_duplicates
 from annotide.llm.quality_rules import judge
 from annotide.llm.sharding import shard_documents
 from annotide.llm.token_counts import count_tokens
@@ -34,6 +35,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), width=5, threshold=0.8)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
@@ -95,7 +100,7 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op10_poisson_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -12,6 +12,7 @@ from annotide.llm import langid
 from annotide.llm._common import documents
 from annotide.llm.byte_bpe import decode_ids, encode_documents
 from annotide.llm.fingerprints import fingerprint_documents
+from annotide.llm.line_dedup import dedup_lines
 from annotide.llm.mixing import poisson_mix
 from annotide.llm.ngram_jaccard import near_duplicates
 from annotide.llm.quality_rules import judge
@@ -53,6 +54,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = dedup_lines(documents(spark, sf_dir), threshold=1)
+    return got.select("doc_id", "n_lines", "n_dropped", "drops", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = poisson_mix(documents(spark, sf_dir))
     return got.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
@@ -100,7 +106,7 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op8_segment_line_dedup, op10_poisson_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ from annotide.llm.fingerprints import fingerprint_documents
 from annotide.llm.line_dedup import dedup_lines
 from annotide.llm.mixing import poisson_mix
 from annotide.llm.ngram_jaccard import near_duplicates
+from annotide.llm.pii import find_personal_data
 from annotide.llm.quality_rules import judge
 from annotide.llm.sharding import shard_documents
 from annotide.llm.token_counts import count_tokens
@@ -59,6 +60,10 @@ def op8_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_dropped", "drops", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_bootstrapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = poisson_mix(documents(spark, sf_dir))
     return got.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
@@ -106,7 +111,7 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op8_segment_line_dedup, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op8_segment_line_dedup, op9_bootstrapped_pii, op10_poisson_mix)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,24 +102,26 @@ def encode_long(texts: DataFrame, ranks_path: str, pattern: str, chunk_chars: in
     return parts.mapInArrow(_joined, "k1 long, k2 long, ids binary")
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, chunk_chars: int = 1 << 15, overlap: int = 512) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit numbers) of every row of docs.
+def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, carry: tuple[str, ...] = ("doc_id",), chunk_chars: int = 1 << 15, overlap: int = 512) -> DataFrame:
+    """The carried columns and ids (little-endian unsigned 32-bit numbers) of every row of docs.
 
     Each match of pattern is encoded by the ranks by itself; no special tokens. Null texts are empty ones and give
-    no ids. Texts above chunk_chars are encoded once for all their copies; repeated rows come out each. Other
-    columns are ignored; an empty table gives an empty result. A piece's ids are held by one task, and so are
-    those of a whole text at the end, as its row is.
+    no ids. Texts above chunk_chars are encoded once for all their copies; repeated rows come out each. Columns that
+    are not carried are ignored, whatever their names; carried ones must not be named ids. An empty table gives an
+    empty result. A piece's ids are held by one task, and so are those of a whole text at the end, as its row is.
     """
     store = Store(docs.sparkSession, "bpe")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    kept = [f"c{i}" for i in range(len(carry))]
+    rows = docs.select(*(F.col(c).alias(k) for c, k in zip(carry, kept)), text_or_empty().alias("text"))
+    kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in kept)
     is_long = F.char_length("text") > chunk_chars
-    short = rows.where(~is_long).mapInArrow(_encode_batches(ranks_path, pattern, ["doc_id"]), "doc_id long, ids binary")
+    short = rows.where(~is_long).mapInArrow(_encode_batches(ranks_path, pattern, kept), f"{kinds}, ids binary")
     k1, k2 = hash128(F.col("text"))
-    long_rows = store.put(rows.where(is_long).select("doc_id", k1.alias("k1"), k2.alias("k2"), "text"))
+    long_rows = store.put(rows.where(is_long).select(*kept, k1.alias("k1"), k2.alias("k2"), "text"))
     texts = long_rows.groupBy("k1", "k2").agg(F.first("text").alias("text"))
     long_ids = store.put(encode_long(texts, ranks_path, pattern, chunk_chars, overlap))
-    long = long_rows.select("doc_id", "k1", "k2").join(long_ids, ["k1", "k2"]).select("doc_id", "ids")
-    return short.unionByName(long)
+    long = long_rows.select(*kept, "k1", "k2").join(long_ids, ["k1", "k2"]).select(*kept, "ids")
+    return short.unionByName(long).select(*(F.col(k).alias(c) for c, k in zip(carry, kept)), "ids")
 
 
 def decode_ids(rows: DataFrame, ranks_path: str) -> DataFrame:

@@ -251,7 +251,7 @@ def _exact_links(threshold: float):
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-6) -> DataFrame:
-    """doc_id, class_id and n_links for every row of docs.
+    """doc_id, tid (md5 of the text), class_id and n_links for every row of docs.
 
     Two texts are linked if the Jaccard similarity of their sets of width-word shingles is threshold or more; n_links
     counts the other rows with a linked or equal text, and class_id is the least doc_id of those connected by links.
@@ -292,4 +292,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tol
         F.when(has_words, F.coalesce("class_id", "rep")).alias("class_id"),
         F.when(has_words, F.coalesce("links", F.lit(0)) + F.col("mult") - 1).otherwise(F.lit(0)).cast("long").alias("n_links"),
     )
-    return members.join(store.put(info), "tid").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    return members.join(store.put(info), "tid").select("doc_id", "tid", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8) -> DataFrame:
+    """docs with one row of each class of near-duplicates: the one of least doc_id (of equal ids, of least md5 of the
+    text). Rows without links stay, also repeated ones without words. Columns stay as they are."""
+    store = Store(docs.sparkSession, "kept")
+    linked = store.put(near_duplicates(docs, width, threshold).where("n_links > 0"))
+    kept = linked.groupBy("class_id").agg(F.min(F.struct("doc_id", "tid")).alias("k")).select("k.*").withColumn("stays", F.lit(True))
+    counted = linked.groupBy("doc_id", "tid").agg(F.count("*").alias("n")).withColumnsRenamed({"doc_id": "d", "tid": "t"})
+    verdicts = counted.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left")
+    verdicts = store.put(verdicts.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.coalesce("stays", F.lit(False)).alias("_stays")))
+    tid = F.unhex(F.md5(text_or_empty()))
+    out = docs.withColumn("_tid", tid).join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tid") == F.col("_t")), "left").where(F.coalesce("_stays", F.lit(True)))
+    if verdicts.where("_stays and _n > 1").limit(1).count():  # kept rows that are repeated as they are
+        once = out.where("_n > 1").dropDuplicates(["_d", "_t"])
+        out = out.where(F.coalesce(F.col("_n"), F.lit(1)) == 1).unionByName(once)
+    return out.select(*docs.columns)

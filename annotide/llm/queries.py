@@ -38,7 +38,7 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(documents(spark, sf_dir), width=5, threshold=0.8)
+    return near_duplicates(documents(spark, sf_dir), width=5, threshold=0.8).select("doc_id", "class_id", "n_links")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,8 +110,14 @@ FROM n, LATERAL (SELECT unnest(generate_series(1, n_copies)) AS i) WHERE n_copie
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op8_segment_line_dedup, op9_bootstrapped_pii, op10_poisson_mix)}
+    return {f.__name__: f for f in (op1_lpt_shards, op2_cross_parsing_langid, op3_token_counts, op4_bayesian_jaccard_join, op5_quality_rules, op6_bloom_fingerprints, op7_byte_bpe, op8_segment_line_dedup, op9_bootstrapped_pii, op10_poisson_mix, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

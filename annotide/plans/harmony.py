@@ -81,7 +81,7 @@ def alts_diverse(spark: SparkSession, sf_dir: str) -> DataFrame:
 PROFILES = [(mode, t, pc, prof[(pc - t) % 12]) for mode, prof in (("maj", KS_MAJOR), ("min", KS_MINOR)) for t in range(12) for pc in range(12)]
 
 KEYS_SQL = f"""{NOTES_SQL}, pf AS (SELECT * FROM (VALUES {values_sql(PROFILES)}) v(mode, tonic, pc, w)),
-ms AS (SELECT song_id, midi % 12 AS pc, sum((end_ms - start_ms) * amp)::DOUBLE AS mass FROM n GROUP BY ALL), al AS (SELECT song_id, pc, coalesce(mass, 0) AS mass FROM (SELECT DISTINCT song_id FROM n), (SELECT DISTINCT pc FROM pf) LEFT JOIN ms USING (song_id, pc)),
+ms AS (SELECT song_id, midi % 12 AS pc, sum((end_ms - start_ms) * amp)::DOUBLE AS mass FROM n GROUP BY ALL), al AS (SELECT song_id, pc, coalesce(mass, 0) AS mass FROM (SELECT DISTINCT song_id FROM n) CROSS JOIN (SELECT DISTINCT pc FROM pf) LEFT JOIN ms USING (song_id, pc)),
 co AS (SELECT song_id, mode, CAST(tonic AS INTEGER) AS tonic, round(corr(mass, w), 4) AS corr FROM al JOIN pf USING (pc) GROUP BY ALL),
 kr AS (SELECT *, CAST(row_number() OVER (PARTITION BY song_id ORDER BY corr DESC, mode, tonic) AS INTEGER) AS rank FROM co)"""
 

@@ -60,7 +60,7 @@ def track_segments(n: DataFrame) -> DataFrame:
 
 
 @query(f"""WITH {NOTES_SQL}, {GRID_SQL}, {SEGMENTS_SQL}
-SELECT g.song_id, t, island, track FROM g LEFT JOIN seg ON g.song_id = seg.song_id AND seg_start <= t AND t < seg_end""")
+SELECT g.song_id, t, CAST(island AS BIGINT) AS island, track FROM g LEFT JOIN seg ON g.song_id = seg.song_id AND seg_start <= t AND t < seg_end""")
 def segment_at_left(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir)
     seg = track_segments(n).select("song_id", "island", "track", "seg_start", "seg_end")

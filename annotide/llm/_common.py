@@ -57,6 +57,16 @@ def text_or_empty(c: str = "text") -> Column:
     return F.coalesce(F.col(c), F.lit(""))
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with its columns numbered, so that none clashes with what an operator adds, and the number of each name."""
+    names = {c: f"in_{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
+def own_names(names: dict[str, str]) -> list[Column]:
+    return [F.col(n).alias(c) for c, n in names.items()]
+
+
 def hash128(c: Column) -> tuple[Column, Column]:
     """Two independent 64-bit hashes of a value: equal values are the only ones that agree in both, in practice."""
     return F.xxhash64(c), F.xxhash64(F.lit("second"), c)

@@ -2,8 +2,9 @@
 
 A suffix automaton is built over a bounded sample of labelled text of each language. A text is parsed against
 it greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases for
-its length wins. The automata are completed (a failing step closes the phrase and restarts at the root) and laid
-out as one integer table, so that numpy walks all segments of a batch and all languages in step.
+its length wins. The automata are completed (a failing step closes the phrase and restarts at the root; a character
+that the sample lacks ends the phrase before it, or is one by itself) and laid out as one integer table, so that numpy
+walks all segments of a batch and all languages in step.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ class CrossParser:
         order = np.argsort(-size, kind="stable")
         owner, start, size = owner[order], start[order], size[order]
         state = np.repeat(self.roots[:, None], total, 1)
-        closed = np.ones((n_lang, total), np.int64)  # the phrase that the end closes
+        closed = np.zeros((n_lang, total), np.int64)
         alive = total
         width = self.width
         for i in range(int(size[0])):
@@ -133,6 +134,7 @@ class CrossParser:
             v = self.table[state[:, :alive] * width + c]
             closed[:, :alive] += v & 1
             state[:, :alive] = v >> 1
+        closed += state != self.roots[:, None]  # the phrases that the end closes
         for j in range(n_lang):
             counts[:, j] = np.bincount(owner, closed[j], len(texts))
         return counts, lens

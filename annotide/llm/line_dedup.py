@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotide.llm._blocks import block_pairs, least_labels, pairs_of, whole_groups
-from annotide.llm._common import Store, connected_components, text_or_empty
+from annotide.llm._common import Store, connected_components, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 BINS = 16
@@ -226,11 +226,14 @@ def dedup_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20) -> Dat
     null and have 0 lines. Columns of docs that clash with added names are replaced; an empty table gives an empty
     result.
     """
-    docs = docs.drop("n_lines", "n_dropped", "drops")
+    added = ["n_lines", "n_dropped", "drops"]
+    docs = docs.drop(*added)
     drops = repeated_lines(docs, threshold, min_chars).select(F.col("doc_id").alias("_d"), F.col("dh").alias("_h"), "drops")
-    out = docs.withColumn("_t", F.xxhash64(text_or_empty())).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left").drop("_d", "_h", "_t")
-    lines = F.split("text", "\n")
+    docs, names = plain_names(docs)
+    text = names["text"]
+    out = docs.withColumn("_t", F.xxhash64(text_or_empty(text))).join(drops, F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")
+    lines = F.split(text, "\n")
     keep: Column = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("drops")), lambda i: F.get(F.col("_lines"), i))
-    out = out.withColumn("_lines", lines).withColumn("text", F.when(F.col("drops").isNull(), F.col("text")).otherwise(F.array_join(keep, "\n")))
+    out = out.withColumn("_lines", lines).withColumn(text, F.when(F.col("drops").isNull(), F.col(text)).otherwise(F.array_join(keep, "\n")))
     n_lines = F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(F.size("_lines"))
-    return out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long"), "drops": F.coalesce("drops", F.array().cast("array<int>"))}).drop("_lines")
+    return out.withColumns({"n_lines": n_lines.cast("long"), "n_dropped": F.coalesce(F.size("drops"), F.lit(0)).cast("long"), "drops": F.coalesce("drops", F.array().cast("array<int>"))}).select(*own_names(names), *added)

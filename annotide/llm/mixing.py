@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._common import Store
+from annotide.llm._common import Store, own_names, plain_names
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -56,13 +56,15 @@ def poisson_mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] |
     doc_id is hashed as the word null); texts are not looked at, so null or empty ones are mixed as any other.
     Empty tables give empty results. Columns of docs that clash with the added names are replaced.
     """
-    docs = docs.drop("copy_no", "n_copies", "rate", "shuffle_key", "_cdf", "_u")
+    added = ["copy_no", "n_copies", "rate", "shuffle_key"]
+    docs = docs.drop(*added)
     store = Store(docs.sparkSession, "mix")
     # a row for each source, read back with its true size: planned as a broadcast only while it is small
     rates = store.put(source_rates(docs, alpha, weights, out_rows).select(F.col("source").alias("_source"), "rate", poisson_cdf(F.col("rate")).alias("_cdf")))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    docs, names = plain_names(docs)
+    key = F.coalesce(F.col(names["doc_id"]).cast("string"), F.lit("null"))
     counted = (
-        docs.join(rates, F.col("source").eqNullSafe(F.col("_source")))
+        docs.join(rates, F.col(names["source"]).eqNullSafe(F.col("_source")))
         .withColumn("_u", hash_uniform(F.lit(seed), key))
         .withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
         .drop("_source", "_cdf", "_u")
@@ -71,4 +73,4 @@ def poisson_mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] |
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
     keyed = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), key, F.col("copy_no").cast("string"))))
     # a random partition and a random order within it: uniform over the corpus with a single exchange
-    return keyed.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
+    return keyed.select(*own_names(names), *added).repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")

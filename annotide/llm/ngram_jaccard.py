@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotide.llm._blocks import block_pairs, least_labels, pairs_of, whole_groups
-from annotide.llm._common import Store, connected_components, text_or_empty
+from annotide.llm._common import Store, connected_components, own_names, plain_names, text_or_empty
 from annotide.llm.fingerprints import mix
 
 N_HASHES = 128
@@ -304,9 +304,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8
     counted = linked.groupBy("doc_id", "tid").agg(F.count("*").alias("n")).withColumnsRenamed({"doc_id": "d", "tid": "t"})
     verdicts = counted.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("tid")), "left")
     verdicts = store.put(verdicts.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("n").alias("_n"), F.coalesce("stays", F.lit(False)).alias("_stays")))
-    tid = F.unhex(F.md5(text_or_empty()))
-    out = docs.withColumn("_tid", tid).join(verdicts, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_tid") == F.col("_t")), "left").where(F.coalesce("_stays", F.lit(True)))
+    docs, names = plain_names(docs)
+    tid = F.unhex(F.md5(text_or_empty(names["text"])))
+    out = docs.withColumn("_tid", tid).join(verdicts, F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_tid") == F.col("_t")), "left").where(F.coalesce("_stays", F.lit(True)))
     if verdicts.where("_stays and _n > 1").limit(1).count():  # kept rows that are repeated as they are
         once = out.where("_n > 1").dropDuplicates(["_d", "_t"])
         out = out.where(F.coalesce(F.col("_n"), F.lit(1)) == 1).unionByName(once)
-    return out.select(*docs.columns)
+    return out.select(*own_names(names))

@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._common import Store, text_or_empty
+from annotide.llm._common import Store, own_names, plain_names, text_or_empty
 
 #: Word separators of the contract: space and the ASCII controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -61,10 +61,9 @@ def repeated_windows(words: Column, width: int = 8) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(words, of_words))
 
 
-def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
+def with_features(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
     """docs with _words, n_words, word_chars, n_symbols, n_dup_lines, (n_repeat_words,) and the rates."""
-    text = text_or_empty()
-    out = docs.withColumn("_t", text).withColumn("_words", words_of(F.col("_t"))).withColumn("n_words", F.size("_words").cast("long"))
+    out = docs.withColumn("_t", text_or_empty(text)).withColumn("_words", words_of(F.col("_t"))).withColumn("n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     out = out.withColumns(
         {
@@ -75,7 +74,7 @@ def with_features(docs: DataFrame, repeats: bool = True) -> DataFrame:
         }
     )
     n, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
-    out = out.withColumns({"symbol_rate": F.col("n_symbols") / n, "caps_rate": F.col("_caps") / chars, "bang_rate": F.col("_bangs") / n, "word_length": chars / n})
+    out = out.withColumns({"symbol_rate": F.try_divide(F.col("n_symbols"), n), "caps_rate": F.try_divide(F.col("_caps"), chars), "bang_rate": F.try_divide(F.col("_bangs"), n), "word_length": F.try_divide(chars, n)})
     if repeats:
         out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
         out = out.withColumn("n_repeat_words", repeated_windows(F.col("_words")).cast("long"))
@@ -120,11 +119,12 @@ def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, mi
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*added)
     cut = fences(docs, min_words, min_rows, reach, k)
-    rows = with_features(docs)
+    docs, names = plain_names(docs)
+    rows = with_features(docs, names["text"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = rows.withColumn("base_failed", failed)
-    out = rows.join(cut, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
+    out = rows.join(cut, F.col(names["lang"]).eqNullSafe(F.col("f_lang")) & F.col(names["source"]).eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)
     for r in RATES:
         inside = inside & (F.col(r) <= F.col(f"max_{r}"))
-    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))).select(*docs.columns, *added)
+    return out.withColumn("kept", F.when(F.col("base_failed"), F.lit(False)).otherwise(F.coalesce(inside, F.lit(True)))).select(*own_names(names), *added)

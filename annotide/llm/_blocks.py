@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows:
             c = t.column(k).combine_chunks()
             if isinstance(c, pa.ChunkedArray):
                 c = pa.concat_arrays(c.chunks)
-            change[1:] |= np.asarray(pa.compute.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
+            change[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
         return np.append(np.nonzero(change)[0], t.num_rows)
 
     rows = 0

@@ -126,14 +126,15 @@ def greedy_match(left: DataFrame, right: DataFrame, by: list[str], t: str, key:
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({c: [] for c in (*by, "left_id", "right_id", "dt")})
-        a, b = (x.sort_values([t, key]).reset_index(drop=True) for x in (a, b))
-        found = greedy_pairs(a[t].to_numpy(), b[t].to_numpy(), tolerance)
+        a, b = (x.sort_values(["t", "key"]).reset_index(drop=True) for x in (a, b))
+        found = greedy_pairs(a["t"].to_numpy(), b["t"].to_numpy(), tolerance)
         x, y = a.iloc[[i for i, _ in found]].reset_index(drop=True), b.iloc[[j for _, j in found]].reset_index(drop=True)
-        return pd.DataFrame({**{k: x[k] for k in by}, "left_id": x[key], "right_id": y[key], "dt": y[t] - x[t]})
+        return pd.DataFrame({**{k: x[k] for k in by}, "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
 
     schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in by) + f", left_id {left.schema[key].dataType.simpleString()}, right_id {right.schema[key].dataType.simpleString()}, dt long"
-    cols = [*by, t, key]
-    return left.select(*cols).groupBy(*by).cogroup(right.select(*cols).groupBy(*by)).applyInPandas(run, schema)
+    # fresh columns: sides that stem from one table would otherwise share theirs
+    a, b = (df.select(*(F.col(c) for c in by), F.col(t).cast("long").alias("t"), F.col(key).alias("key")) for df in (left, right))
+    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, schema)
 
 
 def pitch_runs(values: np.ndarray, most: float, window: int) -> np.ndarray:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annotide.plans import harmony, joins, scalars, sequences, stats, windows  # noqa: F401  they register their queries
+from annotide.plans import harmony, joins, scalars, sequences, stats, streams, windows  # noqa: F401  they register their queries
 from annotide.plans.registry import QUERIES, SQL, Query
 
 

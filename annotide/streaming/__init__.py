@@ -1 +1 @@
-
+"""Structured Streaming forms of windowed and anchored counts."""

@@ -72,6 +72,19 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit("second"), c)
 
 
+def keep_possible(store: Store, rows: DataFrame, keys: DataFrame, key: str, n_words: int = 1 << 20) -> DataFrame:
+    """rows whose key may be among the keys; none that is goes, and most others do while the keys are fewer than the bits.
+
+    The keys are hashed to single bits of at most n_words 64-bit words. This table, and so the broadcast, is bounded
+    by n_words at any corpus size; with more keys than bits it only lets more rows pass to the exact join that follows.
+    """
+    h = F.xxhash64(key)
+    word, bit = h.bitwiseAND(F.lit(n_words - 1)), F.shiftright(h, 32).bitwiseAND(F.lit(63)).cast("int")
+    bits = store.put(keys.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits")))
+    hit = (F.col("_at") == F.col("_word")) & (F.expr("shiftright(_bits, _of) & 1L") == 1)
+    return rows.withColumns({"_at": word, "_of": bit}).join(F.broadcast(bits), hit, "left_semi").drop("_at", "_of")
+
+
 def connected_components(store: Store, edges: DataFrame) -> DataFrame:
     """Class of every node of an undirected graph.
 

@@ -18,11 +18,12 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annotide.llm._blocks import block_pairs, least_labels, pairs_of, whole_groups
-from annotide.llm._common import Store, connected_components, own_names, plain_names, text_or_empty
+from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 from annotide.llm.fingerprints import mix
 
 N_HASHES = 128
@@ -159,7 +160,7 @@ def _signatures(width: int):
 
 def portions(texts: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about so many bytes of text."""
-    sizes = np.cumsum(pa.compute.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
+    sizes = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False))
     lo = 0
     while lo < len(sizes):
         base = sizes[lo - 1] if lo else 0
@@ -275,7 +276,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tol
     sizes = clusters.groupBy("root").agg(F.count("*").alias("c"))
     placed = store.put(clusters.join(sizes, "root").join(nodes.select("tid", "rep", "mult"), F.col("node") == F.col("tid")).select("tid", "rep", "mult", "root", "c"))
     p = placed.withColumnRenamed("tid", "p_tid")
-    fetched = rows.join(p, (rows.tid == p.p_tid) & rows.doc_id.eqNullSafe(p.rep)).groupBy("tid", "rep").agg(*(F.first(c).alias(c) for c in ("mult", "root", "c", "text")))
+    # most texts are in no cluster and need not be dealt out
+    fetched = keep_possible(store, rows, placed, "tid").join(p, (rows.tid == p.p_tid) & rows.doc_id.eqNullSafe(p.rep)).groupBy("tid", "rep").agg(*(F.first(c).alias(c) for c in ("mult", "root", "c", "text")))
     sets = fetched.select("tid", "mult", "root", "c", "text").mapInArrow(_shingle_sets(width), "tid binary, mult long, root binary, c long, sh binary")
     dealt = block_pairs(sets, "root", F.col("c"), "tid", PER_BLOCK).select("root", "lo", "hi", "own", "tid", "mult", "sh")
     exact = store.put(dealt.mapInArrow(_exact_links(threshold), "tid binary, links long, to binary"))

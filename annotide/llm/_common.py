@@ -72,7 +72,7 @@ def hash128(c: Column) -> tuple[Column, Column]:
     return F.xxhash64(c), F.xxhash64(F.lit("second"), c)
 
 
-def keep_possible(store: Store, rows: DataFrame, keys: DataFrame, key: str, n_words: int = 1 << 20) -> DataFrame:
+def keep_possible(store: Store, rows: DataFrame, keys: DataFrame, key: str, n_words: int = 1 << 18) -> DataFrame:
     """rows whose key may be among the keys; none that is goes, and most others do while the keys are fewer than the bits.
 
     The keys are hashed to single bits of at most n_words 64-bit words. This table, and so the broadcast, is bounded

@@ -16,9 +16,9 @@ def state_notes(frames: DataFrame, by: list[str], i: str, onset: Column, offset:
     then, if the part before it is longer than the part after it, or at the quiet frame; after cap frames or at the
     last frame in any case.
     """
-    w = Window.partitionBy(*by).orderBy(i)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    nxt = lambda flag: F.first(F.when(flag, F.col(i)), ignorenulls=True).over(after)
+    # the rows that follow, as a running frame over the reverse order: one pass, where an open end would take one for each row
+    after = Window.partitionBy(*by).orderBy(F.col(i).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nxt = lambda flag: F.last(F.when(flag, F.col(i)), ignorenulls=True).over(after)
     f = frames.select(*by, F.col(i).alias("bgn"), onset.alias("_on"), nxt(onset).alias("_nb"), nxt(quiet).alias("_d"), nxt(offset).alias("_o"), F.max(i).over(Window.partitionBy(*by)).alias("_last"))
     f = f.where("_on")
     stop = F.least(F.col("bgn") + cap, F.col("_last"))
@@ -120,21 +120,26 @@ def greedy_pairs(a: np.ndarray, b: np.ndarray, tolerance: int) -> list[tuple[int
     return out
 
 
-def greedy_match(left: DataFrame, right: DataFrame, by: list[str], t: str, key: str, tolerance: int) -> DataFrame:
-    """by, left_id, right_id, dt of a one-to-one match within the tolerance; both sides have by, t and key."""
+def greedy_match(left: DataFrame, right: DataFrame, by: str, within: str, t: str, key: str, tolerance: int) -> DataFrame:
+    """by, within, left_id, right_id, dt of a one-to-one match of rows with equal `within` (a small integer) within the
+    tolerance; both sides have by, within, t and key. A group is all that `by` holds on both sides."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in (*by, "left_id", "right_id", "dt")})
-        a, b = (x.sort_values(["t", "key"]).reset_index(drop=True) for x in (a, b))
-        found = greedy_pairs(a["t"].to_numpy(), b["t"].to_numpy(), tolerance)
+            return pd.DataFrame({c: [] for c in ("by", "within", "left_id", "right_id", "dt")})
+        a, b = (x.sort_values(["within", "t", "key"]).reset_index(drop=True) for x in (a, b))
+        # values of within lie so far apart on one line that they never meet
+        low, high = min(a["t"].min(), b["t"].min()), max(a["t"].max(), b["t"].max())
+        at = [(x["t"] - low + x["within"] * (high - low + tolerance + 1)).to_numpy() for x in (a, b)]
+        found = greedy_pairs(*at, tolerance)
         x, y = a.iloc[[i for i, _ in found]].reset_index(drop=True), b.iloc[[j for _, j in found]].reset_index(drop=True)
-        return pd.DataFrame({**{k: x[k] for k in by}, "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
+        return pd.DataFrame({"by": x["by"], "within": x["within"], "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
 
-    schema = ", ".join(f"{k} {left.schema[k].dataType.simpleString()}" for k in by) + f", left_id {left.schema[key].dataType.simpleString()}, right_id {right.schema[key].dataType.simpleString()}, dt long"
     # fresh columns: sides that stem from one table would otherwise share theirs
-    a, b = (df.select(*(F.col(c) for c in by), F.col(t).cast("long").alias("t"), F.col(key).alias("key")) for df in (left, right))
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, schema)
+    cols = [F.col(by).alias("by"), F.col(within).cast("long").alias("within"), F.col(t).cast("long").alias("t"), F.col(key).cast("long").alias("key")]
+    a, b = left.select(*cols), right.select(*cols)
+    got = a.groupBy("by").cogroup(b.groupBy("by")).applyInPandas(run, f"by {left.schema[by].dataType.simpleString()}, within long, left_id long, right_id long, dt long")
+    return got.withColumnsRenamed({"by": by, "within": within})
 
 
 def pitch_runs(values: np.ndarray, most: float, window: int) -> np.ndarray:

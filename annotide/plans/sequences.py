@@ -48,7 +48,7 @@ def absorb_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clicks matched one to one, in order, to the nearest free view of the same pitch class within 10 s."""
     n = notes(spark, sf_dir).withColumn("pc", F.pmod("midi", F.lit(12)))
-    return greedy_match(n.where("track = 'click'"), n.where("track = 'view'"), ["song_id", "pc"], "start_ms", "note_id", 10_000)
+    return greedy_match(n.where("track = 'click'"), n.where("track = 'view'"), "song_id", "pc", "start_ms", "note_id", 10_000)
 
 
 @query()

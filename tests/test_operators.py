@@ -162,3 +162,10 @@ def test_state_notes(spark):
 
 def test_pitch_runs():
     assert stateful.pitch_runs(np.array([60, 60.2, 60.1, 62, 62.1, 60]), 0.6, 16).tolist() == [0, 0, 0, 1, 1, 2]
+
+
+def test_greedy_match_keeps_values_apart(spark):
+    a = spark.createDataFrame([(1, 0, 100, 1), (1, 1, 100, 2), (2, 0, 5, 3), (3, 0, 5, 4)], "song long, pc int, t long, id long")
+    b = spark.createDataFrame([(1, 0, 104, 11), (1, 1, 95, 12), (1, 1, 103, 13), (2, 1, 5, 14)], "song long, pc int, t long, id long")
+    got = stateful.greedy_match(a, b, "song", "pc", "t", "id", 5)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1, 11, 4), (1, 1, 2, 13, 3)]

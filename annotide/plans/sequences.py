@@ -9,7 +9,7 @@ from annotide.operators.stateful import absorb_short, greedy_match, split_by_pit
 from annotide.plans.registry import query
 from annotide.plans.windows import SEG_SQL, grid_masks, label_segments
 from annotide.sources.notes import NOTES_SQL, notes
-from annotide.sources.sinks import hud_projects, low_confidence
+from annotide.sources.sinks import song_projects, low_confidence
 
 FRAMES_SQL = f"""{NOTES_SQL}, e AS (SELECT song_id, unnest(generate_series(0, 11)) AS pc, last FROM (SELECT song_id, max(end_ms) // 1000 AS last FROM n GROUP BY song_id)),
 d AS (SELECT song_id, CAST(pc AS INTEGER) AS pc, unnest(generate_series(0, last)) AS i FROM e),
@@ -62,7 +62,7 @@ def pitch_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT song_id, count(*) AS rows, min(start_ms) AS first, string_agg(label, '|' ORDER BY start_ms) AS labels FROM s WHERE label <> 'N' GROUP BY song_id""")
 def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The timeline that a song's project file holds, in order."""
-    p = hud_projects(label_segments(notes(spark, sf_dir)).withColumn("conf", F.lit(1.0)), bpm=120)
+    p = song_projects(label_segments(notes(spark, sf_dir)).withColumn("conf", F.lit(1.0)), bpm=120)
     rows = F.from_json(F.get_json_object("project", "$.timeline"), "array<struct<time:double,chord:string>>")
     p = p.select("song_id", rows.alias("r"))
     return p.select("song_id", F.size("r").cast("long").alias("rows"), F.round(F.element_at("r", 1)["time"] * 1000).cast("long").alias("first"), F.array_join(F.transform("r", lambda x: x["chord"]), "|").alias("labels"))

@@ -14,7 +14,7 @@ def ordered(fields: list[Column], order: str) -> Column:
     return F.array_sort(F.collect_list(F.struct(F.col(order).alias("_o"), *fields)))
 
 
-def hud_projects(segments: DataFrame, bpm: float, by: str = "song_id", unsure: float = 0.45) -> DataFrame:
+def song_projects(segments: DataFrame, bpm: float, by: str = "song_id", unsure: float = 0.45) -> DataFrame:
     """by, project: one JSON text for each song. Silence (N) and rows before -50 ms go, times are clamped at 0, and
     chords of low confidence get a question mark. segments: by, start_ms, label, conf."""
     s = segments.where((F.col("label") != "N") & (F.col("start_ms") >= -50))

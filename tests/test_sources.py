@@ -37,7 +37,7 @@ def test_running_status_and_variable_lengths():
 
 def test_projects_and_reports(spark):
     s = spark.createDataFrame([(1, 2000, "F", 0.4), (1, -20, "C", 0.9), (1, -90, "G", 0.9), (1, 3000, "N", 0.1)], "song_id long, start_ms long, label string, conf double")
-    p = json.loads(sinks.hud_projects(s, 120).first().project)
+    p = json.loads(sinks.song_projects(s, 120).first().project)
     assert p["timeline"] == [{"time": 0.0, "chord": "C"}, {"time": 2.0, "chord": "F?"}] and p["version"] == 5
     text = sinks.reports(s).first().report
     assert text.index("| 00:03 | N | 0.10 |") < text.index("| 00:02 | F | 0.40 |") and text.count("| F |") == 2

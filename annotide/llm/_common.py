@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,9 +21,12 @@ def store_dir(spark: SparkSession) -> str:
         return shared
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="annotide-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return own_dir()
+
+
+@lru_cache(maxsize=1)
+def own_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="annotide-")
 
 
 class Store:

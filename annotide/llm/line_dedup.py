@@ -9,7 +9,6 @@ a class; its first line in the order of documents stays and the others go.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np

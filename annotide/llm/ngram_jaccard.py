@@ -126,10 +126,10 @@ def least_matches(threshold: float, tolerance: float) -> tuple[int, ...]:
     return tuple(out)
 
 
-def surviving(sig: np.ndarray, x: np.ndarray, y: np.ndarray, band: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
-    """Numbers of the pairs x, y that this band is the first to bring together and that are not pruned."""
-    bands = sig.view(np.uint32)
-    live = np.nonzero((bands[x] == bands[y]).argmax(1) == band)[0]
+def surviving(sig: np.ndarray, x: np.ndarray, y: np.ndarray, least: tuple[int, ...]) -> np.ndarray:
+    """Numbers of the pairs x, y that are not pruned. A pair that meets in several bands is looked at in each, with
+    the same outcome: the few bits here can't tell in which band it met first."""
+    live = np.arange(len(x))
     matches = np.zeros(len(live), np.int32)
     for k, m in enumerate(least):
         at = slice(k * STEP, (k + 1) * STEP)
@@ -173,11 +173,11 @@ def _candidate_links(threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_matches(threshold, tolerance)
         for t, at in whole_groups(batches, ["key", "lo", "hi"]):
-            lo, hi, own, band = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "band"))
+            lo, hi, own = (t.column(c).to_numpy() for c in ("lo", "hi", "own"))
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
             xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in pairs_of(at, lo, hi, own):
-                live = surviving(sig, x, y, band[x], least)
+                live = surviving(sig, x, y, least)
                 xs.append(x[live])
                 ys.append(y[live])
             label = least_labels(t.num_rows, np.concatenate(xs), np.concatenate(ys))
@@ -266,10 +266,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tol
     signed = rows.mapInArrow(_signatures(width), "doc_id long, tid binary, sig binary, bands array<long>")
     nodes = store.put(signed.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
 
-    banded = nodes.select("tid", F.posexplode("bands").alias("band", "key"))
+    banded = nodes.select("tid", F.explode("bands").alias("key"))
     met = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     meeting = banded.join(met, "key").join(nodes.select("tid", "sig"), "tid")
-    candidates = block_pairs(meeting, "key", F.col("m"), "tid", PER_BLOCK).select("key", "lo", "hi", "own", "band", "tid", "sig")
+    candidates = block_pairs(meeting, "key", F.col("m"), "tid", PER_BLOCK).select("key", "lo", "hi", "own", "tid", "sig")
     links = candidates.mapInArrow(_candidate_links(threshold, tolerance), "a binary, b binary")
     clusters = connected_components(store, links)
 

@@ -170,6 +170,24 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert by_id(ngram_jaccard.near_duplicates(df), "doc_id", "class_id", "n_links") == sorted(brute.near_duplicates(given, 5, 4, 5), key=str)
 
 
+def test_groups_of_two_keep_their_link(spark):
+    rng = np.random.default_rng(13)
+    given, want = [], {}
+    for g in range(20_000):
+        words = [f"{g}x{k}" for k in range(int(rng.integers(50, 100)))]
+        other = list(words)
+        for k in rng.choice(len(words), int(rng.integers(1, 3)), replace=False):
+            other[k] = "new"
+        a, b = brute.shingle_set(" ".join(words), 5), brute.shingle_set(" ".join(other), 5)
+        linked = 5 * len(a & b) >= 4 * len(a | b)
+        given += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(other))]
+        want |= {2 * g: (2 * g, int(linked)), 2 * g + 1: (2 * g + (not linked), int(linked))}
+    assert sum(n for _, n in want.values()) > 20_000
+    df = spark.createDataFrame(given, "doc_id long, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_jaccard.near_duplicates(df).collect()}
+    assert {d: (got.get(d), w) for d, w in want.items() if got.get(d) != w} == {}
+
+
 def test_pruning_keeps_what_may_reach_the_threshold():
     least = ngram_jaccard.least_matches(0.8, 1e-6)
     assert list(least) == sorted(least) and 0 < least[-1] < ngram_jaccard.N_HASHES * 0.8

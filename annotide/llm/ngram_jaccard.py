@@ -66,7 +66,7 @@ def shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
     first[1:] = owner[1:] != owner[:-1]
     full = np.zeros(n, bool)
     full[: max(n - width + 1, 0)] = owner[: max(n - width + 1, 0)] == owner[width - 1 :]
-    for j in range(width):
+    for j in range(min(width, n)):
         part = word[j:] * _Q[j]
         same = owner[j:] == owner[: n - j]
         total[: n - j] += np.where(same, part, np.uint64(0))

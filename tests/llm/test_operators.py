@@ -170,6 +170,15 @@ def test_near_duplicates_in_several_blocks(spark, monkeypatch):
     assert by_id(ngram_jaccard.near_duplicates(df), "doc_id", "class_id", "n_links") == sorted(brute.near_duplicates(given, 5, 4, 5), key=str)
 
 
+def test_single_texts_of_few_words(spark):
+    texts = [" ".join("abcdefg"[:n]) for n in range(7)]
+    for width in (1, 3, 5):
+        assert [len(set(ngram_jaccard.shingles([t.encode()], width)[1].tolist())) for t in texts] == [len(brute.shingle_set(t, width)) for t in texts]
+    given = [(i, t) for i, t in enumerate(texts + texts)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(given, len(given)), "doc_id long, text string")
+    assert by_id(ngram_jaccard.near_duplicates(df), "doc_id", "class_id", "n_links") == sorted(brute.near_duplicates(given, 5, 4, 5), key=str)
+
+
 def test_groups_of_two_keep_their_link(spark):
     rng = np.random.default_rng(13)
     given, want = [], {}

@@ -34,12 +34,18 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(parts)]
 
 
-def segment_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
+def edits(length, threshold: int, percent: int):
+    """Most edits between two lines, the shorter of that length: the threshold, or that share of the length if less."""
+    return np.minimum(length * percent // 100, threshold)
+
+
+def segment_keys(line: str, threshold: int, percent: int = 100) -> tuple[list[int], list[int]]:
     """Hashes under which a line is indexed, and those it probes besides.
 
     Of a shorter line's segment i at start p, substrings from p + s are probed with s from -i to i and also from
     d - (threshold - i) to d + threshold - i, where d is the difference in length: another shift would need more
-    edits on one side than the other segments leave.
+    edits on one side than the other segments leave. The edits allowed, and so the segments, are those of the shorter
+    line.
     """
     n = len(line)
 
@@ -48,10 +54,11 @@ def segment_keys(line: str, threshold: int) -> tuple[list[int], list[int]]:
 
     index, probe = [], []
     for d in range(threshold + 1):
-        if d and n - d < threshold + 1:
+        most = threshold if percent >= 100 else int(edits(n - d, threshold, percent))
+        if d and n - d < most + 1 or d > most or not most:
             break
-        for i, (p, size) in enumerate(segments(n - d, threshold)):
-            for s in range(max(-i, d - (threshold - i)), min(i, d + threshold - i) + 1):
+        for i, (p, size) in enumerate(segments(n - d, most)):
+            for s in range(max(-i, d - (most - i)), min(i, d + most - i) + 1):
                 if 0 <= p + s <= n - size:
                     (index if d == 0 and s == 0 else probe).append(key(n - d, i, line[p + s : p + s + size]))
     return index, probe
@@ -86,11 +93,12 @@ def banded_distance(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray,
     return dist
 
 
-def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int, cells: int = 1 << 21) -> np.ndarray:
-    """Whether lines x[i] and y[i] are within the threshold, a portion of like lengths at a time."""
+def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int, percent: int = 100, cells: int = 1 << 21) -> np.ndarray:
+    """Whether lines x[i] and y[i] are within the edits allowed, a portion of like lengths at a time."""
     size = np.array([len(s) for s in lines])
     out = np.zeros(len(x), bool)
-    near = np.nonzero(np.abs(size[x] - size[y]) <= threshold)[0]
+    most = edits(np.minimum(size[x], size[y]), threshold, percent) if percent < 100 else np.full(len(x), threshold)
+    near = np.nonzero(np.abs(size[x] - size[y]) <= most)[0]
     near = near[np.argsort(size[x[near]], kind="stable")]
     at = 0
     while at < len(near):
@@ -107,7 +115,7 @@ def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int
         for i in range(len(part)):
             ma[i, : n[i]] = a[i]
             mb[i, : m[i]] = b[i]
-        out[part] = banded_distance(ma, mb, n, m, threshold) <= threshold
+        out[part] = banded_distance(ma, mb, n, m, threshold) <= most[part]
         at = z
     return out
 
@@ -124,11 +132,11 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return split.withColumn("line", F.trim("line", F.lit(BLANKS))).where(F.char_length("line") >= min_chars).withColumn("lid", F.unhex(F.md5("line")))
 
 
-def _keyed(threshold: int):
+def _keyed(threshold: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column("line").to_pylist()
-            found = [segment_keys(t, threshold) for t in texts]
+            found = [segment_keys(t, threshold, percent) for t in texts]
             hist = []
             for t in texts:
                 cp = code_points(t).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -139,18 +147,19 @@ def _keyed(threshold: int):
     return run
 
 
-def _candidate_links(threshold: int):
+def _candidate_links(threshold: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["key", "lo", "hi"]):
             lo, hi, own, probe, size = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "probe", "n_chars"))
             hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS)
             xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x, y in pairs_of(at, lo, hi, own):
-                go = ((probe[x] == 0) | (probe[y] == 0)) & (np.abs(size[x] - size[y]) <= threshold)
-                x, y = x[go], y[go]
+                most = edits(np.minimum(size[x], size[y]).astype(np.int64), threshold, percent) if percent < 100 else np.full(len(x), threshold)
+                go = ((probe[x] == 0) | (probe[y] == 0)) & (np.abs(size[x] - size[y]) <= most)
+                x, y, most = x[go], y[go], most[go]
                 # an edit changes two counts by one at most (the counts are kept modulo 256)
                 apart = np.abs((hist[x] - hist[y]).view(np.int8).astype(np.int16)).sum(1)
-                go = apart <= 2 * threshold
+                go = apart <= 2 * most
                 xs.append(x[go])
                 ys.append(y[go])
             label = least_labels(t.num_rows, np.concatenate(xs), np.concatenate(ys))
@@ -161,7 +170,7 @@ def _candidate_links(threshold: int):
     return run
 
 
-def _exact_links(threshold: int):
+def _exact_links(threshold: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, ["root", "lo", "hi"], 512):
             lo, hi, own = (t.column(c).to_numpy() for c in ("lo", "hi", "own"))
@@ -170,7 +179,7 @@ def _exact_links(threshold: int):
             for x, y in pairs_of(at, lo, hi, own, 1 << 12):
                 open_ = label[x] != label[y]  # those already joined need no more links
                 x, y = x[open_], y[open_]
-                ok = within(lines, x, y, threshold)
+                ok = within(lines, x, y, threshold, percent)
                 label = least_labels(t.num_rows, x[ok], y[ok], label)
             moved = np.nonzero(label != np.arange(t.num_rows))[0]
             lid = t.column("lid")
@@ -179,25 +188,25 @@ def _exact_links(threshold: int):
     return run
 
 
-def line_classes(store: Store, lines: DataFrame, threshold: int) -> DataFrame:
+def line_classes(store: Store, lines: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100) -> DataFrame:
     """lid, first (place of the first line of its class) of every line whose class holds more than one line."""
     place = F.struct("doc_id", "dh", "line_no")
     known = store.put(lines.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")))
     if threshold:
-        every = lines.select("lid", "line").mapInArrow(_keyed(threshold), "lid binary, n_chars int, index array<long>, probe array<long>, hist binary")
+        every = lines.where(F.char_length("line") >= edit_chars).select("lid", "line").mapInArrow(_keyed(threshold, percent), "lid binary, n_chars int, index array<long>, probe array<long>, hist binary")
         keyed = store.put(every.groupBy("lid").agg(*(F.first(c).alias(c) for c in ("n_chars", "index", "probe", "hist"))))
         keys = keyed.select("lid", F.explode("index").alias("key"), F.lit(0).alias("probe")).unionByName(keyed.select("lid", F.explode("probe").alias("key"), F.lit(1).alias("probe")))
         met = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("probe").alias("p")).where("m > 1 and p = 0").select("key", "m")
         meeting = keys.join(met, "key").join(keyed.select("lid", "n_chars", "hist"), "lid")
         dealt = block_pairs(meeting, "key", F.col("m"), "lid", PER_BLOCK).select("key", "lo", "hi", "own", "probe", "n_chars", "hist", "lid")
-        clusters = connected_components(store, dealt.mapInArrow(_candidate_links(threshold), "a binary, b binary"))
+        clusters = connected_components(store, dealt.mapInArrow(_candidate_links(threshold, percent), "a binary, b binary"))
         sizes = clusters.groupBy("root").agg(F.count("*").alias("c"))
         placed = store.put(clusters.join(sizes, "root").join(known, F.col("node") == F.col("lid")).select("lid", "first", "root", "c"))
         p = placed.select(F.col("lid").alias("p_lid"), "first.*", "root", "c").withColumnsRenamed({"doc_id": "p_doc", "dh": "p_dh", "line_no": "p_line"})
         at_first = (F.col("lid") == F.col("p_lid")) & F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("dh") == F.col("p_dh")) & (F.col("line_no") == F.col("p_line"))
         fetched = lines.join(p, at_first).groupBy("lid", "root", "c").agg(F.first("line").alias("line"))
         exact = block_pairs(fetched, "root", F.col("c"), "lid", PER_BLOCK).select("root", "lo", "hi", "own", "lid", "line")
-        classes = connected_components(store, exact.mapInArrow(_exact_links(threshold), "a binary, b binary"))
+        classes = connected_components(store, exact.mapInArrow(_exact_links(threshold, percent), "a binary, b binary"))
         whole = classes.join(known, F.col("node") == F.col("lid")).groupBy("root").agg(F.min("first").alias("first"))
         linked = classes.join(whole, "root").select(F.col("node").alias("lid"), "first")
         alone = known.where("n > 1").join(linked.select("lid"), "lid", "left_anti").select("lid", "first")
@@ -205,29 +214,30 @@ def line_classes(store: Store, lines: DataFrame, threshold: int) -> DataFrame:
     return store.put(known.where("n > 1").select("lid", "first"))
 
 
-def repeated_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edit_chars: int = 0, percent: int = 100) -> DataFrame:
     """doc_id, dh, drops (line numbers from 0) of the rows that have lines to drop; dh is xxhash64 of the text."""
     store = Store(docs.sparkSession, "lines")
     lines = lines_of(docs, min_chars)
-    classes = line_classes(store, lines, threshold)
+    classes = line_classes(store, lines, threshold, edit_chars, percent)
     met = lines.select("doc_id", "dh", "line_no", "lid").join(classes, "lid")
     later = met.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dh") == F.col("dh")) & (F.col("first.line_no") == F.col("line_no"))))
     return store.put(later.groupBy("doc_id", "dh").agg(F.array_sort(F.collect_set("line_no")).alias("drops")))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edit_chars: int = 0, percent: int = 100) -> DataFrame:
     """docs with the text left after dropping repeated lines, and n_lines, n_dropped, drops.
 
     A line (between \\n, without white space around it) of min_chars characters or more is dropped if its class,
     all lines linked by an edit distance of threshold or less, has an earlier line: earlier by doc_id (null first),
-    then by a hash of the text, then by line number. Shorter lines always stay. Rows with equal doc_id and text
+    then by a hash of the text, then by line number. Shorter lines always stay. Lines of fewer than edit_chars characters go only as exact repeats.
+    With a percent below 100 the edits allowed are that share of the shorter line's characters, threshold at most. Rows with equal doc_id and text
     count as one document and keep the same lines. A text that loses all its lines becomes empty; null texts stay
     null and have 0 lines. Columns of docs that clash with added names are replaced; an empty table gives an empty
     result.
     """
     added = ["n_lines", "n_dropped", "drops"]
     docs = docs.drop(*added)
-    drops = repeated_lines(docs, threshold, min_chars).select(F.col("doc_id").alias("_d"), F.col("dh").alias("_h"), "drops")
+    drops = repeated_lines(docs, threshold, min_chars, edit_chars, percent).select(F.col("doc_id").alias("_d"), F.col("dh").alias("_h"), "drops")
     docs, names = plain_names(docs)
     text = names["text"]
     out = docs.withColumn("_t", F.xxhash64(text_or_empty(text))).join(drops, F.col(names["doc_id"]).cast("long").eqNullSafe(F.col("_d")) & (F.col("_t") == F.col("_h")), "left")

@@ -56,7 +56,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_segment_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_lines(documents(spark, sf_dir), threshold=1)
+    got = dedup_lines(documents(spark, sf_dir), threshold=8, min_chars=1, edit_chars=20, percent=10)
     return got.select("doc_id", "n_lines", "n_dropped", "drops", F.sha2("text", 256).alias("kept_sha256"))
 
 

@@ -350,6 +350,33 @@ def test_line_dedup_at_other_thresholds(spark, monkeypatch, threshold):
     check_lines(df, given, [0] * len(given), threshold, min_chars=10)
 
 
+def test_line_dedup_query_grows_with_the_line(spark, monkeypatch):
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(3, 8))) for _ in range(300)]
+    base = [" ".join(rng.choice(words, rng.integers(3, 40))) for _ in range(30)]
+    given = []
+    for i in range(90):
+        s = base[i % 30].split()
+        for _ in range(i // 30):
+            s[rng.integers(len(s))] = words[rng.integers(300)]
+        given.append((i, " ".join(s) + "\n" + ["yes", "yet", "chapter 1", "chapter 2", ""][i % 5]))
+    monkeypatch.setattr(llm_queries, "documents", lambda s, d: spark.createDataFrame([(d, t, None, None, None) for d, t in given], table(spark, extra=False).schema))
+    got = {r.doc_id: r.drops for r in llm_queries.op8_segment_line_dedup(spark, "").collect()}
+    lines = sorted({x for _, t in given for x in t.split("\n") if x})
+    classes, linked = brute.Classes(), 0
+    for j in range(len(lines)):
+        for i in range(j):
+            short = min(len(lines[i]), len(lines[j]))
+            most = min(8, short // 10)
+            if short >= 20 and abs(len(lines[i]) - len(lines[j])) <= most and (n := brute.edit_distance(lines[i], lines[j])) <= most:
+                classes.join(lines[i], lines[j])
+                linked += n > 1
+    seen, want = set(), {}
+    for d, t in given:
+        want[d] = [no for no, x in enumerate(t.split("\n")) if x and (classes.find(x) in seen or seen.add(classes.find(x)))]
+    assert linked > 20 and got == want
+
+
 @pytest.mark.parametrize("threshold", [1, 2, 4])
 def test_segments_probe_every_pair_within_the_threshold(threshold):
     rng = np.random.default_rng(7)

@@ -39,9 +39,11 @@ def anchored_groups(df: DataFrame, by: str, t: str, eps: int) -> DataFrame:
     """by, anchor, n: rows grouped to the first row of a group while they are at most eps after it.
 
     The anchor does not move with the rows, so this is neither a session window nor a lag test; the sorted times of
-    a key are folded once. A key's times are held together as one array.
+    a key are folded once. Held together as one array are a key's times without a gap above eps: after such a gap a
+    group begins in any case.
     """
-    times = df.groupBy(by).agg(F.array_sort(F.collect_list(t)).alias("ts"))
+    runs = gap_islands(df.select(by, t).where(F.col(t).isNotNull()), [by], [t], t, t, eps, "_run")
+    times = runs.groupBy(by, "_run").agg(F.array_sort(F.collect_list(t)).alias("ts"))
     start = F.expr("cast(array() as array<struct<anchor:bigint,n:bigint>>)")
 
     def step(acc: Column, x: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annotide.operators.sequences import gap_islands
+
 
 def state_notes(frames: DataFrame, by: list[str], i: str, onset: Column, offset: Column, quiet: Column, cap: int) -> DataFrame:
     """by, bgn, fin: notes of an onset/offset state machine over dense frames, by windows alone.
@@ -122,23 +124,20 @@ def greedy_pairs(a: np.ndarray, b: np.ndarray, tolerance: int) -> list[tuple[int
 
 def greedy_match(left: DataFrame, right: DataFrame, by: str, within: str, t: str, key: str, tolerance: int) -> DataFrame:
     """by, within, left_id, right_id, dt of a one-to-one match of rows with equal `within` (a small integer) within the
-    tolerance; both sides have by, within, t and key. A group is all that `by` holds on both sides."""
-
-    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({c: [] for c in ("by", "within", "left_id", "right_id", "dt")})
-        a, b = (x.sort_values(["within", "t", "key"]).reset_index(drop=True) for x in (a, b))
-        # values of within lie so far apart on one line that they never meet
-        low, high = min(a["t"].min(), b["t"].min()), max(a["t"].max(), b["t"].max())
-        at = [(x["t"] - low + x["within"] * (high - low + tolerance + 1)).to_numpy() for x in (a, b)]
-        found = greedy_pairs(*at, tolerance)
+    tolerance; both sides have by, within, t and key. A group is a run of rows of both sides with equal by and within
+    and no gap above the tolerance: no match spans such a gap."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["t", "key"])
+        a, b = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
+        found = greedy_pairs(a["t"].to_numpy(), b["t"].to_numpy(), tolerance)
         x, y = a.iloc[[i for i, _ in found]].reset_index(drop=True), b.iloc[[j for _, j in found]].reset_index(drop=True)
         return pd.DataFrame({"by": x["by"], "within": x["within"], "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
 
-    # fresh columns: sides that stem from one table would otherwise share theirs
     cols = [F.col(by).alias("by"), F.col(within).cast("long").alias("within"), F.col(t).cast("long").alias("t"), F.col(key).cast("long").alias("key")]
-    a, b = left.select(*cols), right.select(*cols)
-    got = a.groupBy("by").cogroup(b.groupBy("by")).applyInPandas(run, f"by {left.schema[by].dataType.simpleString()}, within long, left_id long, right_id long, dt long")
+    both = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
+    runs = gap_islands(both, ["by", "within"], ["t"], "t", "t", tolerance, "run")
+    got = runs.groupBy("by", "within", "run").applyInPandas(run, f"by {left.schema[by].dataType.simpleString()}, within long, left_id long, right_id long, dt long")
     return got.withColumnsRenamed({"by": by, "within": within})
 
 

@@ -169,3 +169,26 @@ def test_greedy_match_keeps_values_apart(spark):
     b = spark.createDataFrame([(1, 0, 104, 11), (1, 1, 95, 12), (1, 1, 103, 13), (2, 1, 5, 14)], "song long, pc int, t long, id long")
     got = stateful.greedy_match(a, b, "song", "pc", "t", "id", 5)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 1, 11, 4), (1, 1, 2, 13, 3)]
+
+
+def test_long_keys_are_cut_at_gaps(spark):
+    rng = np.random.default_rng(19)
+    rows = [(1, int(rng.integers(3)), int(t), i, bool(rng.integers(2))) for i, t in enumerate(rng.choice(6000, 600, replace=False))]
+    df = spark.createDataFrame(rows, "song long, pc int, t long, id long, side boolean")
+    matched = stateful.greedy_match(df.where("side"), df.where("not side"), "song", "pc", "t", "id", 15)
+    want = set()
+    for pc in range(3):
+        a, b = (sorted((t, i) for _, p, t, i, s in rows if p == pc and s == side) for side in (True, False))
+        want |= {(pc, a[i][1], b[j][1]) for i, j in stateful.greedy_pairs(np.array([t for t, _ in a]), np.array([t for t, _ in b]), 15)}
+    assert {(r.pc, r.left_id, r.right_id) for r in matched.collect()} == want and want
+    anchored = anchored_groups(df, "song", "t", 15)
+    groups = []
+    for t in sorted(r[2] for r in rows):
+        if groups and t - groups[-1][1] <= 15:
+            groups[-1][2] += 1
+        else:
+            groups.append([1, t, 1])
+    assert sorted(map(list, anchored.collect())) == groups
+    for got in (matched, anchored):
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert any(("FlatMapGroupsInPandas" in x or "Aggregate" in x) and "run" in x for x in plan.split("\n"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annotide.llm._common import Store, connected_components
+
+#: Whether the rows x[i] and y[i] of a table are linked.
+Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def block_pairs(rows: DataFrame, group: str, size: Column, member: str, per_block: int) -> DataFrame:
     """rows with lo, hi and own, dealt by (group, lo, hi) and sorted by them within partitions.
@@ -55,6 +61,11 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows:
         yield t, cut(t)
 
 
+@lru_cache(maxsize=64)
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def pairs_of(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, at_most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs that meet, in portions of about at_most pairs."""
     firsts, seconds, n = [], [], 0
@@ -66,7 +77,7 @@ def pairs_of(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, at
     for g in np.nonzero(sizes > 2)[0]:
         a, z = at[g], at[g + 1]
         if lo[a] == hi[a]:
-            x, y = np.triu_indices(z - a, 1)
+            x, y = _all_pairs(int(z - a)) if z - a <= 64 else np.triu_indices(z - a, 1)
             x, y = x + a, y + a
         else:
             left, right = a + np.nonzero(own[a:z] == lo[a])[0], a + np.nonzero(own[a:z] == hi[a])[0]
@@ -95,3 +106,116 @@ def least_labels(n: int, x: np.ndarray, y: np.ndarray, label: np.ndarray | None
         if (label == before).all():
             break
     return label
+
+
+def bounded_groups(batches: Iterator[pa.RecordBatch], key: str, limit: int, least_rows: int = 1 << 16) -> Iterator[tuple[pa.Table, np.ndarray | None]]:
+    """Tables of complete groups of rows sorted by a long key, with their offsets; a group of more than limit rows may
+    come in portions instead, each without offsets, so that no group of any size is held."""
+    held: pa.Table | None = None
+    streamed: int | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if streamed is not None:
+            other = np.nonzero(t.column(key).to_numpy() != streamed)[0]
+            n = int(other[0]) if len(other) else t.num_rows
+            if n:
+                yield t.slice(0, n), None
+            if n == t.num_rows:
+                continue
+            t, streamed = t.slice(n), None
+        held = t if held is None else pa.concat_tables([held, t])
+        if held.num_rows < least_rows:
+            continue
+        keys = held.column(key).to_numpy()
+        at = np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+        if len(at) > 2:
+            yield held.slice(0, at[-2]), at[:-1]
+        held = held.slice(at[-2])
+        if held.num_rows > limit:
+            yield held, None
+            held, streamed = None, int(keys[-1])
+    if held is not None and held.num_rows:
+        keys = held.column(key).to_numpy()
+        yield held, np.concatenate([[0], np.nonzero(keys[1:] != keys[:-1])[0] + 1, [len(keys)]])
+
+
+def links_within(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test: Test, label: np.ndarray | None = None) -> np.ndarray:
+    """Labels of n rows after linking the pairs that pass the test; those already of one label are not tested."""
+    label = np.arange(n) if label is None else label
+    for x, y in pairs:
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+        if len(x):
+            ok = test(x, y)
+            label = least_labels(n, x[ok], y[ok], label)
+    return label
+
+
+def with_first(at: np.ndarray, more_than: int = 32) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within groups; in larger groups the first row meets all others before these meet each other."""
+    zero = np.zeros(at[-1], np.int32)
+    sizes = np.diff(at)
+    for a, z in zip(at[:-1][sizes > more_than], at[1:][sizes > more_than]):
+        yield np.full(z - a - 1, a), np.arange(a + 1, z)
+    yield from pairs_of(at, zero, zero, zero)
+
+
+def _moved(member: pa.ChunkedArray, label: np.ndarray) -> pa.RecordBatch:
+    moved = np.nonzero(label != np.arange(len(label)))[0]
+    return pa.RecordBatch.from_arrays([member.take(pa.array(moved)).combine_chunks(), member.take(pa.array(label[moved])).combine_chunks()], ["a", "b"])
+
+
+def group_links(store: Store, rows: DataFrame, group: str, size: str, member: str, per_block: int, test_of: Callable[[pa.Table], Test], largest: int | None = None) -> DataFrame:
+    """a, b: links that connect within each group all members which pairs that pass a test connect.
+
+    rows: each member of a group once, with the group's size. test_of(table) gives the test of row numbers x, y of a
+    table of rows; largest is the size of the largest group, where it is known. Members fall by hash into blocks of about per_block, and a group's first member goes to all of its
+    blocks: what is like it is linked there, and most pairs need no test. Then only members outside the largest
+    component of their group meet the members of other blocks. So each row moves once, and a group of near copies
+    costs in proportion to its size; members that nothing links cost all their pairs, as they must.
+    """
+    kind = rows.schema[member].dataType.simpleString()
+    if largest is None:
+        largest = rows.agg(F.max(size)).first()[0] or 0
+    blocks = F.ceil(F.col(size) / F.lit(per_block)).cast("int")
+    many = rows.where(F.col(size) > per_block)
+    own = F.pmod(F.xxhash64(F.col(member), F.col(group)), blocks).cast("int")
+    if largest <= per_block:
+        dealt = rows.withColumn("_block", F.lit(0)).repartition(group).sortWithinPartitions(group)
+    else:
+        first = many.groupBy(F.col(group).alias("_g")).agg(F.min(member).alias("_first"))
+        places = F.when((F.col("_first") == F.col(member)) & (F.col(size) > per_block), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+        dealt = rows.join(first, F.col(group) == F.col("_g"), "left").withColumn("_block", F.explode(places))
+        dealt = dealt.withColumn("_rank", F.when(F.col("_first") == F.col(member), 0).otherwise(1)).drop("_g", "_first")
+        dealt = dealt.repartition(group, "_block").sortWithinPartitions(group, "_block", "_rank")
+
+    def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, [group, "_block"]):
+            yield _moved(t.column(member), links_within(t.num_rows, with_first(at), test_of(t)))
+
+    links = store.put(dealt.mapInArrow(in_blocks, f"a {kind}, b {kind}"))
+    if largest <= per_block:
+        return links
+
+    components = connected_components(store, links).select(F.col("node").alias("_node"), F.col("root").alias("_root"))
+    labelled = many.join(components, F.col(member) == F.col("_node"), "left").withColumn("_comp", F.coalesce("_root", member)).drop("_node", "_root")
+    labelled = store.put(labelled)
+    per_comp = labelled.groupBy(F.col(group).alias("_g"), "_comp").agg(F.count("*").alias("n"))
+    main = per_comp.groupBy("_g").agg(F.max(F.struct("n", "_comp")).alias("most"), F.sum("n").alias("all")).select("_g", F.col("most._comp").alias("_main"), (F.col("all") - F.col("most.n")).alias("_outside")).where("_outside > 0")
+    main = store.put(main)
+    if not main.limit(1).count():
+        return links
+    labelled = labelled.join(main, F.col(group) == F.col("_g")).drop("_g").withColumn("_outer", F.ceil(F.col("_outside") / F.lit(per_block)).cast("int"))
+    outside = labelled.where("_comp <> _main").withColumns({"_lo": F.pmod(F.xxhash64(F.lit(1), F.col(member)), F.col("_outer")).cast("int"), "_side": F.lit(0)}).withColumn("_hi", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    every = labelled.withColumns({"_hi": own, "_side": F.lit(1)}).withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_outer") - 1)))
+    grid = outside.unionByName(every).drop("_main", "_outside", "_outer").repartition(group, "_lo", "_hi").sortWithinPartitions(group, "_lo", "_hi")
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, at in whole_groups(batches, [group, "_lo", "_hi"]):
+            side = t.column("_side").to_numpy()
+            comp = t.column("_comp").combine_chunks().dictionary_encode().indices.to_numpy()
+            zero, one = np.zeros(len(side), np.int32), np.ones(len(side), np.int32)
+            pairs = ((x[comp[x] != comp[y]], y[comp[x] != comp[y]]) for x, y in pairs_of(at, zero, one, side))
+            yield _moved(t.column(member), links_within(t.num_rows, pairs, test_of(t)))
+
+    return store.put(links.unionByName(grid.mapInArrow(across, f"a {kind}, b {kind}")))

@@ -1,15 +1,19 @@
 """Line deduplication by a segment-partition edit join.
 
-A line of length l is split into threshold + 1 segments. Two lines within the threshold share a segment, so each line
-probes, for its own length and those shorter by up to the threshold, only the substrings that can align with a segment
-there. Lines that meet and whose character counts allow it form narrow clusters; each cluster fetches its lines
-once and verifies them with a banded bit-parallel edit distance. Lines joined by verified links, and equal ones, are
-a class; its first line in the order of documents stays and the others go.
+Lines fall into classes of like length, in which the edits allowed are the same, and are split into one segment more
+than these: those of the front half stand at fixed places from the start, those of the back half from the end. Two
+lines within the edits share a segment that has no more edits before it than segments stand before it, and no more
+behind it than segments behind it; so a line probes few shifts of each segment, in its own class and in those of
+shorter lines within its reach. A segment is known by its least k-gram, which shifts by a few characters often share.
+Lines that meet under a key and whose character counts allow it are verified with a banded bit-parallel edit distance:
+pair by pair, or, where copies of a line meet, together. Lines joined by verified links, and equal ones, are a class;
+its first line in the order of documents stays and the others go.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -17,21 +21,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._blocks import block_pairs, least_labels, pairs_of, whole_groups
-from annotide.llm._common import Store, connected_components, own_names, plain_names, text_or_empty
+from annotide.llm._blocks import Test, bounded_groups, group_links, links_within, pairs_of, whole_groups, with_first
+from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
-BINS = 16
-PER_BLOCK = 256
+BINS = 12  # of four bits in a line's sketch, whose lowest 16 bits are its length
+PER_BLOCK = 2048
+PORTION_CHARS = 1 << 20
+SEEN_LINES = 1 << 17
 _ONE = np.uint64(1)
-
-
-def segments(length: int, threshold: int) -> list[tuple[int, int]]:
-    """Start and size of each of the threshold + 1 segments of a line of that length; the later ones are the longer."""
-    parts = threshold + 1
-    short, longer = length // parts, length % parts
-    sizes = [short + (i >= parts - longer) for i in range(parts)]
-    return [(sum(sizes[:i]), sizes[i]) for i in range(parts)]
+_P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
+_P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def edits(length, threshold: int, percent: int):
@@ -39,34 +39,116 @@ def edits(length, threshold: int, percent: int):
     return np.minimum(length * percent // 100, threshold)
 
 
-def segment_keys(line: str, threshold: int, percent: int = 100) -> tuple[list[int], list[int]]:
-    """Hashes under which a line is indexed, and those it probes besides.
+def length_classes(threshold: int, percent: int, least: int, longest: int) -> list[tuple[int, int, int]]:
+    """Shortest line, end and edits of each class of lengths from least to longest. A class holds one number of edits,
+    and its lines differ by about a quarter in length; lines that are too short for a segment more than edits are in none."""
+    lo = max(least, 2)
+    while edits(lo, threshold, percent) < 1 and lo <= longest:
+        lo += 1
+    out = []
+    while lo <= longest:
+        most = int(min(edits(lo, threshold, percent), lo - 1))
+        hi = lo + max(lo // 4, min(lo // 2, 10))
+        if most < threshold:
+            hi = next((x for x in range(lo + 1, hi) if min(edits(x, threshold, percent), x - 1) > most), hi)
+        out.append((lo, hi, most))
+        lo = hi
+    return out
+
+
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(n, _P), np.full(n, _P_INV)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
 
-    Of a shorter line's segment i at start p, substrings from p + s are probed with s from -i to i and also from
-    d - (threshold - i) to d + threshold - i, where d is the difference in length: another shift would need more
-    edits on one side than the other segments leave. The edits allowed, and so the segments, are those of the shorter
-    line.
-    """
-    n = len(line)
 
-    def key(length: int, i: int, part: str) -> int:
-        return xxhash.xxh3_64_intdigest(part.encode("utf-8", "replace"), length * 64 + i) - (1 << 63)
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-    index, probe = [], []
-    for d in range(threshold + 1):
-        most = threshold if percent >= 100 else int(edits(n - d, threshold, percent))
-        if d and n - d < most + 1 or d > most or not most:
-            break
-        for i, (p, size) in enumerate(segments(n - d, most)):
-            for s in range(max(-i, d - (most - i)), min(i, d + most - i) + 1):
-                if 0 <= p + s <= n - size:
-                    (index if d == 0 and s == 0 else probe).append(key(n - d, i, line[p + s : p + s + size]))
-    return index, probe
+
+def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """A hash for every window of size code points: its least k-gram's, with k about half the size, and 6 or more if
+    the size allows it. Equal windows have equal hashes wherever they stand, and neighbours often the same one."""
+    k = max(min(size, 6), (size + 1) // 2)
+    n = len(codes)
+    up, down = _powers(1 << int(n).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + _ONE) * up[:n])])
+    least = _mix((sums[k:] - sums[:-k]) * down[: n - k + 1])
+    have, width = 1, size - k + 1
+    while have < width:
+        step = min(have, width - have)
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return least
+
+
+def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line number, key, and whether the line is indexed under it or only probes it; keys of a line differ.
+
+    Of the segment i of most + 1, the shifts from -i to i are probed in front, and from i - most to most - i at the back.
+    """
+    size = np.array([len(s) for s in lines], np.int64)
+    owners, keys, indexed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+    for number, (lo, hi, most) in enumerate(length_classes(threshold, percent, least, int(size.max(initial=0)))):
+        who = np.nonzero((size >= lo) & (size - most < hi))[0]
+        if not len(who):
+            continue
+        n = size[who]
+        start = np.cumsum(n) - n
+        own = n < hi
+        z = lo // (most + 1)
+        windows = window_hashes(np.frombuffer("".join([lines[w] for w in who]).encode("utf-32-le", "replace"), np.uint32), z)
+        for i in range(most + 1):
+            front = 2 * i <= most
+            reach = i if front else most - i
+            base = start + i * z if front else start + n - (most + 1 - i) * z
+            at = base[:, None] + np.arange(-reach, reach + 1)
+            inside = (at >= start[:, None]) & (at + z <= (start + n)[:, None])
+            found = windows[np.where(inside, at, base[:, None])]
+            found.sort(axis=1)
+            new = np.ones(found.shape, bool)
+            new[:, 1:] = found[:, 1:] != found[:, :-1]
+            row, col = np.nonzero(new)
+            value = found[row, col]
+            keys.append(_mix(value + np.uint64((number * 64 + i + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64))
+            owners.append(who[row])
+            indexed.append(own[row] & (value == windows[base][row]))
+    return np.concatenate(owners), np.concatenate(keys), np.concatenate(indexed)
+
+
+def sketches(lines: list[str]) -> np.ndarray:
+    """Character counts modulo 16 in BINS bins and the length (15 bits; all longer ones as one), as one number a line."""
+    size = np.array([len(s) for s in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) % BINS
+    counts = np.bincount(np.repeat(np.arange(len(lines)), size) * BINS + bin_of, minlength=len(lines) * BINS).reshape(-1, BINS) & 15
+    return (np.minimum(size, 0x7FFF) << 1) | (counts << (16 + 4 * np.arange(BINS))).sum(1)
+
+
+def like_sketches(sketch: np.ndarray, threshold: int, percent: int) -> Test:
+    """The test whether two lines, one of them indexed under the key where they meet, may be within the edits allowed."""
+    indexed, size = sketch & 1, (sketch >> 1) & 0x7FFF
+    counts = ((sketch[:, None] >> (16 + 4 * np.arange(BINS))) & 15).astype(np.int8)
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        most = edits(np.minimum(size[x], size[y]), threshold, percent)
+        ok = np.nonzero(((indexed[x] | indexed[y]) == 1) & (np.abs(size[x] - size[y]) <= most))[0]
+        # an edit changes two counts by one at most
+        moved = np.abs((counts[x[ok]] - counts[y[ok]] + 8 & 15) - 8).sum(1, dtype=np.int16)
+        out = np.zeros(len(x), bool)
+        out[ok] = moved <= 2 * most[ok]
+        return out
+
+    return test
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
-    """Edit distances of rows a[i, :n[i]] and b[i, :m[i]], m[i] from n[i] - band to n[i], in step over all rows; exact up to band, above it only known to be above. One 64-bit word per row holds the vertical differences of
-    the band's 2 * band + 1 diagonals, its top bit being the lowest diagonal (band below 31)."""
+    """Edit distances of rows a[i, :n[i]] and b[i, :m[i]], m[i] from n[i] - band to n[i], in step over all rows; exact
+    up to band, above it only known to be above. One 64-bit word per row holds the vertical differences of the band's
+    2 * band + 1 diagonals, its top bit being the lowest diagonal (band below 31)."""
     lanes = len(n)
     vp = np.full(lanes, ((1 << (band + 1)) - 1) << (63 - band), np.uint64)
     vn = np.zeros(lanes, np.uint64)
@@ -94,132 +176,269 @@ def banded_distance(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray,
 
 
 def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int, percent: int = 100, cells: int = 1 << 21) -> np.ndarray:
-    """Whether lines x[i] and y[i] are within the edits allowed, a portion of like lengths at a time."""
-    size = np.array([len(s) for s in lines])
+    """Whether lines x[i] and y[i] are within the edits allowed, a portion of one number of edits and like lengths at a time."""
+    size = np.array([len(s) for s in lines], np.int64)
     out = np.zeros(len(x), bool)
     most = edits(np.minimum(size[x], size[y]), threshold, percent) if percent < 100 else np.full(len(x), threshold)
     near = np.nonzero(np.abs(size[x] - size[y]) <= most)[0]
-    near = near[np.argsort(size[x[near]], kind="stable")]
+    near = near[np.lexsort((size[x[near]], most[near]))]
     at = 0
     while at < len(near):
-        widest = size[x[near[at]]] + threshold + 1
-        z = at + 1
-        while z < len(near) and (z + 1 - at) * (size[x[near[z]]] + threshold + 1) <= max(cells, widest):
-            z += 1
+        band = int(most[near[at]])
+        width = size[x[near[at:]]] + band + 1
+        n_like = int(np.searchsorted(most[near[at:]], band, side="right"))
+        fits = width[:n_like] * np.arange(1, n_like + 1) <= cells
+        z = at + max(int(fits.sum()) if fits.all() else int(fits.argmin()), 1)
         part = near[at:z]
         swap = size[x[part]] < size[y[part]]
         longer, shorter = np.where(swap, y[part], x[part]), np.where(swap, x[part], y[part])
-        a, b = ([lines[i] for i in w] for w in (longer, shorter))
         n, m = size[longer], size[shorter]
         ma, mb = np.zeros((len(part), max(n.max(), 1)), np.uint32), np.zeros((len(part), max(m.max(), 1)), np.uint32)
         for i in range(len(part)):
-            ma[i, : n[i]] = a[i]
-            mb[i, : m[i]] = b[i]
-        out[part] = banded_distance(ma, mb, n, m, threshold) <= most[part]
+            ma[i, : n[i]] = lines[longer[i]]
+            mb[i, : m[i]] = lines[shorter[i]]
+        out[part] = banded_distance(ma, mb, n, m, band) <= band
         at = z
     return out
 
 
+def like_pairs(lines: list[np.ndarray], threshold: int, percent: int, bins: int = 64) -> Test:
+    """The test whether lines are within the edits allowed: pairs whose counts of two-character strings (hashed to bins)
+    differ by more than the edits can explain are not compared."""
+    size = np.array([len(s) for s in lines], np.int64)
+    owner = np.repeat(np.arange(len(lines)), size)
+    flat = np.concatenate([*lines, np.zeros(0, np.uint32)])
+    two = (flat[:-1] * np.uint32(0x9E3779B1) + flat[1:]) * np.uint32(0x85EBCA6B)
+    inside = owner[:-1] == owner[1:]
+    counts = np.bincount(owner[:-1][inside] * bins + (two[inside] >> np.uint32(16)) % bins, minlength=len(lines) * bins)
+    counts = (counts.reshape(-1, bins) & 255).astype(np.uint8)
+
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        most = edits(np.minimum(size[x], size[y]), threshold, percent)
+        maybe = np.nonzero(np.abs(size[x] - size[y]) <= most)[0]
+        # an edit takes two such strings away and adds two at most (the counts are kept modulo 256)
+        moved = np.abs((counts[x[maybe]] - counts[y[maybe]]).view(np.int8)).sum(1, dtype=np.int16)
+        maybe = maybe[moved <= 4 * most[maybe]]
+        out = np.zeros(len(x), bool)
+        out[maybe] = within(lines, x[maybe], y[maybe], threshold, percent)
+        return out
+
+    return test
+
+
 def code_points(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
-    """doc_id, dh (hash of the text), line_no, line, lid for the lines of min_chars characters or more, without
-    the white space around them."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    split = rows.select("doc_id", F.xxhash64("text").alias("dh"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return split.withColumn("line", F.trim("line", F.lit(BLANKS))).where(F.char_length("line") >= min_chars).withColumn("lid", F.unhex(F.md5("line")))
+def lines_in(text: str, least: int) -> list[tuple[int, str]]:
+    """Number and text of the lines of least characters or more, without the white space around them."""
+    return [(no, s) for no, line in enumerate(text.split("\n")) if len(s := line.strip(BLANKS)) >= least]
+
+
+def line_ids(lines: list[str]) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(s.encode("utf-8", "replace")) for s in lines]
+
+
+def short_ids(ids: list[bytes]) -> np.ndarray:
+    """The first 64 bits of line ids. They only serve to find candidates: which lines are equal is told by whole ids."""
+    return np.frombuffer(b"".join(ids), np.int64)[::2]
+
+
+def _numbered(texts: pa.Array, least: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
+    """Row numbers, line numbers and lines, in portions of about PORTION_CHARS characters and whole texts."""
+    rows, numbers, lines, chars = [], [], [], 0
+    for row, text in enumerate(texts):
+        for no, line in lines_in(text.as_py(), least):
+            rows.append(row)
+            numbers.append(no)
+            lines.append(line)
+            chars += len(line)
+        if chars >= PORTION_CHARS:
+            yield rows, numbers, lines
+            rows, numbers, lines, chars = [], [], [], 0
+    yield rows, numbers, lines
+
 
+def _places(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, numbers, lines in _numbered(b.column("text"), least):
+                at = pa.array(rows, pa.int32())
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), b.column("dh").take(at), pa.array(numbers, pa.int32()), pa.array(line_ids(lines), pa.binary())], ["doc_id", "dh", "line_no", "lid"])
+
+    return run
+
+
+class _Seen:
+    """Lines that a task has had, as far as SEEN_LINES of them are remembered; repeated lines are told once by each."""
 
-def _keyed(threshold: int, percent: int):
+    def __init__(self):
+        self.ids: set[bytes] = set()
+
+    def new(self, lines: list[str]) -> tuple[list[str], list[bytes]]:
+        fresh = {i: s for i, s in zip(line_ids(lines), lines) if i not in self.ids}
+        if len(self.ids) + len(fresh) > SEEN_LINES:
+            self.ids.clear()
+        self.ids.update(fresh)
+        return list(fresh.values()), list(fresh)
+
+
+def _keyed(threshold: int, percent: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen()
         for b in batches:
-            texts = b.column("line").to_pylist()
-            found = [segment_keys(t, threshold, percent) for t in texts]
-            hist = []
-            for t in texts:
-                cp = code_points(t).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                hist.append((np.bincount((cp >> np.uint64(60)).astype(np.int64), minlength=BINS) & 255).astype(np.uint8).tobytes())
-            kind = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("lid"), pa.array(map(len, texts), pa.int32()), pa.array([f[0] for f in found], kind), pa.array([f[1] for f in found], kind), pa.array(hist, pa.binary())], ["lid", "n_chars", "index", "probe", "hist"])
+            for _, _, lines in _numbered(b.column("text"), max(least, 1)):
+                lines, ids = seen.new(lines)
+                if not lines:
+                    continue
+                owner, key, indexed = segment_keys(lines, threshold, percent, least)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(short_ids(ids)[owner]), pa.array(sketches(lines)[owner] | indexed)], ["key", "id", "sketch"])
+
+    return run
+
+
+def group_candidates(at: np.ndarray, test: Test, dense: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that pass the test, and links that connect the rows of groups where more than dense pairs a row do.
+
+    Most groups hold few such pairs, each of which can be verified by itself. Copies of one line hold nearly all of
+    theirs; there only links to the first row come out, and what they connect is verified together.
+    """
+    zero = np.zeros(at[-1], np.int32)
+    sizes = np.diff(at)
+    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    copies = np.zeros(len(sizes), bool)
+    for g in np.nonzero(sizes > 4 * dense)[0]:
+        others = np.arange(at[g] + 1, at[g + 1])
+        copies[g] = 2 * test(np.full(len(others), at[g]), others).sum() > len(others)
+    rest = np.nonzero(~copies & (sizes > 1))[0]
+    rows = np.concatenate([np.arange(at[g], at[g + 1]) for g in rest]) if len(rest) else np.zeros(0, np.int64)
+    cuts = np.concatenate([[0], np.cumsum(sizes[rest])])
+    for x, y in pairs_of(cuts, zero, zero, zero):
+        x, y = rows[x], rows[y]
+        ok = test(x, y)
+        xs.append(x[ok])
+        ys.append(y[ok])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    group = np.searchsorted(at, x, side="right") - 1
+    copies |= np.bincount(group, minlength=len(sizes)) > dense * sizes
+    few = ~copies[group]
+    label = np.arange(at[-1])
+    for g in np.nonzero(copies)[0]:
+        label[at[g] : at[g + 1]] = at[g] + links_within(sizes[g], with_first(np.array([0, sizes[g]])), lambda x, y, a=at[g]: test(x + a, y + a))
+    moved = np.nonzero(label != np.arange(len(label)))[0]
+    return x[few], y[few], moved, label[moved]
+
+
+def _met_by_key(threshold: int, percent: int, limit: int):
+    """a, b within the groups of a key, told with whether they are one pair or stand for many; rows of groups of more
+    than limit rows come out as key, id, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(a, b, many, rest: pa.Table) -> pa.RecordBatch:
+            columns = [pa.concat_arrays([pa.array(v, kind), pa.nulls(rest.num_rows, kind)]) for v, kind in ((a, pa.int64()), (b, pa.int64()), (many, pa.bool_()))]
+            for c in ("key", "id", "sketch"):
+                columns.append(pa.concat_arrays([pa.nulls(len(a), pa.int64()), *rest.column(c).chunks]))
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "many", "key", "id", "sketch"])
+
+        for t, at in bounded_groups(batches, "key", limit):
+            if at is None:
+                yield result([], [], [], t)
+                continue
+            sizes = np.diff(at)
+            indexed = np.add.reduceat(t.column("sketch").to_numpy() & 1, at[:-1]) > 0
+            small = np.nonzero(np.repeat((sizes > 1) & (sizes <= limit) & indexed, sizes))[0]
+            key, ids = t.column("key").to_numpy()[small], t.column("id").to_numpy()[small]
+            order = np.lexsort((ids, key))
+            small, key, ids = small[order], key[order], ids[order]
+            if len(small):
+                first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])  # a line may come from several tasks
+                small, key, ids = small[first], key[first], ids[first]
+            large = t.filter(pa.array(np.repeat(sizes > limit, sizes))) if (sizes > limit).any() else t.slice(0, 0)
+            if not len(key):
+                yield result([], [], [], large)
+                continue
+            cuts = np.concatenate([np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0], [len(key)]])
+            x, y, moved, to = group_candidates(cuts, like_sketches(t.column("sketch").to_numpy()[small], threshold, percent))
+            a, b = np.concatenate([ids[x], ids[moved]]), np.concatenate([ids[y], ids[to]])
+            yield result(np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= len(x), large)
 
     return run
 
 
-def _candidate_links(threshold: int, percent: int):
+def _verified(threshold: int, percent: int):
+    """Links a, b of lines that are near the line whose id is at, in groups of at."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["key", "lo", "hi"]):
-            lo, hi, own, probe, size = (t.column(c).to_numpy() for c in ("lo", "hi", "own", "probe", "n_chars"))
-            hist = np.frombuffer(b"".join(t.column("hist").to_pylist()), np.uint8).reshape(-1, BINS)
-            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in pairs_of(at, lo, hi, own):
-                most = edits(np.minimum(size[x], size[y]).astype(np.int64), threshold, percent) if percent < 100 else np.full(len(x), threshold)
-                go = ((probe[x] == 0) | (probe[y] == 0)) & (np.abs(size[x] - size[y]) <= most)
-                x, y, most = x[go], y[go], most[go]
-                # an edit changes two counts by one at most (the counts are kept modulo 256)
-                apart = np.abs((hist[x] - hist[y]).view(np.int8).astype(np.int16)).sum(1)
-                go = apart <= 2 * most
-                xs.append(x[go])
-                ys.append(y[go])
-            label = least_labels(t.num_rows, np.concatenate(xs), np.concatenate(ys))
-            moved = np.nonzero(label != np.arange(t.num_rows))[0]
+        for t, at in whole_groups(batches, ["at"]):
+            centre = t.column("id").to_numpy() == t.column("at").to_numpy()
+            x = np.concatenate([np.repeat(a + np.nonzero(centre[a:z])[0], z - a) for a, z in zip(at[:-1], at[1:])])
+            y = np.concatenate([np.tile(np.arange(a, z), int(centre[a:z].sum())) for a, z in zip(at[:-1], at[1:])])
+            x, y = x[x != y], y[x != y]
+            ok = like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent)(x, y)
             lid = t.column("lid")
-            yield pa.RecordBatch.from_arrays([lid.take(pa.array(moved)).combine_chunks(), lid.take(pa.array(label[moved])).combine_chunks()], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([lid.take(pa.array(x[ok])).combine_chunks(), lid.take(pa.array(y[ok])).combine_chunks()], ["a", "b"])
 
     return run
 
 
-def _exact_links(threshold: int, percent: int):
+def _fetched(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["root", "lo", "hi"], 512):
-            lo, hi, own = (t.column(c).to_numpy() for c in ("lo", "hi", "own"))
-            lines = [code_points(s) for s in t.column("line").to_pylist()]
-            label = np.arange(t.num_rows)
-            for x, y in pairs_of(at, lo, hi, own, 1 << 12):
-                open_ = label[x] != label[y]  # those already joined need no more links
-                x, y = x[open_], y[open_]
-                ok = within(lines, x, y, threshold, percent)
-                label = least_labels(t.num_rows, x[ok], y[ok], label)
-            moved = np.nonzero(label != np.arange(t.num_rows))[0]
-            lid = t.column("lid")
-            yield pa.RecordBatch.from_arrays([lid.take(pa.array(moved)).combine_chunks(), lid.take(pa.array(label[moved])).combine_chunks()], ["a", "b"])
+        seen = _Seen()
+        for b in batches:
+            for _, _, lines in _numbered(b.column("text"), max(least, 1)):
+                lines, ids = seen.new(lines)
+                yield pa.RecordBatch.from_arrays([pa.array(short_ids(ids)), pa.array(ids, pa.binary()), pa.array(lines, pa.string())], ["id", "lid", "line"])
 
     return run
 
 
-def line_classes(store: Store, lines: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100) -> DataFrame:
-    """lid, first (place of the first line of its class) of every line whose class holds more than one line."""
+def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100, in_task: int = 2048) -> DataFrame:
+    """lid, first (place of the first line of its class) of every line whose class holds more than one line.
+
+    rows: doc_id, dh, text. Groups of a key up to in_task lines are compared where they meet, larger ones in blocks.
+    """
     place = F.struct("doc_id", "dh", "line_no")
-    known = store.put(lines.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")))
-    if threshold:
-        every = lines.where(F.char_length("line") >= edit_chars).select("lid", "line").mapInArrow(_keyed(threshold, percent), "lid binary, n_chars int, index array<long>, probe array<long>, hist binary")
-        keyed = store.put(every.groupBy("lid").agg(*(F.first(c).alias(c) for c in ("n_chars", "index", "probe", "hist"))))
-        keys = keyed.select("lid", F.explode("index").alias("key"), F.lit(0).alias("probe")).unionByName(keyed.select("lid", F.explode("probe").alias("key"), F.lit(1).alias("probe")))
-        met = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("probe").alias("p")).where("m > 1 and p = 0").select("key", "m")
-        meeting = keys.join(met, "key").join(keyed.select("lid", "n_chars", "hist"), "lid")
-        dealt = block_pairs(meeting, "key", F.col("m"), "lid", PER_BLOCK).select("key", "lo", "hi", "own", "probe", "n_chars", "hist", "lid")
-        clusters = connected_components(store, dealt.mapInArrow(_candidate_links(threshold, percent), "a binary, b binary"))
-        sizes = clusters.groupBy("root").agg(F.count("*").alias("c"))
-        placed = store.put(clusters.join(sizes, "root").join(known, F.col("node") == F.col("lid")).select("lid", "first", "root", "c"))
-        p = placed.select(F.col("lid").alias("p_lid"), "first.*", "root", "c").withColumnsRenamed({"doc_id": "p_doc", "dh": "p_dh", "line_no": "p_line"})
-        at_first = (F.col("lid") == F.col("p_lid")) & F.col("doc_id").eqNullSafe(F.col("p_doc")) & (F.col("dh") == F.col("p_dh")) & (F.col("line_no") == F.col("p_line"))
-        fetched = lines.join(p, at_first).groupBy("lid", "root", "c").agg(F.first("line").alias("line"))
-        exact = block_pairs(fetched, "root", F.col("c"), "lid", PER_BLOCK).select("root", "lo", "hi", "own", "lid", "line")
-        classes = connected_components(store, exact.mapInArrow(_exact_links(threshold, percent), "a binary, b binary"))
-        whole = classes.join(known, F.col("node") == F.col("lid")).groupBy("root").agg(F.min("first").alias("first"))
-        linked = classes.join(whole, "root").select(F.col("node").alias("lid"), "first")
-        alone = known.where("n > 1").join(linked.select("lid"), "lid", "left_anti").select("lid", "first")
-        return store.put(linked.unionByName(alone))
-    return store.put(known.where("n > 1").select("lid", "first"))
+    known = store.put(places.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    if not threshold:
+        return store.put(known.where("n > 1").select("lid", "first"))
+    keys = rows.select("text").mapInArrow(_keyed(threshold, percent, edit_chars), "key long, id long, sketch long")
+    met = store.put(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met_by_key(threshold, percent, in_task), "a long, b long, many boolean, key long, id long, sketch long"))
+    pairs = store.put(met.where("not many").select("a", "b").distinct())
+    links = met.where("many").select("a", "b")
+    large = met.where("key is not null").select("key", "id", "sketch").distinct()
+    if large.limit(1).count():
+        large = store.put(large)
+        sized = large.join(large.groupBy("key").agg(F.count("*").alias("m")), "key")
+        links = links.unionByName(group_links(store, sized, "key", "m", "id", PER_BLOCK, lambda t: like_sketches(t.column("sketch").to_numpy(), threshold, percent)))
+    clusters = store.put(connected_components(store, links))
+    store.drop(met)
+
+    # where a line is needed: with each line that it may be near, and in its cluster; most are needed nowhere
+    needed = pairs.select(F.col("b").alias("id"), F.col("a").alias("at"), F.lit(False).alias("whole")).unionByName(pairs.select(F.col("a").alias("id"), F.col("a").alias("at"), F.lit(False).alias("whole")).distinct())
+    needed = store.put(needed.unionByName(clusters.select(F.col("node").alias("id"), F.col("root").alias("at"), F.lit(True).alias("whole"))))
+    fetched = keep_possible(store, rows.select("text").mapInArrow(_fetched(edit_chars), "id long, lid binary, line string"), needed, "id")
+    fetched = fetched.groupBy("id", "lid").agg(F.first("line").alias("line"))  # a line comes once from each task
+    fetched = store.put(fetched.join(needed, "id"))
+    stars = fetched.where("not whole").select("at", "id", "lid", "line").repartition("at").sortWithinPartitions("at")
+    near = store.put(stars.mapInArrow(_verified(threshold, percent), "a binary, b binary"))
+    in_clusters = fetched.where("whole").select(F.col("at").alias("cluster"), "lid", "line")
+    sized = in_clusters.join(in_clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
+    alike = group_links(store, sized, "cluster", "m", "lid", PER_BLOCK, lambda t: like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent))
+    store.drop(fetched)
+    classes = connected_components(store, near.unionByName(alike))
+    whole = classes.join(known, F.col("node") == F.col("lid")).groupBy("root").agg(F.min("first").alias("first"))
+    linked = classes.join(whole, "root").select(F.col("node").alias("lid"), "first")
+    alone = known.where("n > 1").join(linked.select("lid"), "lid", "left_anti").select("lid", "first")
+    return store.put(linked.unionByName(alone))
 
 
 def repeated_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edit_chars: int = 0, percent: int = 100) -> DataFrame:
     """doc_id, dh, drops (line numbers from 0) of the rows that have lines to drop; dh is xxhash64 of the text."""
     store = Store(docs.sparkSession, "lines")
-    lines = lines_of(docs, min_chars)
-    classes = line_classes(store, lines, threshold, edit_chars, percent)
-    met = lines.select("doc_id", "dh", "line_no", "lid").join(classes, "lid")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("dh"), text_or_empty().alias("text"))
+    places = store.put(rows.mapInArrow(_places(min_chars), "doc_id long, dh long, line_no int, lid binary"))
+    classes = line_classes(store, rows, places, threshold, max(edit_chars, min_chars), percent)
+    met = keep_possible(store, places, classes, "lid").join(classes, "lid")
     later = met.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dh") == F.col("dh")) & (F.col("first.line_no") == F.col("line_no"))))
     return store.put(later.groupBy("doc_id", "dh").agg(F.array_sort(F.collect_set("line_no")).alias("drops")))
 
@@ -229,8 +448,9 @@ def dedup_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edit_c
 
     A line (between \\n, without white space around it) of min_chars characters or more is dropped if its class,
     all lines linked by an edit distance of threshold or less, has an earlier line: earlier by doc_id (null first),
-    then by a hash of the text, then by line number. Shorter lines always stay. Lines of fewer than edit_chars characters go only as exact repeats.
-    With a percent below 100 the edits allowed are that share of the shorter line's characters, threshold at most. Rows with equal doc_id and text
+    then by a hash of the text, then by line number. Shorter lines always stay. Lines of fewer than edit_chars
+    characters, and those of no more characters than edits, go only as exact repeats. With a percent below 100 the
+    edits allowed are that share of the shorter line's characters, threshold at most. Rows with equal doc_id and text
     count as one document and keep the same lines. A text that loses all its lines becomes empty; null texts stay
     null and have 0 lines. Columns of docs that clash with added names are replaced; an empty table gives an empty
     result.

@@ -1,10 +1,9 @@
 """Language identification by cross-parsing entropy.
 
 A suffix automaton is built over a bounded sample of labelled text of each language. A text is parsed against
-it greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases for
-its length wins. The automata are completed (a failing step closes the phrase and restarts at the root; a character
-that the sample lacks ends the phrase before it, or is one by itself) and laid out as one integer table, so that numpy
-walks all segments of a batch and all languages in step.
+it greedily into the longest phrases that occur in the sample; a phrase costs the logarithm of the sample's length, and
+the language with the least cost wins. A step that fails closes the phrase, and its character starts the next one; a
+character that the sample lacks ends the phrase before it, or is one by itself. Texts are parsed whole.
 """
 
 from __future__ import annotations
@@ -78,65 +77,140 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 class CrossParser:
-    """The automata of all languages as one table of next state * 2 + (1 if the step closes a phrase)."""
+    """The automata of all languages as one open-addressing table of (state, character) -> state, which numpy walks for
+    many texts and all languages in step. Characters are numbered without a bound; its size follows the samples'."""
 
-    def __init__(self, samples: dict[str, str], max_alphabet: int = 255):
+    def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
         norm = {k: normalise(v) for k, v in samples.items()}
-        all_codes, freq = np.unique(np.concatenate([*norm.values(), np.array([32], np.uint32)]), return_counts=True)
-        kept = np.sort(all_codes[np.argsort(-freq, kind="stable")[:max_alphabet]])
-        self.code_of = np.zeros(sys.maxunicode + 1, np.uint8)  # 0: a character that no sample has
-        self.code_of[kept] = np.arange(1, len(kept) + 1)
-        self.width = len(kept) + 1
-        tables, roots, base = [], [], 0
-        for k in self.langs:
+        chars = np.unique(np.concatenate([*norm.values(), np.array([32], np.uint32)]))
+        self.code_of = np.zeros(sys.maxunicode + 1, np.int32)  # 0: a character that no sample has
+        self.code_of[chars] = np.arange(1, len(chars) + 1)
+        self.width = len(chars) + 1
+        self.bits = np.array([np.log2(len(norm[k]) + 1) for k in self.langs])  # what a phrase of the sample costs to name
+        keys, values, roots, base = [], [], [], 0
+        self.restart = np.zeros((len(self.langs), self.width), np.int64)
+        for j, k in enumerate(self.langs):
             nxt = suffix_automaton(self.code_of[norm[k]].tolist())
-            t = np.full((len(nxt), self.width), -1, np.int64)
-            for s, d in enumerate(nxt):
-                if d:
-                    t[s, list(d.keys())] = list(d.values())
-            t[:, 0] = -1
-            root = t[0].copy()
-            restart = np.where(root >= 0, root, 0)  # after a failed step the character starts the next phrase
-            full = np.where(t >= 0, (t + base) * 2, (restart + base) * 2 + 1)
-            tables.append(full.astype(np.int32))
             roots.append(base)
+            # after a failed step the character starts the next phrase
+            self.restart[j] = base
+            self.restart[j, list(nxt[0])] = base + np.array(list(nxt[0].values()), np.int64)
+            keys.append(np.array([(base + s) * self.width + c for s, d in enumerate(nxt) for c in d], np.int64))
+            values.append(np.array([base + v for d in nxt for v in d.values()], np.int32))
             base += len(nxt)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
-        self.roots = np.array(roots, np.int32)
+        self.roots = np.array(roots, np.int64)
+        self._hash(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int32)]))
 
-    def phrases(self, texts: list[np.ndarray], segment: int = 4096) -> tuple[np.ndarray, np.ndarray]:
-        """Phrase counts [text, language] and lengths; texts are parsed in segments of so many characters."""
-        n_lang = len(self.langs)
-        lens = np.array([len(t) for t in texts], np.int64)
-        counts = np.zeros((len(texts), n_lang), np.int64)
-        n_seg = -(-lens // segment)
-        total = int(n_seg.sum())
-        if not total:
-            return counts, lens
-        flat = self.code_of[np.concatenate(texts)]
-        owner = np.repeat(np.arange(len(texts)), n_seg)
-        first = np.concatenate([[0], np.cumsum(n_seg)[:-1]])
-        k = np.arange(total) - first[owner]
-        start = (np.cumsum(lens) - lens)[owner] + k * segment
-        size = np.minimum(lens[owner] - k * segment, segment)
+    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
+        bits = max(int(2 * len(keys)).bit_length(), 2)
+        self.shift = np.uint64(64 - bits)
+        self.mask = (1 << bits) - 1
+        self.slot_key = np.full(1 << bits, -1, np.int64)
+        self.slot_value = np.zeros(1 << bits, np.int32)
+        at = self._slot(keys)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = self.slot_key[at[todo]] < 0
+            _, first = np.unique(at[todo], return_index=True)
+            placed = np.zeros(len(todo), bool)
+            placed[first] = True
+            placed &= free
+            won = todo[placed]
+            self.slot_key[at[won]], self.slot_value[at[won]] = keys[won], values[won]
+            todo = todo[~placed]
+            at[todo] = (at[todo] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.code_of, self.restart, self.slot_key, self.slot_value))
+
+    def _step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """States [language, lane] after a character in each lane, and whether it closed a phrase."""
+        keys = (state * self.width + codes).ravel()
+        at = self._slot(keys)
+        found = self.slot_key[at]
+        other = np.nonzero((found != keys) & (found >= 0))[0]
+        while len(other):
+            at[other] = (at[other] + 1) & self.mask
+            found[other] = self.slot_key[at[other]]
+            other = other[(found[other] != keys[other]) & (found[other] >= 0)]
+        closed = (found != keys).reshape(state.shape)
+        return np.where(closed, self.restart[:, codes], self.slot_value[at].reshape(state.shape)), closed
+
+    def _walk(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, record: int, late_from: int) -> tuple[np.ndarray, ...]:
+        """Phrases closed by lanes that all begin at the root, and by what their end closes; and of the first steps and
+        of those from late_from on, as many as record, the states and the phrases closed until then."""
+        n_lang, n = len(self.langs), len(start)
         order = np.argsort(-size, kind="stable")
-        owner, start, size = owner[order], start[order], size[order]
-        state = np.repeat(self.roots[:, None], total, 1)
-        closed = np.zeros((n_lang, total), np.int64)
-        alive = total
-        width = self.width
-        for i in range(int(size[0])):
+        start, size = start[order], size[order]
+        state = np.repeat(self.roots[:, None], n, 1)
+        closed = np.zeros((n_lang, n), np.int64)
+        marks = [(np.full((record, n_lang, n), -1, np.int32), np.zeros((record, n_lang, n), np.int32)) for _ in range(2)]
+        before_late = np.zeros((n_lang, n), np.int64)
+        alive = n
+        for i in range(int(size[0]) if n else 0):
             while size[alive - 1] <= i:
                 alive -= 1
-            c = flat[start[:alive] + i]
-            v = self.table[state[:, :alive] * width + c]
-            closed[:, :alive] += v & 1
-            state[:, :alive] = v >> 1
-        closed += state != self.roots[:, None]  # the phrases that the end closes
-        for j in range(n_lang):
-            counts[:, j] = np.bincount(owner, closed[j], len(texts))
+            if record and i == late_from:
+                before_late[:, :alive] = closed[:, :alive]
+            new, ends = self._step(state[:, :alive], flat[start[:alive] + i])
+            state[:, :alive] = new
+            closed[:, :alive] += ends
+            for first, (states, counts) in zip((0, late_from), marks):
+                if 0 <= i - first < record:
+                    states[i - first, :, :alive] = new
+                    counts[i - first, :, :alive] = closed[:, :alive] - (before_late[:, :alive] if first else 0)
+        at_end = state != self.roots[:, None]
+        back = np.empty(n, np.int64)
+        back[order] = np.arange(n)
+        (early, early_n), (late, late_n) = ([m[:, :, back] for m in mark] for mark in marks)
+        return closed[:, back], at_end[:, back], before_late[:, back], early, early_n, late, late_n
+
+    def phrases(self, texts: list[np.ndarray], segment: int = 4096, overlap: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """Phrase counts [text, language] and lengths of normalised texts.
+
+        Texts longer than a segment are walked in segments side by side, each past its end until its phrases fall
+        together with those of the next one; what that had counted before is then replaced. A text in which they do
+        not within the overlap is walked in one go, so the counts are those of whole texts in every case.
+        """
+        lens = np.array([len(t) for t in texts], np.int64)
+        counts = np.zeros((len(texts), len(self.langs)), np.int64)
+        if not len(self.langs) or not lens.sum():
+            return counts, lens
+        flat = self.code_of[np.concatenate(texts)]
+        begin = np.cumsum(lens) - lens
+        segment = max(segment, int(lens.max()) // 1024)  # so that what is recorded of a very long text stays small
+        short = np.nonzero(lens <= segment)[0]
+        closed, at_end, *_ = self._walk(flat, begin[short], lens[short], 0, 0)
+        counts[short] = (closed + at_end).T
+        long = np.nonzero(lens > segment)[0]
+        if not len(long):
+            return counts, lens
+        n_seg = -(-lens[long] // segment)
+        text = np.repeat(long, n_seg)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(n_seg) - n_seg, n_seg)
+        has_next = k + 1 < np.repeat(n_seg, n_seg)
+        size = np.minimum(lens[text] - k * segment, segment + overlap * has_next)
+        closed, at_end, before_late, early, early_n, late, late_n = self._walk(flat, begin[text] + k * segment, size, overlap, segment)
+        whole = np.where(has_next, before_late, closed + at_end)
+        lane = np.nonzero(has_next)[0]
+        same = (late[:, :, lane] == early[:, :, lane + 1]) & (early[:, :, lane + 1] >= 0)
+        j = same.argmax(0)
+        lang, pos = np.indices(j.shape)
+        whole[:, lane] += late_n[j, lang, lane[pos]]
+        whole[:, lane + 1] -= early_n[j, lang, lane[pos] + 1]
+        for x in range(len(self.langs)):
+            counts[long, x] = np.bincount(text, whole[x], len(texts))[long]
+        for t in np.unique(text[lane[~same.any(0).all(0)]]):
+            closed, at_end, *_ = self._walk(flat, begin[t : t + 1], lens[t : t + 1], 0, 0)
+            counts[t] = (closed + at_end)[:, 0]
         return counts, lens
 
     def predict(self, texts: list[str | None], batch_chars: int = 1 << 22) -> list[tuple[str, float]]:
@@ -146,7 +220,7 @@ class CrossParser:
         for t in texts:
             x = normalise(t or "")
             part.append(x if (x != 32).any() else x[:0])
-            size += len(x)
+            size += len(x) * max(len(self.langs), 4) // 4
             if size >= batch_chars:
                 out += self._predict(part)
                 part, size = [], 0
@@ -158,12 +232,13 @@ class CrossParser:
         if not self.langs:
             return [(UNDETERMINED, 0.0)] * len(part)
         counts, lens = self.phrases(part)
-        best = counts.argmin(1)  # of equal counts the first language by name
-        least = counts.min(1)
-        rest = counts.copy()
-        rest[np.arange(len(part)), best] = np.iinfo(np.int64).max
-        second = rest.min(1) if len(self.langs) > 1 else np.maximum(lens, 1)
-        score = 1 - least / np.maximum(np.maximum(second, least), 1)
+        cost = counts * self.bits  # a sample's phrases get longer with its size, by about its logarithm
+        best = cost.argmin(1)  # of equal costs the first language by name
+        least = cost.min(1)
+        rest = cost.copy()
+        rest[np.arange(len(part)), best] = np.inf
+        second = rest.min(1) if len(self.langs) > 1 else np.maximum(lens, 1) * self.bits[0]
+        score = 1 - least / np.maximum(np.maximum(second, least), 1e-9)
         return [(self.langs[b], float(s)) if n else (UNDETERMINED, 0.0) for b, s, n in zip(best, score, lens)]
 
 
@@ -172,27 +247,37 @@ def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
     return docs.where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
 
 
-def fit(docs: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 1_000) -> CrossParser:
-    """Learn from a sample bounded by the three parameters: of each language the docs_per_lang rows that come
-    first by a hash of doc_id give chars_per_doc characters each, up to chars_per_lang."""
-    h = F.xxhash64("doc_id")
+def fit(docs: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 1_000, total_chars: int = 4_000_000) -> CrossParser:
+    """Learn from a sample bounded by the four parameters: of each language the docs_per_lang rows that come first by a
+    hash of doc_id give chars_per_doc characters each, up to chars_per_lang, or an equal share of total_chars where
+    there are many languages. The table grows by some 80 bytes for each character, so total_chars bounds the
+    broadcast at about 320 MB. Where a language's share would be below chars_per_doc, those with the most labelled rows
+    are learned, total_chars / chars_per_doc at most."""
+    most = total_chars // chars_per_doc
+    labelled = training_rows(docs)
+    langs = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
+    langs = [r["lang"] for r in langs.collect()]
+    share = min(chars_per_lang, total_chars // max(len(langs), 1))
+    if len(langs) == most:
+        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")), "lang")
     by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    keys = training_rows(docs).select("lang", "doc_id", h.alias("_h")).withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= docs_per_lang).select("lang", "doc_id", "_r")
+    keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= docs_per_lang).select("lang", "doc_id", "_r")
     # docs_per_lang rows for each language: a row group limit runs before the exchange
     found = docs.select("doc_id", "lang", F.substring("text", 1, chars_per_doc).alias("t")).join(F.broadcast(keys.distinct()), ["doc_id", "lang"])
     samples: dict[str, str] = {}
     for r in sorted(found.select("lang", "_r", "doc_id", "t").collect(), key=lambda r: (r["lang"], r["_r"], r["doc_id"], r["t"] or "")):
         had = samples.get(r["lang"], "")
-        if len(had) < chars_per_lang:
-            samples[r["lang"]] = (had + " " + (r["t"] or ""))[:chars_per_lang]
+        if len(had) < share:
+            samples[r["lang"]] = (had + " " + (r["t"] or ""))[:share]
     return CrossParser({k: v for k, v in samples.items() if any(c.isalpha() for c in v)})
 
 
 def identify(docs: DataFrame, parser: CrossParser) -> DataFrame:
-    """doc_id, lang_pred and score (1 - fewest phrases / second fewest, 0 to 1) of every whole text.
+    """doc_id, lang_pred and score (1 - least cost / second least, 0 to 1) of every whole text.
 
     und with score 0 where the text is null or has no letter. Ties go to the language first by name. Repeated
-    rows are predicted each; other columns are ignored; an empty table gives an empty result.
+    rows are predicted each; other columns are ignored; an empty table gives an empty result. The parser is
+    broadcast; fit bounds its size.
     """
     shared = docs.sparkSession.sparkContext.broadcast(parser)
 

@@ -2,7 +2,7 @@
 
 Texts are cut at ASCII white space, which no token of a white-space-dropping tokenizer crosses, so the count of
 a text is the sum over its pre-tokens. Tier one is a compact table of frequent pre-tokens and their lengths,
-broadcast once. Tier two is a cache in each Python worker, filled by encoding the misses of a batch together.
+found by bounded counters over all texts and broadcast once. Tier two is a cache in each Python worker, filled by encoding the misses of a batch together.
 No pre-token is ever shuffled; the counts are those of the library whatever the two tiers hold.
 """
 
@@ -69,24 +69,40 @@ class WorkerCache:
 _worker: dict = {}
 
 
-def frequent_table(docs: DataFrame, path: str, sample_rows: int, table_size: int) -> tuple[bytes, bytes]:
-    """Pre-tokens that occur most in a sample of sample_rows texts, and their lengths as 16-bit numbers.
-    The sample decides only how often tier one answers, never a count."""
-    seen: Counter[bytes] = Counter()
-    for (t,) in docs.select(F.substring("text", 1, 8_000).alias("text")).where("text is not null").limit(sample_rows).collect():
-        seen.update(w for w in t.encode("utf-8").split() if len(w) <= KEEP_BYTES)
-    words = [w for w, n in seen.most_common(table_size) if n > 1]
+def _counted(kept: int):
+    """The pre-tokens that a task counts most often, from counters of at most eight times as many: when one is full,
+    the half that it has counted least are forgotten."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[bytes] = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                seen.update(t.encode("utf-8").split())
+                if len(seen) > 8 * kept:
+                    seen = Counter(dict(seen.most_common(4 * kept)))
+        best = [(w, n) for w, n in seen.most_common(kept) if n > 1 and len(w) <= KEEP_BYTES]
+        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in best], pa.binary()), pa.array([n for _, n in best], pa.int64())], ["word", "n"])
+
+    return run
+
+
+def frequent_table(docs: DataFrame, path: str, table_size: int, per_task: int) -> tuple[bytes, bytes]:
+    """The table_size pre-tokens that occur most in all texts, by the counts of what each task counts most, and their
+    lengths as 16-bit numbers. It decides only how often tier one answers, never a count. A task tells per_task
+    pre-tokens at most."""
+    told = docs.select("text").where("text is not null").mapInArrow(_counted(per_task), "word binary, n long")
+    words = [bytes(r["word"]) for r in told.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_size).collect()]
     return b" ".join(words), np.array(encode_lengths(path, words), "<u2").tobytes() if words else b""
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, sample_rows: int = 2000, table_size: int = 1 << 15, cache_entries: int = 1 << 18, batch_bytes: int = 1 << 22) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 2048, table_size: int = 1 << 15, per_task: int = 1 << 13, cache_entries: int = 1 << 18, batch_bytes: int = 1 << 22) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit for every row.
 
     tokenizer_path: a tokenizers file whose pre-tokenizer drops white space (no token spans it). Null texts
     count as empty ones: 0 bytes, 0 tokens. Whole texts are counted, whatever their length; repeated rows are
     counted each; other columns are ignored. An empty table gives an empty result.
     """
-    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, tokenizer_path, sample_rows, table_size))
+    table = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, tokenizer_path, table_size, per_task))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = (tokenizer_path, cache_entries, zlib.crc32(table.value[0]))

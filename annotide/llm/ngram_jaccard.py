@@ -3,7 +3,7 @@
 1. Equal texts are one node. MinHash values of each node's shingles give band keys; nodes that share one meet.
 2. Where they meet, MinHash values are compared a few at a time, and a pair is dropped as soon as the posterior
    probability that its similarity reaches the threshold falls below a tolerance. What survives is told as links
-   to the least member, never as all pairs, and its components are narrow clusters of near-equal texts.
+   that connect it, never as all pairs, and its components are narrow clusters of near-equal texts.
 3. Each cluster fetches its shingles once, and any two members are verified exactly. Links are counted and the
    classes built from the exact links alone.
 Groups of any size are compared as pairs of bounded blocks.
@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._blocks import block_pairs, least_labels, pairs_of, whole_groups
+from annotide.llm._blocks import block_pairs, group_links, least_labels, whole_groups
 from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 from annotide.llm.fingerprints import mix
 
@@ -169,23 +169,21 @@ def portions(texts: pa.Array, chars: int = 1 << 20) -> Iterator[tuple[int, int]]
         lo = hi
 
 
-def _candidate_links(threshold: float, tolerance: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pruned(threshold: float, tolerance: float):
+    """The test of pairs of a table of rows by their signatures."""
+
+    def test_of(rows: pa.Table):
         least = least_matches(threshold, tolerance)
-        for t, at in whole_groups(batches, ["key", "lo", "hi"]):
-            lo, hi, own = (t.column(c).to_numpy() for c in ("lo", "hi", "own"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
-            xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for x, y in pairs_of(at, lo, hi, own):
-                live = surviving(sig, x, y, least)
-                xs.append(x[live])
-                ys.append(y[live])
-            label = least_labels(t.num_rows, np.concatenate(xs), np.concatenate(ys))
-            moved = np.nonzero(label != np.arange(t.num_rows))[0]
-            tid = t.column("tid")
-            yield pa.RecordBatch.from_arrays([tid.take(pa.array(moved)).combine_chunks(), tid.take(pa.array(label[moved])).combine_chunks()], ["a", "b"])
+        sig = np.frombuffer(b"".join(rows.column("sig").to_pylist()), np.uint8).reshape(-1, N_HASHES)
 
-    return run
+        def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(x), bool)
+            out[surviving(sig, x, y, least)] = True
+            return out
+
+        return test
+
+    return test_of
 
 
 def _shingle_sets(width: int):
@@ -267,11 +265,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: float = 0.8, tol
     nodes = store.put(signed.groupBy("tid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("mult"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
 
     banded = nodes.select("tid", F.explode("bands").alias("key"))
-    met = banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = store.put(banded.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"))
+    largest = met.agg(F.max("m")).first()[0] or 0
     meeting = banded.join(met, "key").join(nodes.select("tid", "sig"), "tid")
-    candidates = block_pairs(meeting, "key", F.col("m"), "tid", PER_BLOCK).select("key", "lo", "hi", "own", "tid", "sig")
-    links = candidates.mapInArrow(_candidate_links(threshold, tolerance), "a binary, b binary")
-    clusters = connected_components(store, links)
+    clusters = connected_components(store, group_links(store, meeting, "key", "m", "tid", PER_BLOCK, _pruned(threshold, tolerance), largest))
 
     sizes = clusters.groupBy("root").agg(F.count("*").alias("c"))
     placed = store.put(clusters.join(sizes, "root").join(nodes.select("tid", "rep", "mult"), F.col("node") == F.col("tid")).select("tid", "rep", "mult", "root", "c"))

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._common import Store, text_or_empty
+from annotide.llm._common import text_or_empty
 
 PASSAGE = 8
 _PASSAGES = re.compile(r"(?:\S*[^\s.!?][^\S\n]+){0,%d}\S+" % (PASSAGE - 1))
@@ -159,53 +159,64 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 20_000, batch_chars: int = 1 << 21) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 4_000, batch_chars: int = 1 << 21) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is the next row by doc_id (rows that share one, null among them first, follow in the order of
-    their text's hash), and the first after the last. Texts go to buckets by ranges of doc_id; the first row of each
-    range goes to the range before it as well, so one exchange of the texts gives every row its successor.
-    Null texts are empty ones, and their fingerprint is that of no passages. Repeated rows come out each; an only row
-    is its own next one; other columns are ignored; an empty table gives an empty result.
+    their text's hash), and the first after the last. Texts go to buckets by ranges of doc_id, and of the text's hash
+    where one doc_id fills buckets; the first row of each goes to the one before it as well, so one exchange of the
+    texts gives every row its successor. A bucket is read as a stream, so above 200,000 buckets they get longer, not
+    heavier. Null texts are empty ones, and their fingerprint is that of no passages. Repeated rows come out each; an
+    only row is its own next one; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    store = Store(spark, "prints")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     low = -(2**63)
     at = F.coalesce("doc_id", F.lit(low))
     n = rows.count()
-    n_buckets = min(20_000, max(n // rows_per_bucket, min(512, n // 100)) + 1)
-    cuts: list[int] = []
+    n_buckets = min(200_000, n // rows_per_bucket + 1)
+    cuts = np.zeros(0, np.int64)
     if n_buckets > 1:
-        found = rows.select(at.alias("at")).agg(F.percentile_approx("at", [i / n_buckets for i in range(1, n_buckets)], F.lit(max(10_000, 20 * n_buckets)))).first()[0]
-        cuts = sorted(set(found or []))
-    shared = spark.sparkContext.broadcast(np.array(cuts, np.int64))
+        found = rows.select(at.alias("at")).agg(F.percentile_approx("at", [i / n_buckets for i in range(1, n_buckets)], F.lit(max(10_000, 4 * n_buckets)))).first()[0]
+        cuts = np.sort(np.array(found or [], np.int64))
+    shared = spark.sparkContext.broadcast(cuts)
+
+    def bucket_of(ids: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Cuts below an id count, and as large a share of those at it as of all hashes is below its text's."""
+        below, upto = (np.searchsorted(shared.value, ids, side) for side in ("left", "right"))
+        same = upto - below
+        share = (h.astype(np.float64) + 2.0**63) / 2.0**64
+        return np.where(same > 1, below + 1 + np.minimum((share * same).astype(np.int64), same - 1), upto).astype(np.int32)
+
+    split = len(np.unique(cuts)) < len(cuts)  # only then does a bucket depend on the text
+    h = F.xxhash64("text") if split else F.lit(0).cast("long")
 
     @F.pandas_udf("int")
-    def bucket_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(shared.value, ids.to_numpy(np.int64), side="right").astype(np.int32))
+    def bucket_udf(ids: pd.Series, hs: pd.Series) -> pd.Series:
+        return pd.Series(bucket_of(ids.to_numpy(np.int64), hs.to_numpy(np.int64)))
 
     # the first row of each bucket: a row for each bucket, whose number is bounded above
-    heads = rows.select(bucket_of(at).alias("bucket"), at.alias("at")).groupBy("bucket").agg(F.min("at").alias("at")).orderBy("bucket").collect()
-    before = {h["at"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}
-    last_bucket = heads[-1]["bucket"] if heads else 0
-    heads_at = spark.sparkContext.broadcast(before)
+    keyed = rows.select(at.alias("at"), h.alias("h"))
+    heads = keyed.select(bucket_udf("at", "h").alias("bucket"), F.struct("at", "h").alias("k")).groupBy("bucket").agg(F.min("k").alias("k")).select("bucket", "k.*").orderBy("bucket").collect()
+    before = {(x["at"], x["h"]): heads[i - 1]["bucket"] for i, x in enumerate(heads)}
+    heads_at = spark.sparkContext.broadcast((np.array([x["at"] for x in heads], np.int64), before))
 
     def with_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("doc_id").fill_null(low).to_numpy(zero_copy_only=False)
-            own = np.searchsorted(shared.value, ids, side="right").astype(np.int32)
-            yield _rows(b, np.arange(b.num_rows), own, ids, 0)
-            first = np.nonzero(np.isin(ids, np.fromiter(heads_at.value, np.int64, len(heads_at.value))))[0]
-            if len(first):
-                yield _rows(b, first, np.array([heads_at.value[int(i)] for i in ids[first]], np.int32), ids[first], 1)
+            hs = b.column("h").to_numpy()
+            yield _rows(b, np.arange(b.num_rows), bucket_of(ids, hs), ids, 0)
+            first = [i for i in np.nonzero(np.isin(ids, heads_at.value[0]))[0] if (int(ids[i]), int(hs[i])) in heads_at.value[1]]
+            if first:
+                yield _rows(b, np.array(first), np.array([heads_at.value[1][int(ids[i]), int(hs[i])] for i in first], np.int32), ids[first], 1)
 
     def _rows(b: pa.RecordBatch, which: np.ndarray, bucket: np.ndarray, ids: np.ndarray, ahead: int) -> pa.RecordBatch:
         part = b.take(pa.array(which))
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(which), ahead, np.int8)), pa.array(ids), part.column("doc_id"), part.column("text")], ["bucket", "ahead", "at", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(with_buckets, "bucket int, ahead byte, at long, doc_id long, text string")
-    ordered = dealt.repartition("bucket").withColumn("h", F.xxhash64("text")).sortWithinPartitions("bucket", "ahead", "at", "h").drop("h", "at")
+    dealt = rows.withColumn("h", h).mapInArrow(with_buckets, "bucket int, ahead byte, at long, doc_id long, text string")
+    # about two buckets in a partition
+    ordered = dealt.repartition(max(len(heads) // 2, 1), "bucket").withColumn("h", F.xxhash64("text")).sortWithinPartitions("bucket", "ahead", "at", "h").drop("h", "at")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

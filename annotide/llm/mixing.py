@@ -8,10 +8,13 @@ DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from annotide.llm._common import Store, own_names, plain_names
+from annotide.llm.quality_rules import let
 
 
 def hash_uniform(*parts: Column) -> Column:
@@ -35,18 +38,29 @@ def source_rates(docs: DataFrame, alpha: float, weights: dict[str, float] | None
     return counts.select("source", (F.lit(rows) * F.col("w") / F.lit(total_w or 1.0) / F.col("n")).alias("rate"))
 
 
+def log_factorial(n: Column) -> Column:
+    """Stirling's series; its error is below 1e-13 from n = 100 on."""
+    return n * F.log(n) - n + 0.5 * F.log(2 * math.pi * n) + 1 / (12 * n) - 1 / (360 * n * n * n)
+
+
 def poisson_cdf(rate: Column) -> Column:
-    """Array of F(0), F(1), ... as far as the distribution has mass in double precision; terms are built from
-    their logarithms, so large rates do not underflow."""
+    """first and cdf: the array of F(first), F(first + 1), ... as far as the distribution has mass in double precision;
+    terms are built from their logarithms, so large rates do not underflow, and start where they begin to count."""
+    low = F.floor(rate - 12 * F.sqrt(rate) - 20)
+    first = F.when(low >= 100, low).otherwise(0).cast("int")
     last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("lp"), F.exp(-rate).alias("c"), F.array(F.exp(-rate)).alias("cdf"))
 
     def step(s: Column, k: Column) -> Column:
         lp = s["lp"] + F.log(rate) - F.log(k.cast("double"))
         c = s["c"] + F.exp(lp)
         return F.struct(lp.alias("lp"), c.alias("c"), F.concat(s["cdf"], F.array(c)).alias("cdf"))
 
-    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["cdf"])).otherwise(F.array(F.lit(1.0)))
+    def whole(k: Column) -> Column:
+        lp = F.when(k == 0, -rate).otherwise(k * F.log(rate) - rate - log_factorial(k.cast("double")))
+        start = F.struct(lp.alias("lp"), F.exp(lp).alias("c"), F.array(F.exp(lp)).alias("cdf"))
+        return F.struct(k.alias("first"), F.aggregate(F.sequence(k + 1, last), start, step, lambda s: s["cdf"]).alias("cdf"))
+
+    return F.when(rate > 0, let(first, whole)).otherwise(F.struct(F.lit(0).alias("first"), F.array(F.lit(1.0)).alias("cdf")))
 
 
 def poisson_mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] | None = None, out_rows: int | None = None, seed: str = "mix") -> DataFrame:
@@ -66,7 +80,7 @@ def poisson_mix(docs: DataFrame, alpha: float = 0.5, weights: dict[str, float] |
     counted = (
         docs.join(rates, F.col(names["source"]).eqNullSafe(F.col("_source")))
         .withColumn("_u", hash_uniform(F.lit(seed), key))
-        .withColumn("n_copies", F.size(F.filter("_cdf", lambda c: c <= F.col("_u"))))
+        .withColumn("n_copies", F.col("_cdf.first") + F.size(F.filter("_cdf.cdf", lambda c: c <= F.col("_u"))))
         .drop("_source", "_cdf", "_u")
         .where("n_copies > 0")
     )

@@ -2,15 +2,17 @@
 
 Fixed base rules reject texts that are short or repeat themselves. For the rest, no cutoff is fixed: per language and
 source, mergeable quantile sketches of a few rates give a fence (third quartile plus a multiple of the quartile
-distance), and a join with the fences filters the rows. Cells of few rows take the merged sketch of their language,
-or of the whole corpus. DataFrame functions only.
+distance), and a join with the fences filters the rows. A sketch counts rates on a fixed grid, whose steps grow with the
+rate, so it is the same in every run, however its parts are merged. The sketches of a cell's language and of the
+whole corpus enter each cell's with the weight of a few rows: they decide where it has next to none, and fade as it grows.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annotide.llm._common import Store, own_names, plain_names, text_or_empty
@@ -22,6 +24,9 @@ SYMBOLS = "#*$%&|<>"
 #: Rate -> smallest quartile distance that counts (rates of clean text are often constant).
 RATES = {"symbol_rate": 0.02, "caps_rate": 0.02, "bang_rate": 0.02, "word_length": 1.0}
 
+#: Units of a rate in the sketches' grid.
+GRID = 4096
+
 
 def n_removed(text: Column, chars: str) -> Column:
     return F.char_length(text) - F.char_length(F.translate(text, chars, ""))
@@ -61,8 +66,8 @@ def repeated_windows(words: Column, width: int = 8) -> Column:
     return F.when(F.size(words) <= width, F.lit(0)).otherwise(let(words, of_words))
 
 
-def with_features(docs: DataFrame, text: str = "text", repeats: bool = True) -> DataFrame:
-    """docs with _words, n_words, word_chars, n_symbols, n_dup_lines, (n_repeat_words,) and the rates."""
+def with_features(docs: DataFrame, text: str = "text") -> DataFrame:
+    """docs with _words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the rates."""
     out = docs.withColumn("_t", text_or_empty(text)).withColumn("_words", words_of(F.col("_t"))).withColumn("n_words", F.size("_words").cast("long"))
     lines = F.filter(F.split(F.col("_t"), "\n"), lambda x: F.trim(x, F.lit(BLANKS)) != "")
     out = out.withColumns(
@@ -75,55 +80,78 @@ def with_features(docs: DataFrame, text: str = "text", repeats: bool = True) ->
     )
     n, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
     out = out.withColumns({"symbol_rate": F.try_divide(F.col("n_symbols"), n), "caps_rate": F.try_divide(F.col("_caps"), chars), "bang_rate": F.try_divide(F.col("_bangs"), n), "word_length": F.try_divide(chars, n)})
-    if repeats:
-        out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        out = out.withColumn("n_repeat_words", repeated_windows(F.col("_words")).cast("long"))
-    return out
+    out = out.withColumn("_lines", lines).withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
+    return out.withColumn("n_repeat_words", repeated_windows(F.col("_words")).cast("long"))
 
 
-def fences(docs: DataFrame, min_words: int, min_rows: int, reach: float, k: int) -> DataFrame:
-    """f_lang, f_source and an upper fence for each rate, from one pass over the texts.
+def grid_step(rate: Column) -> Column:
+    """The rate in units of 1 / GRID, rounded down to 7 binary digits: the lower edge of its bin."""
+    units = F.floor(rate * GRID).cast("long")
+    return let(units, lambda q: F.call_function("shiftleft", F.call_function("shiftright", q, _surplus(q)), _surplus(q)))
 
-    Every cell (language, source) has a sketch of each rate over its texts of min_words words or more; those of a
-    language, and of all, are merged from them. Null languages and sources are cells of their own.
-    """
-    rates = with_features(docs.select("text", "lang", "source"), repeats=False).where(F.col("n_words") >= min_words)
-    cells = rates.groupBy(F.col("lang").alias("f_lang"), F.col("source").alias("f_source")).agg(F.count("*").alias("n"), *(F.kll_sketch_agg_double(r, F.lit(k)).alias(r) for r in RATES))
-    store = Store(docs.sparkSession, "quality")
-    return store.put(backed_off(store.put(cells), min_rows, reach))  # read back with its true size
 
+def _surplus(q: Column) -> Column:
+    return F.greatest(F.char_length(F.bin(q)) - 7, F.lit(0))
 
-def backed_off(cells: DataFrame, min_rows: int, reach: float) -> DataFrame:
-    """The fences of every cell, from its own sketches or the merged ones of its language or of all."""
 
-    def merged(*by: str) -> DataFrame:
-        return cells.groupBy(*by).agg(F.sum("n").alias("n"), *(F.kll_merge_agg_double(r).alias(r) for r in RATES))
+def sketches(rows: DataFrame) -> DataFrame:
+    """f_lang, f_source, rate, bin, n: the sketch of each rate in each cell (language, source); null languages and sources are
+    cells of their own. A cell has some 1,000 bins at most, at any number of rows."""
+    told = F.explode(F.array(*(F.struct(F.lit(r).alias("rate"), grid_step(F.col(r)).alias("bin")) for r in RATES))).alias("x")
+    return rows.select(F.col("_lang").alias("f_lang"), F.col("_source").alias("f_source"), told).groupBy("f_lang", "f_source", "x.rate", "x.bin").agg(F.count("*").alias("n"))
 
-    by_lang = merged("f_lang").select(F.col("f_lang").alias("l_lang"), F.col("n").alias("l_n"), *(F.col(r).alias(f"l_{r}") for r in RATES))
-    whole = merged().select(*(F.col(r).alias(f"w_{r}") for r in RATES), F.lit(1).alias("one"))
-    out = cells.join(by_lang, F.col("f_lang").eqNullSafe(F.col("l_lang"))).withColumn("one", F.lit(1)).join(F.broadcast(whole), "one")
-    picked = {r: F.when(F.col("n") >= min_rows, F.col(r)).when(F.col("l_n") >= min_rows, F.col(f"l_{r}")).otherwise(F.col(f"w_{r}")) for r in RATES}
-    quartile = lambda c, q: F.kll_sketch_get_quantile_double(c, F.lit(q))
-    fence = {r: quartile(c, 0.75) + F.lit(reach) * F.greatest(quartile(c, 0.75) - quartile(c, 0.25), F.lit(RATES[r])) for r, c in picked.items()}
-    return out.select("f_lang", "f_source", *(f.alias(f"max_{r}") for r, f in fence.items()))
 
+def fences(cells: DataFrame, of_lang: int, of_all: int, reach: float) -> DataFrame:
+    """f_lang, f_source and an upper fence for each rate, from the sketches of all cells.
 
-def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, min_rows: int = 200, reach: float = 6.0, k: int = 1024) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
+    To a cell's counts come the shares of its language's and of all rows, as if of_lang and of_all more rows were theirs.
+    """
+
+    def share(n: str, total: str, rows: int) -> Column:
+        return F.round(F.lit(float(rows)) * F.col(n) / F.col(total), 6).cast("decimal(28,6)").alias("w")
+
+    whole = cells.groupBy("rate", "bin").agg(F.sum("n").alias("n"))
+    whole = whole.join(cells.groupBy("rate").agg(F.sum("n").alias("total")), "rate").select("rate", "bin", share("n", "total", of_all))
+    lang = cells.groupBy(F.col("f_lang").alias("l_lang"), "rate", "bin").agg(F.sum("n").alias("n"))
+    by_lang = cells.groupBy(F.col("f_lang").alias("t_lang"), F.col("rate").alias("t_rate")).agg(F.sum("n").alias("total"))
+    lang = lang.join(by_lang, F.col("l_lang").eqNullSafe(F.col("t_lang")) & (F.col("rate") == F.col("t_rate"))).select("l_lang", F.col("rate").alias("l_rate"), "bin", share("n", "total", of_lang))
+    each = cells.select("f_lang", "f_source", "rate").distinct()
+    parts = cells.select("f_lang", "f_source", "rate", "bin", F.col("n").cast("decimal(28,6)").alias("w"))
+    parts = parts.unionByName(each.join(lang, F.col("f_lang").eqNullSafe(F.col("l_lang")) & (F.col("rate") == F.col("l_rate"))).select("f_lang", "f_source", "rate", "bin", "w"))
+    parts = parts.unionByName(each.join(whole, "rate").select("f_lang", "f_source", "rate", "bin", "w"))
+    bins = parts.groupBy("f_lang", "f_source", "rate", "bin").agg(F.sum("w").alias("w"))
+    cell = Window.partitionBy("f_lang", "f_source", "rate")
+    below = bins.withColumns({"upto": F.sum("w").over(cell.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(cell)})
+    low, high = (F.min(F.when(F.col("upto") * 4 >= F.col("all") * k, F.col("bin"))) / F.lit(float(GRID)) for k in (1, 3))
+    quartiles = below.groupBy("f_lang", "f_source", "rate").agg(low.alias("q1"), high.alias("q3"))
+    least = F.coalesce(*(F.when(F.col("rate") == r, F.lit(v)) for r, v in RATES.items()))
+    fence = quartiles.withColumn("fence", F.col("q3") + F.lit(reach) * F.greatest(F.col("q3") - F.col("q1"), least))
+    return fence.groupBy("f_lang", "f_source").agg(*(F.max(F.when(F.col("rate") == r, F.col("fence"))).alias(f"max_{r}") for r in RATES))
+
+
+def judge(docs: DataFrame, min_words: int = 20, max_repeat_percent: int = 30, of_lang: int = 150, of_all: int = 50, reach: float = 6.0, carry: list[str] | None = None) -> DataFrame:
+    """docs (or its columns carry) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_percent of the words in repeated 8-word
     windows. kept: not base_failed, and no rate above its fence; a text equal to the fence stays. Null or empty
     texts have no words and fail. Rows are judged each, so repeated rows stay repeated; null languages and
-    sources are joined as values of their own; columns of docs that clash with added names are replaced.
+    sources are joined as values of their own; columns of docs that clash with added names are replaced. Texts are
+    read once: the rows are written with their features, from which the sketches are taken.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     docs = docs.drop(*added)
-    cut = fences(docs, min_words, min_rows, reach, k)
+    store = Store(docs.sparkSession, "quality")
     docs, names = plain_names(docs)
+    lang, source = F.col(names["lang"]), F.col(names["source"])
     rows = with_features(docs, names["text"])
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
-    rows = rows.withColumn("base_failed", failed)
-    out = rows.join(cut, F.col(names["lang"]).eqNullSafe(F.col("f_lang")) & F.col(names["source"]).eqNullSafe(F.col("f_source")), "left")
+    if carry is not None:
+        names = {c: n for c, n in names.items() if c in carry}
+    rows = rows.select(*names.values(), *added[:5], failed.alias("base_failed"), lang.alias("_lang"), source.alias("_source"), *RATES)
+    rows = store.put(rows)
+    cells = store.put(sketches(rows.where(F.col("n_words") >= min_words)))
+    cut = store.put(fences(cells, of_lang, of_all, reach))  # read back with its true size
+    out = rows.join(cut, F.col("_lang").eqNullSafe(F.col("f_lang")) & F.col("_source").eqNullSafe(F.col("f_source")), "left")
     inside = F.lit(True)
     for r in RATES:
         inside = inside & (F.col(r) <= F.col(f"max_{r}"))

@@ -42,7 +42,7 @@ def op4_bayesian_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(documents(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return judge(documents(spark, sf_dir), carry=["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_bloom_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,7 +69,7 @@ def op10_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "text", "lang", "source", "n_chars", "copy_no", "n_copies", F.round("rate", 6).alias("rate"), "shuffle_key")
 
 
-#: Exact quartiles: the sketches hold every rate as long as no merged cell has more rows than their parameter k.
+#: The sketches of quality_rules, on the same grid.
 OP5_SQL = r"""
 WITH t AS (SELECT *, coalesce(text, '') AS tx, row_number() OVER () AS rid FROM documents),
 w AS (SELECT *, regexp_extract_all(tx, '[^\x20\x09-\x0D]+') AS ws FROM t),
@@ -85,16 +85,24 @@ rep AS (SELECT rid, CAST(sum(least(8, i - coalesce(p, i - 8))) AS BIGINT) AS n_r
 b AS (SELECT f.*, len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
       n_symbols::DOUBLE / nullif(n_words, 0) AS a1, caps::DOUBLE / nullif(word_chars, 0) AS a2, bangs::DOUBLE / nullif(n_words, 0) AS a3, word_chars::DOUBLE / nullif(n_words, 0) AS a4
       FROM f LEFT JOIN rep USING (rid)),
-lng AS (SELECT * FROM b WHERE n_words >= 20),
-q AS (SELECT 1 AS lvl, lang, source, count(*) AS n, {q} FROM lng GROUP BY lang, source
-      UNION ALL SELECT 2, lang, NULL, count(*), {q} FROM lng GROUP BY lang UNION ALL SELECT 3, NULL, NULL, count(*), {q} FROM lng),
-c AS (SELECT x.lang, x.source, CASE WHEN x.n >= 200 THEN x.f WHEN y.n >= 200 THEN y.f ELSE z.f END AS f
-      FROM q x JOIN q y ON x.lvl = 1 AND y.lvl = 2 AND x.lang IS NOT DISTINCT FROM y.lang JOIN q z ON z.lvl = 3)
+u AS (SELECT lang, source, unnest([1, 2, 3, 4]) AS k, unnest([a1, a2, a3, a4]) AS x FROM b WHERE n_words >= 20),
+v AS (SELECT lang, source, k, q, greatest(length(bin(q)) - 7, 0) AS s FROM (SELECT *, CAST(floor(x * 4096) AS BIGINT) AS q FROM u)),
+c AS (SELECT lang, source, k, (q >> s) << s AS bin, count(*) AS n FROM v GROUP BY ALL),
+each AS (SELECT DISTINCT lang, source, k FROM c),
+l AS (SELECT lang, k, bin, CAST(round(150.0::DOUBLE * sum(n) / sum(sum(n)) OVER (PARTITION BY lang, k), 6) AS DECIMAL(28, 6)) AS w FROM c GROUP BY lang, k, bin),
+a AS (SELECT k, bin, CAST(round(50.0::DOUBLE * sum(n) / sum(sum(n)) OVER (PARTITION BY k), 6) AS DECIMAL(28, 6)) AS w FROM c GROUP BY k, bin),
+parts AS (SELECT lang, source, k, bin, CAST(n AS DECIMAL(28, 6)) AS w FROM c
+          UNION ALL SELECT e.lang, e.source, e.k, l.bin, l.w FROM each e JOIN l ON e.lang IS NOT DISTINCT FROM l.lang AND e.k = l.k
+          UNION ALL SELECT e.lang, e.source, e.k, a.bin, a.w FROM each e JOIN a ON e.k = a.k),
+o AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, k ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, k) AS total FROM (SELECT lang, source, k, bin, sum(w) AS w FROM parts GROUP BY ALL)),
+q AS (SELECT lang, source, k, min(CASE WHEN upto * 4 >= total THEN bin END) / 4096.0::DOUBLE AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) / 4096.0::DOUBLE AS q3 FROM o GROUP BY ALL),
+fence AS (SELECT lang, source, max(CASE WHEN k = 1 THEN f END) AS f1, max(CASE WHEN k = 2 THEN f END) AS f2, max(CASE WHEN k = 3 THEN f END) AS f3, max(CASE WHEN k = 4 THEN f END) AS f4
+          FROM (SELECT *, q3 + 6.0::DOUBLE * greatest(q3 - q1, CASE WHEN k = 4 THEN 1.0::DOUBLE ELSE 0.02::DOUBLE END) AS f FROM q) GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
        CASE WHEN n_words < 20 OR 100 * n_repeat_words > 30 * n_words THEN false
-            ELSE coalesce(a1 <= f[1] AND a2 <= f[2] AND a3 <= f[3] AND a4 <= f[4], true) END AS kept
-FROM b LEFT JOIN c ON b.lang IS NOT DISTINCT FROM c.lang AND b.source IS NOT DISTINCT FROM c.source
-""".replace("{q}", "[" + ", ".join(f"quantile_disc({a}, 0.75) + 6.0 * greatest(quantile_disc({a}, 0.75) - quantile_disc({a}, 0.25), {m})" for a, m in (("a1", 0.02), ("a2", 0.02), ("a3", 0.02), ("a4", 1.0))) + "] AS f")
+            ELSE coalesce(a1 <= f1 AND a2 <= f2 AND a3 <= f3 AND a4 <= f4, true) END AS kept
+FROM b LEFT JOIN fence z ON b.lang IS NOT DISTINCT FROM z.lang AND b.source IS NOT DISTINCT FROM z.source
+"""
 
 OP10_SQL = """
 WITH c AS (SELECT source, count(*) n, pow(count(*)::DOUBLE, 0.5) w FROM documents GROUP BY source),

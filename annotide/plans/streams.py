@@ -18,8 +18,11 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(windowed_counts(event_stream(spark, sf_dir), "6 hours", "2 hours"), spark)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000 AS t FROM events), r AS (SELECT user_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t) AS i FROM e),
+a AS (SELECT user_id, i, t, t AS anchor FROM r WHERE i = 1 UNION ALL SELECT r.user_id, r.i, r.t, CASE WHEN r.t - a.anchor <= 21600000 THEN a.anchor ELSE r.t END FROM a JOIN r ON r.user_id = a.user_id AND r.i = a.i + 1)
+SELECT user_id, anchor, count(*) AS n FROM a GROUP BY user_id, anchor HAVING anchor + 21600000 < (SELECT max(t) FROM e) - 7200000""")
 def stream_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of events of a user within six hours of the first, as they close."""
-    e = event_stream(spark, sf_dir).select("user_id", F.unix_millis("ts").alias("t"))
-    return drain(anchored_counts(e, "user_id", "t", 6 * 3600 * 1000), spark)
+    """Groups of events of a user within six hours of the first that are closed when the watermark is two hours behind
+    the last event."""
+    e = event_stream(spark, sf_dir).select("user_id", "ts", F.unix_millis("ts").alias("t"))
+    return drain(anchored_counts(e, "user_id", "t", 6 * 3600 * 1000, "ts", "2 hours"), spark)

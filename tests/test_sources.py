@@ -58,11 +58,17 @@ def test_text_sources(spark, tmp_path):
 
 
 def test_streamed_groups_equal_the_closed_batch_groups(spark, tmp_path):
-    rows = [(k, t) for k in (1, 2, 3) for t in range(0, 300, 7 + k)]
-    df = spark.createDataFrame(rows, "k long, t long")
-    for i, part in enumerate((df.where("t < 100"), df.where("t between 100 and 199"), df.where("t >= 200"))):
+    """Rows come in three batches, out of order by less than the delay, and some far too late."""
+    rows = [(k, 1000 * t) for k in (1, 2, 3) for t in range(1000, 1300, 7 + k)]
+    stream_rows = [(k, t, t + 15_000 * (t // 1000 % 2)) for k, t in rows]  # when they come
+    df = spark.createDataFrame(stream_rows, "k long, t long, at long").withColumn("ts", F.timestamp_millis("t"))
+    late = spark.createDataFrame([(1, 5, 10**9), (2, 1_100_001, 10**9)], "k long, t long, at long").withColumn("ts", F.timestamp_millis("t"))
+    for part in (df.where("at < 1100000"), df.where("at >= 1100000 and at < 1200000"), df.where("at >= 1200000").unionByName(late)):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    files = sorted((tmp_path / "in").glob("*.parquet"), key=lambda f: f.stat().st_mtime_ns)
+    assert len(files) == 3
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = sorted(tuple(r) for r in drain(anchored_counts(stream, "k", "t", 20), spark).collect())
-    batch = anchored_groups(df, "k", "t", 20).withColumn("last", F.expr("max(anchor) over (partition by k)")).where("anchor < last").drop("last")
-    assert got == sorted(tuple(r) for r in batch.collect())
+    got = sorted(tuple(r) for r in drain(anchored_counts(stream, "k", "t", 20_000, "ts", "20 seconds"), spark).collect())
+    end = max(t for _, t in rows) - 20_000
+    batch = anchored_groups(df, "k", "t", 20_000).where(F.col("anchor") + 20_000 < end)
+    assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 20

@@ -1,8 +1,13 @@
-"""Order-dependent operators. Each key's rows (a song's) are one group: Spark deals the groups out, a group is folded
-in numpy. A group has to fit a task, as a song does."""
+"""Order-dependent operators. Spark deals out and sorts the rows of each key (a song), and a fold reads them as a stream
+whose state does not grow with the key, or, where an operator looks at all of a key at once, holds short runs of it."""
 
 from __future__ import annotations
 
+import heapq
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -29,6 +34,74 @@ def state_notes(frames: DataFrame, by: list[str], i: str, onset: Column, offset:
     return f.select(*by, "bgn", fin.alias("fin"))
 
 
+def fold_sorted(df: DataFrame, by: str, order: list[str], start: Callable[[], object], schema: str) -> DataFrame:
+    """What a fold makes of each key's rows in order. start() gives an object with push(rows), for the next rows of the
+    key, and end(); both give a DataFrame or None. No key is held as a whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fold, last = None, None
+        for b in batches:
+            keys = b[by].astype(object).where(b[by].notna(), None).tolist()
+            cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+            for a, z in zip(cuts[:-1], cuts[1:]):
+                if a == z:
+                    continue
+                outs = []
+                if fold is None or keys[a] != last:
+                    outs.append(fold.end() if fold is not None else None)
+                    fold, last = start(), keys[a]
+                outs.append(fold.push(b.iloc[a:z]))
+                yield from (o for o in outs if o is not None and len(o))
+        out = fold.end() if fold is not None else None
+        if out is not None and len(out):
+            yield out
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInPandas(run, schema)
+
+
+class PathFold:
+    """The best path (see best_path) of a stream of emissions. As soon as the paths to all states of the last row have a
+    row in common, all up to that row is told and forgotten."""
+
+    def __init__(self, hold: int = 4096):
+        self.hold, self.rows = hold, 0
+        self.score: np.ndarray | None = None
+        self.back: list[np.ndarray] = []
+
+    def push(self, emissions: np.ndarray, switch: np.ndarray) -> np.ndarray:
+        """States of the rows that are settled by now."""
+        own = np.arange(emissions.shape[1], dtype=np.int32)
+        for e, cost in zip(emissions, switch):
+            if self.score is None:
+                self.score = e.astype(float)
+                self.back.append(own)
+                continue
+            best = int(self.score.argmax())
+            moved = self.score[best] - cost
+            self.back.append(np.where(self.score >= moved, own, best).astype(np.int32))
+            self.score = np.maximum(self.score, moved) + e
+        if len(self.back) < self.hold:
+            return own[:0]
+        at = own
+        for k in range(len(self.back) - 1, 0, -1):
+            at = self.back[k][at]
+            if (at == at[0]).all():
+                return self._settled(k, int(at[0]))
+        return own[:0]
+
+    def _settled(self, n: int, state: int) -> np.ndarray:
+        """The path of the first n rows held, the last of which is in a state."""
+        path = np.empty(n, np.int32)
+        for k in range(n - 1, -1, -1):
+            path[k] = state
+            state = self.back[k][state]
+        del self.back[:n]
+        return path
+
+    def end(self) -> np.ndarray:
+        return self._settled(len(self.back), int(self.score.argmax())) if self.back else np.zeros(0, np.int32)
+
+
 def best_path(emissions: np.ndarray, switch: np.ndarray) -> np.ndarray:
     """States of the path with the largest sum of emissions [t, s] less switch[t] for each change of state into t."""
     t, s = emissions.shape
@@ -60,40 +133,75 @@ def viterbi_segments(masks: DataFrame, by: str, t: str, mask: str, stay: float =
     costs less on every fourth row."""
     tones = triad_states()
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(t)
-        bits = (rows[mask].to_numpy(np.int64)[:, None] >> np.arange(12)) & 1
-        emissions = 1.0 * bits @ tones.T - 0.5 * bits @ (1 - tones.T)
-        emissions[:, 24] = np.where(bits.sum(1) == 0, 1.0, -0.5)
-        switch = np.where(np.arange(len(rows)) % 4 == 0, stay * on_beat, stay)
-        return pd.DataFrame({by: rows[by].to_numpy(), t: rows[t].to_numpy(), "state": best_path(emissions, switch)})
+    class Fold:
+        def __init__(self):
+            self.path, self.n, self.waiting = PathFold(), 0, []
+
+        def _told(self, states: np.ndarray) -> pd.DataFrame | None:
+            if not len(states):
+                return None
+            keys, times = (np.concatenate([w[i] for w in self.waiting]) for i in (0, 1))
+            self.waiting = [(keys[len(states) :], times[len(states) :])]
+            return pd.DataFrame({by: keys[: len(states)], t: times[: len(states)], "state": states})
 
-    return masks.select(by, t, mask).groupBy(by).applyInPandas(run, f"{by} long, {t} long, state int")
+        def push(self, rows: pd.DataFrame) -> pd.DataFrame | None:
+            bits = (rows[mask].to_numpy(np.int64)[:, None] >> np.arange(12)) & 1
+            emissions = 1.0 * bits @ tones.T - 0.5 * bits @ (1 - tones.T)
+            emissions[:, 24] = np.where(bits.sum(1) == 0, 1.0, -0.5)
+            switch = np.where(np.arange(self.n, self.n + len(rows)) % 4 == 0, stay * on_beat, stay)
+            self.n += len(rows)
+            self.waiting.append((rows[by].to_numpy(), rows[t].to_numpy()))
+            return self._told(self.path.push(emissions, switch))
+
+        def end(self) -> pd.DataFrame | None:
+            return self._told(self.path.end())
+
+    return fold_sorted(masks.select(by, t, mask), by, [t], Fold, f"{by} long, {t} long, state int")
 
 
 def absorb(lengths: list[int], labels: list[str], least: int) -> tuple[list[int], list[str]]:
     """Segments after the shortest one below least (of equal ones the first) has gone to its longer neighbour (of equal
     ones the earlier), again and again; neighbours of equal label join."""
-    segments: list[tuple[int, str]] = []
+    size: list[int] = []
+    label: list[str] = []
     for n, x in zip(lengths, labels):
-        if segments and segments[-1][1] == x:
-            n += segments.pop()[0]
-        segments.append((n, x))
-    while len(segments) > 1:
-        n, at = min((n, i) for i, (n, _) in enumerate(segments))
+        if label and label[-1] == x:
+            size[-1] += n
+        else:
+            size.append(n)
+            label.append(x)
+    before, after = list(range(-1, len(size) - 1)), [*range(1, len(size)), -1]
+    alive = [True] * len(size)
+    left = len(size)
+    heap = [(n, i) for i, n in enumerate(size)]
+    heapq.heapify(heap)
+
+    def unlink(i: int) -> None:
+        nonlocal left
+        alive[i] = False
+        left -= 1
+        if before[i] >= 0:
+            after[before[i]] = after[i]
+        if after[i] >= 0:
+            before[after[i]] = before[i]
+
+    while left > 1:
+        n, i = heapq.heappop(heap)
+        if not alive[i] or size[i] != n:
+            continue  # an entry from before it grew
         if n >= least:
             break
-        left, right = segments[at - 1] if at else None, segments[at + 1] if at + 1 < len(segments) else None
-        into = at - 1 if right is None or (left is not None and left[0] >= right[0]) else at + 1
-        segments[into] = (segments[into][0] + n, segments[into][1])
-        del segments[at]
-        k = 1
-        while k < len(segments):
-            if segments[k][1] == segments[k - 1][1]:
-                segments[k - 1 : k + 1] = [(segments[k - 1][0] + segments[k][0], segments[k][1])]
-            else:
-                k += 1
-    return [s[0] for s in segments], [s[1] for s in segments]
+        a, z = before[i], after[i]
+        into = a if z < 0 or (a >= 0 and size[a] >= size[z]) else z
+        size[into] += n
+        unlink(i)
+        if a >= 0 and z >= 0 and label[a] == label[z]:
+            size[a] += size[z]
+            unlink(z)
+            into = a
+        heapq.heappush(heap, (size[into], into))
+    kept = [i for i, x in enumerate(alive) if x]
+    return [size[i] for i in kept], [label[i] for i in kept]
 
 
 def absorb_short(segments: DataFrame, by: str, start: str, end: str, label: str, least: int) -> DataFrame:
@@ -141,21 +249,46 @@ def greedy_match(left: DataFrame, right: DataFrame, by: str, within: str, t: str
     return got.withColumnsRenamed({"by": by, "within": within})
 
 
+class PitchRuns:
+    """Run number of each value of a stream: a new run where a value is off the median of the run's last window values
+    by more than most."""
+
+    def __init__(self, most: float, window: int):
+        self.most, self.window, self.run = most, window, 0
+        self.held: deque[float] = deque()
+        self.sorted: list[float] = []
+
+    def push(self, values: np.ndarray) -> np.ndarray:
+        out = np.empty(len(values), np.int32)
+        for i, v in enumerate(values.tolist()):
+            n = len(self.sorted)
+            if n and abs(v - (self.sorted[n // 2] + self.sorted[(n - 1) // 2]) / 2) > self.most:
+                self.held.clear()
+                self.sorted.clear()
+                self.run += 1
+            elif n == self.window:
+                del self.sorted[bisect_left(self.sorted, self.held.popleft())]
+            self.held.append(v)
+            insort(self.sorted, v)
+            out[i] = self.run
+        return out
+
+
 def pitch_runs(values: np.ndarray, most: float, window: int) -> np.ndarray:
-    """Run number of each value: a new run where a value is off the median of the run's last window values by more than most."""
-    out = np.zeros(len(values), np.int32)
-    held: list[float] = []
-    for i, v in enumerate(values):
-        if held and abs(v - float(np.median(held[-window:]))) > most:
-            held = []
-            out[i:] += 1
-        held.append(float(v))
-    return out
+    return PitchRuns(most, window).push(values)
 
 
 def split_by_pitch(rows: DataFrame, by: str, t: str, value: str, most: float, window: int = 16) -> DataFrame:
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(t)
-        return pd.DataFrame({by: g[by].to_numpy(), t: g[t].to_numpy(), "run": pitch_runs(g[value].to_numpy(float), most, window)})
+    """by, t, run of each row, in the order of t."""
+
+    class Fold:
+        def __init__(self):
+            self.runs = PitchRuns(most, window)
+
+        def push(self, g: pd.DataFrame) -> pd.DataFrame:
+            return pd.DataFrame({by: g[by].to_numpy(), t: g[t].to_numpy(), "run": self.runs.push(g[value].to_numpy(float))})
+
+        def end(self) -> None:
+            return None
 
-    return rows.select(by, t, value).groupBy(by).applyInPandas(run, f"{by} long, {t} long, run int")
+    return fold_sorted(rows.select(by, t, value), by, [t], Fold, f"{by} long, {t} long, run int")

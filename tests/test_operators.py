@@ -192,3 +192,33 @@ def test_long_keys_are_cut_at_gaps(spark):
     for got in (matched, anchored):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert any(("FlatMapGroupsInPandas" in x or "Aggregate" in x) and "run" in x for x in plan.split("\n"))
+
+
+def test_paths_of_a_stream_equal_whole_ones():
+    rng = np.random.default_rng(6)
+    for n in (1, 5, 400):
+        emissions, switch = rng.integers(0, 4, (n, 6)) / 2, rng.integers(1, 4, n) / 2
+        fold, told = stateful.PathFold(hold=16), []
+        for a in range(0, n, 7):
+            told.append(fold.push(emissions[a : a + 7], switch[a : a + 7]))
+            assert len(fold.back) < 200
+        told.append(fold.end())
+        assert np.concatenate(told).tolist() == stateful.best_path(emissions, switch).tolist()
+
+
+def test_absorbing_many_segments_equals_plain_steps():
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        n = int(rng.integers(1, 30))
+        lengths, labels = rng.integers(1, 9, n).tolist(), rng.choice(list("abc"), n).tolist()
+        plain = []
+        for x, k in zip(lengths, labels):
+            plain = [*plain[:-1], (plain[-1][0] + x, k)] if plain and plain[-1][1] == k else [*plain, (x, k)]
+        while len(plain) > 1 and (m := min(plain, key=lambda s: s[0]))[0] < 5:
+            i = plain.index(next(s for s in plain if s[0] == m[0]))
+            a, z = plain[i - 1] if i else (-1, ""), plain[i + 1] if i + 1 < len(plain) else (-1, "")
+            j = i - 1 if a[0] >= z[0] else i + 1
+            plain[j] = (plain[j][0] + plain[i][0], plain[j][1])
+            del plain[i]
+            plain = [s for k, s in enumerate(plain) if not (k and plain[k - 1][1] == s[1])] if not any(plain[k][1] == plain[k - 1][1] for k in range(1, len(plain))) else [*plain[: i - 1], (plain[i - 1][0] + plain[i][0], plain[i][1]), *plain[i + 1 :]]
+        assert stateful.absorb(lengths, labels, 5) == ([s[0] for s in plain], [s[1] for s in plain])

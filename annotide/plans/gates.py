@@ -131,13 +131,13 @@ def rounded_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select("note_id", "tick", (F.col("tick") - F.coalesce(before, F.lit(0))).alias("delta"))
 
 
-@query(f"""WITH {NOTES_SQL}, m AS (SELECT DISTINCT song_id, start_ms // 10000 AS bar0, 3 + (song_id + start_ms // 10000) % 3 AS beats FROM n WHERE start_ms % 7 = 0), c AS (SELECT *, lead(bar0) OVER w AS nxt, row_number() OVER w AS rn FROM m WINDOW w AS (PARTITION BY song_id ORDER BY bar0)),
+@query(f"""WITH {NOTES_SQL}, m AS (SELECT DISTINCT song_id, start_ms // 10000 AS bar0, 3 + (song_id + start_ms // 10000) % 3 AS beats FROM n), c AS (SELECT *, lead(bar0) OVER w AS nxt, row_number() OVER w AS rn FROM m WINDOW w AS (PARTITION BY song_id ORDER BY bar0)),
 s AS (SELECT *, coalesce(sum((nxt - bar0) * beats) OVER (PARTITION BY song_id ORDER BY bar0 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM c)
 SELECT song_id, bar, CAST(base + (bar - bar0) * beats AS BIGINT) AS first_beat, beats FROM (SELECT *, unnest(generate_series(bar0, coalesce(nxt, bar0 + 4) - 1)) AS bar FROM s)""")
 def meter_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First beat of every bar under a map of changing meters."""
     w = Window.partitionBy("song_id").orderBy("bar0")
-    m = notes(spark, sf_dir).where("start_ms % 7 = 0").select("song_id", F.expr("start_ms div 10000").alias("bar0")).distinct()
+    m = notes(spark, sf_dir).select("song_id", F.expr("start_ms div 10000").alias("bar0")).distinct()
     m = m.withColumn("beats", 3 + (F.col("song_id") + F.col("bar0")) % 3).withColumn("nxt", F.lead("bar0").over(w))
     m = m.withColumn("base", F.coalesce(F.sum((F.col("nxt") - F.col("bar0")) * F.col("beats")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     bars = m.withColumn("bar", F.explode(F.expr("sequence(bar0, coalesce(nxt, bar0 + 4) - 1)")))

@@ -76,14 +76,14 @@ def ranking_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("score"), "c_custkey")).cast("long"))
 
 
-@query("""WITH a AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS stem FROM part WHERE p_partkey % 10 = 0), b AS (SELECT p_partkey AS other, p_name AS other_name, split_part(p_name, ' ', 1) AS stem, p_brand FROM part WHERE p_partkey % 10 = 1)
-SELECT p_partkey, count(*) AS pairs, min(other) AS first FROM a JOIN b ON a.stem = b.stem AND starts_with(other_name, a.stem) GROUP BY p_partkey""")
+@query("""WITH p AS (SELECT p_partkey, p_name, split_part(p_name, ' ', 1) AS stem, p_brand < 'Brand#2' AS left_side FROM part)
+SELECT a.p_partkey, count(*) AS pairs, min(b.p_partkey) AS first FROM p a JOIN p b ON a.left_side AND NOT b.left_side AND a.stem = b.stem AND starts_with(b.p_name, a.stem) GROUP BY a.p_partkey""")
 def name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files paired by the stem of their names: an equality on the stem, then the prefix test; counted on both sides
-    before they meet."""
+    """Names of some brands paired with those of the others by their stem: an equality on the stem, then the prefix
+    test; counted on one side before they meet."""
     p = table(spark, sf_dir, "part").withColumn("stem", F.split_part("p_name", F.lit(" "), F.lit(1)))
-    b = p.where("p_partkey % 10 = 1 and startswith(p_name, stem)").groupBy("stem").agg(F.count("*").alias("pairs"), F.min("p_partkey").alias("first"))
-    return p.where("p_partkey % 10 = 0").join(b, "stem").select("p_partkey", "pairs", "first")
+    b = p.where("not p_brand < 'Brand#2' and startswith(p_name, stem)").groupBy("stem").agg(F.count("*").alias("pairs"), F.min("p_partkey").alias("first"))
+    return p.where("p_brand < 'Brand#2'").join(b, "stem").select("p_partkey", "pairs", "first")
 
 
 #: Stage and the stages that directly depend on it.

@@ -148,15 +148,20 @@ def local_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {LABELS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY song_id) AS total FROM lab),
-w AS (SELECT *, count(*) OVER f AS have, sum(CASE WHEN label = 'N' THEN 1 ELSE 0 END) OVER f AS gaps FROM r WINDOW f AS (PARTITION BY song_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 107 FOLLOWING))
-SELECT song_id, i AS start_frame FROM w WHERE i % 54 = 0 AND i + 108 <= total AND have = 108 AND gaps = 0""")
+w AS (SELECT *, count(*) OVER f AS have, sum(CASE WHEN label = 'N' THEN 1 ELSE 0 END) OVER f AS gaps FROM r WINDOW f AS (PARTITION BY song_id ORDER BY t ROWS BETWEEN CURRENT ROW AND 107 FOLLOWING)),
+s AS (SELECT song_id, i AS start_frame, CASE WHEN song_id % 6 = 0 THEN 'val' ELSE 'train' END AS split, CASE WHEN song_id % 6 = 0 THEN 108 ELSE 54 END AS stride, CASE WHEN song_id % 6 = 0 THEN 1 ELSE 1 + song_id % 3 END AS times FROM w WHERE i + 108 <= total AND have = 108 AND gaps = 0)
+SELECT song_id, start_frame, split, CAST(unnest(generate_series(1, times)) AS INTEGER) AS copy_no FROM s WHERE start_frame % stride = 0""")
 def train_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of 108 frames, 54 apart, in which every frame has a chord."""
+    """Windows of 108 frames in which every frame has a chord: of the songs to train on 54 apart, each as often as its
+    song weighs, and of those to validate on 108 apart, once."""
     w = Window.partitionBy("song_id").orderBy("t")
     r = frame_labels(notes(spark, sf_dir)).withColumn("i", (F.row_number().over(w) - 1).cast("long"))
     ahead = w.rowsBetween(0, 107)
     r = r.withColumn("have", F.count("*").over(ahead)).withColumn("gaps", F.sum((F.col("label") == "N").cast("int")).over(ahead))
-    return r.where("i % 54 = 0 and have = 108 and gaps = 0").select("song_id", F.col("i").alias("start_frame"))
+    held = F.col("song_id") % 6 == 0
+    times = F.when(held, 1).otherwise(1 + F.col("song_id") % 3).cast("int")
+    full = r.where("have = 108 and gaps = 0").where(F.col("i") % F.when(held, 108).otherwise(54) == 0)
+    return full.select("song_id", F.col("i").alias("start_frame"), F.when(held, "val").otherwise("train").alias("split"), F.explode(F.sequence(F.lit(1), times)).alias("copy_no"))
 
 
 @query(f"""WITH {NOTES_SQL}, b AS (SELECT song_id, unnest(generate_series(0, max(end_ms) // 500)) AS i FROM n GROUP BY song_id), x AS (SELECT *, lead(i) OVER (PARTITION BY song_id ORDER BY i) AS nxt FROM b),

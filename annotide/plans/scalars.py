@@ -165,14 +165,18 @@ def vector_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT vec_id, c.label, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), c), 5) AS cosine FROM embeddings, c)
 SELECT vec_id, label, cosine FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY cosine DESC, label) AS rn FROM p) WHERE rn = 1""")
 def cosine_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class whose first vector each vector is closest to; a row for each class, of which there are few, travels
-    with every vector as one array."""
+    """The class whose first vector each vector is closest to. Classes come in arrays of 1,024, so that a vector meets
+    them without a row for each; with more classes it meets one array after the other."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
     heads = e.groupBy("label").agg(F.min_by("v", "vec_id").alias("c"))
-    whole = heads.agg(F.collect_list(F.struct("label", "c")).alias("heads"))
+    numbered = heads.withColumn("block", F.expr("(row_number() over (order by label) - 1) div 1024"))
+    blocks = numbered.groupBy("block").agg(F.collect_list(F.struct("label", "c")).alias("heads"))
+    n_blocks = F.lit(-(-heads.count() // 1024))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    scored = e.join(F.broadcast(whole)).select("vec_id", F.explode("heads").alias("h"), "v").select("vec_id", F.col("h.label").alias("label"), F.round(dot(F.col("v"), F.col("h.c")) / F.sqrt(dot(F.col("v"), F.col("v")) * dot(F.col("h.c"), F.col("h.c"))), 5).alias("cosine"))
-    return scored.groupBy("vec_id").agg(F.max_by("label", F.struct("cosine", -F.col("label"))).alias("label"), F.max("cosine").alias("cosine"))
+    cosine = lambda v, c: F.round(dot(v, c) / F.sqrt(dot(v, v) * dot(c, c)), 5)
+    met = e.select("vec_id", "v", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block")).join(blocks, "block")
+    best = met.select("vec_id", F.array_max(F.transform("heads", lambda h: F.struct(cosine(F.col("v"), h["c"]).alias("cosine"), (-h["label"]).alias("minus"), h["label"].alias("label")))).alias("b"))
+    return best.groupBy("vec_id").agg(F.max("b").alias("b")).select("vec_id", "b.label", "b.cosine")
 
 
 @query("""WITH x AS (SELECT o_orderkey, o_totalprice AS peak, o_custkey % 100 / 100.0::DOUBLE AS bass, o_orderkey % 7 = 0 AS fixed FROM orders)

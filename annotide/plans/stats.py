@@ -39,8 +39,8 @@ SELECT d.q_from, CAST(d.dr AS INTEGER) AS dr, d.q_to, coalesce(k.n, 0) AS n, rou
 def bigram_logp(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Add-one smoothed transition log-probabilities, dense over the vocabulary of labels."""
     n = notes(spark, sf_dir)
-    vocabulary = [r[0] for r in n.select("track").distinct().collect()]  # labels, not rows
-    cells = spark.createDataFrame([(a, d, b) for a in vocabulary for d in range(12) for b in vocabulary], "q_from string, dr int, q_to string")
+    vocabulary = n.agg(F.collect_set("track").alias("v"))  # labels, not rows
+    cells = vocabulary.select(F.explode("v").alias("q_from"), "v").repartition("q_from").select("q_from", F.explode("v").alias("q_to")).select("q_from", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("dr"), "q_to")
     dense = cells.join(bigrams(n), ["q_from", "dr", "q_to"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
     total = F.sum(F.col("n") + 1).over(Window.partitionBy("q_from"))
     return dense.withColumn("logp", F.round(F.log((F.col("n") + 1).cast("double") / total.cast("double")), 6))

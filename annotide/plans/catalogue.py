@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annotide.plans import gates, harmony, joins, scalars, search, sequences, stats, streams, windows  # noqa: F401  they register their queries
+from annotide.plans import files, gates, harmony, joins, scalars, search, sequences, stats, streams, windows  # noqa: F401  they register their queries
 from annotide.plans.registry import QUERIES, SQL, Query
 
 

@@ -66,18 +66,22 @@ def file_events(path: str, data: bytes) -> Iterator[tuple]:
         at += 8 + size
 
 
-def read_midi_events(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each note, control or tempo event of the MIDI files below a path."""
+def events_of_files(files: DataFrame) -> DataFrame:
+    """One row for each note, control or tempo event of MIDI files given as path and content."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in EVENTS.split(", ")]
         for b in batches:
             yield pd.DataFrame([row for p, d in zip(b["path"], b["content"]) for row in file_events(p, bytes(d))], columns=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mid").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInPandas(run, EVENTS)
 
 
+def read_midi_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events of the MIDI files below a path."""
+    return events_of_files(spark.read.format("binaryFile").option("pathGlobFilter", "*.mid").option("recursiveFileLookup", "true").load(path))
+
+
 def note_rows(events: DataFrame) -> DataFrame:
     """path, track, channel, midi, velocity, start_us, end_us: the k-th start of a pitch with its k-th end.
 

@@ -77,12 +77,46 @@ def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
     return nxt
 
 
-_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+def displaced(rows: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Transitions of all states in one array: that of state s under c is at base[s] + c, as s << 32 | next.
+
+    Rows are laid over each other where their characters leave gaps, those of most characters first, and rows of one
+    character fill what is left, so the array takes little more room than there are transitions, whatever the alphabet.
+    """
+    n = sum(map(len, rows))
+    used = bytearray(n + 2 * width + 1)
+    base = np.zeros(len(rows), np.int64)
+    low = front = width  # no place before low is free; larger rows are not tried before front
+    order = sorted(range(len(rows)), key=lambda s: -len(rows[s]))
+    for s in order:
+        chars = sorted(rows[s])
+        if not chars:
+            break
+        if len(chars) == 1:
+            low = used.find(0, low)
+        at, tries = (low if len(chars) == 1 else used.find(0, front)), 0
+        while True:
+            if at < 0 or at + width >= len(used):
+                used.extend(bytes(len(used) + width))
+            b = at - chars[0]
+            if at >= 0 and not any(used[b + c] for c in chars):
+                break
+            at, tries = used.find(0, max(at, front) + 1), tries + 1
+        if tries > 8:
+            front = at - 8
+        for c in chars:
+            used[b + c] = 1
+        base[s] = b
+    slots = np.full(len(used) + width, -1, np.int64)
+    for s in order:
+        for c, to in rows[s].items():
+            slots[base[s] + c] = s << 32 | to
+    return base, slots[: np.nonzero(slots >= 0)[0].max(initial=0) + width + 1]
 
 
 class CrossParser:
-    """The automata of all languages as one open-addressing table of (state, character) -> state, which numpy walks for
-    many texts and all languages in step. Characters are numbered without a bound; its size follows the samples'."""
+    """The automata of all languages as one table of transitions, which numpy walks for many texts and all languages
+    in step. Characters are numbered without a bound; the table's size follows the samples'."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
@@ -92,57 +126,27 @@ class CrossParser:
         self.code_of[chars] = np.arange(1, len(chars) + 1)
         self.width = len(chars) + 1
         self.bits = np.array([np.log2(len(norm[k]) + 1) for k in self.langs])  # what a phrase of the sample costs to name
-        keys, values, roots, base = [], [], [], 0
+        rows: list[dict[int, int]] = []
+        roots = []
         self.restart = np.zeros((len(self.langs), self.width), np.int64)
         for j, k in enumerate(self.langs):
-            nxt = suffix_automaton(self.code_of[norm[k]].tolist())
-            roots.append(base)
+            nxt, root = suffix_automaton(self.code_of[norm[k]].tolist()), len(rows)
+            roots.append(root)
             # after a failed step the character starts the next phrase
-            self.restart[j] = base
-            self.restart[j, list(nxt[0])] = base + np.array(list(nxt[0].values()), np.int64)
-            keys.append(np.array([(base + s) * self.width + c for s, d in enumerate(nxt) for c in d], np.int64))
-            values.append(np.array([base + v for d in nxt for v in d.values()], np.int32))
-            base += len(nxt)
+            self.restart[j] = root
+            self.restart[j, list(nxt[0])] = root + np.array(list(nxt[0].values()), np.int64)
+            rows += [{c: root + to for c, to in d.items()} for d in nxt]
         self.roots = np.array(roots, np.int64)
-        self._hash(np.concatenate([*keys, np.zeros(0, np.int64)]), np.concatenate([*values, np.zeros(0, np.int32)]))
-
-    def _hash(self, keys: np.ndarray, values: np.ndarray) -> None:
-        bits = max(int(2 * len(keys)).bit_length(), 2)
-        self.shift = np.uint64(64 - bits)
-        self.mask = (1 << bits) - 1
-        self.slot_key = np.full(1 << bits, -1, np.int64)
-        self.slot_value = np.zeros(1 << bits, np.int32)
-        at = self._slot(keys)
-        todo = np.arange(len(keys))
-        while len(todo):
-            free = self.slot_key[at[todo]] < 0
-            _, first = np.unique(at[todo], return_index=True)
-            placed = np.zeros(len(todo), bool)
-            placed[first] = True
-            placed &= free
-            won = todo[placed]
-            self.slot_key[at[won]], self.slot_value[at[won]] = keys[won], values[won]
-            todo = todo[~placed]
-            at[todo] = (at[todo] + 1) & self.mask
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * _SPREAD) >> self.shift).astype(np.int64)
+        self.base, self.slots = displaced(rows, self.width)
 
     def nbytes(self) -> int:
-        return sum(x.nbytes for x in (self.code_of, self.restart, self.slot_key, self.slot_value))
+        return sum(x.nbytes for x in (self.code_of, self.restart, self.base, self.slots))
 
     def _step(self, state: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """States [language, lane] after a character in each lane, and whether it closed a phrase."""
-        keys = (state * self.width + codes).ravel()
-        at = self._slot(keys)
-        found = self.slot_key[at]
-        other = np.nonzero((found != keys) & (found >= 0))[0]
-        while len(other):
-            at[other] = (at[other] + 1) & self.mask
-            found[other] = self.slot_key[at[other]]
-            other = other[(found[other] != keys[other]) & (found[other] >= 0)]
-        closed = (found != keys).reshape(state.shape)
-        return np.where(closed, self.restart[:, codes], self.slot_value[at].reshape(state.shape)), closed
+        found = self.slots[self.base[state] + codes]
+        closed = (found >> 32) != state
+        return np.where(closed, self.restart[:, codes], found & 0xFFFFFFFF), closed
 
     def _walk(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, record: int, late_from: int) -> tuple[np.ndarray, ...]:
         """Phrases closed by lanes that all begin at the root, and by what their end closes; and of the first steps and
@@ -250,8 +254,8 @@ def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
 def fit(docs: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 1_000, total_chars: int = 4_000_000) -> CrossParser:
     """Learn from a sample bounded by the four parameters: of each language the docs_per_lang rows that come first by a
     hash of doc_id give chars_per_doc characters each, up to chars_per_lang, or an equal share of total_chars where
-    there are many languages. The table grows by some 80 bytes for each character, so total_chars bounds the
-    broadcast at about 320 MB. Where a language's share would be below chars_per_doc, those with the most labelled rows
+    there are many languages. The table grows by some 50 bytes for each character, so total_chars bounds the
+    broadcast at about 200 MB. Where a language's share would be below chars_per_doc, those with the most labelled rows
     are learned, total_chars / chars_per_doc at most."""
     most = total_chars // chars_per_doc
     labelled = training_rows(docs)

@@ -64,11 +64,46 @@ def edit_distance(a: str, b: str) -> int:
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def dedup_lines(rows: list[tuple], order: list[int], threshold: int, min_chars: int) -> list[list[int]]:
+def dedup_lines(rows: list[tuple], order: list[int], threshold: int, min_chars: int, edit_chars: int = 0, percent: int = 100) -> list[list[int]]:
     """Line numbers dropped from each row (doc_id, text); order: row numbers in the order of documents."""
+    if percent < 100:
+        return _drops(rows, order, min_chars, lambda lines, classes: _join_near(lines, classes, threshold, edit_chars, percent))
+
+    def join(lines: list[str], classes: Classes) -> None:
+        _join_within(lines, classes, threshold)
+
+    return _drops(rows, order, min_chars, join)
+
+
+def _join_near(lines: list[str], classes: Classes, threshold: int, edit_chars: int, percent: int) -> None:
+    """Joins lines within their share of edits; counts of characters rule most pairs out."""
+    lines = sorted((s for s in lines if len(s) >= edit_chars), key=len)
+    counts = [Counter(s) for s in lines]
+    for j, b in enumerate(lines):
+        for i in range(j - 1, -1, -1):
+            most = min(len(lines[i]) * percent // 100, threshold)
+            if len(b) - len(lines[i]) > threshold:
+                break
+            if classes.find(lines[i]) != classes.find(b) and len(b) - len(lines[i]) <= most and ((counts[i] - counts[j]).total() <= most and (counts[j] - counts[i]).total() <= most) and edit_distance(lines[i], b) <= most:
+                classes.join(lines[i], b)
+
+
+def _drops(rows: list[tuple], order: list[int], min_chars: int, join) -> list[list[int]]:
     found = [[(no, s) for no, line in enumerate((t or "").split("\n")) if len(s := line.strip(BLANKS)) >= min_chars] for _, t in rows]
     lines = sorted({s for f in found for _, s in f})
     classes = Classes()
+    join(lines, classes)
+    seen, out = set(), [[] for _ in rows]
+    for i in order:
+        for no, s in found[i]:
+            c = classes.find(s)
+            if c in seen:
+                out[i].append(no)
+            seen.add(c)
+    return out
+
+
+def _join_within(lines: list[str], classes: Classes, threshold: int) -> None:
     if threshold == 1:
         cut = defaultdict(list)
         for s in lines:
@@ -80,14 +115,6 @@ def dedup_lines(rows: list[tuple], order: list[int], threshold: int, min_chars:
     for a, b in pairs:
         if edit_distance(a, b) <= threshold:
             classes.join(a, b)
-    seen, out = set(), [[] for _ in rows]
-    for i in order:
-        for no, s in found[i]:
-            c = classes.find(s)
-            if c in seen:
-                out[i].append(no)
-            seen.add(c)
-    return out
 
 
 def quality(text: str | None) -> tuple[int, int, int, int, int, bool]:

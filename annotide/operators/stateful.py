@@ -159,6 +159,72 @@ def viterbi_segments(masks: DataFrame, by: str, t: str, mask: str, stay: float =
     return fold_sorted(masks.select(by, t, mask), by, [t], Fold, f"{by} long, {t} long, state int")
 
 
+class LatticeFold:
+    """The best path through rows of scored candidates (see lattice_path), told as far as all paths agree."""
+
+    def __init__(self, edge: Callable[[dict, dict], float], hold: int = 1024):
+        self.edge, self.hold = edge, hold
+        self.last: list[dict] = []
+        self.score: list[float] = []
+        self.rows: list[tuple] = []
+        self.back: list[list[int]] = []
+
+    def push(self, row: tuple, candidates: list[dict]) -> list[tuple]:
+        top = max(c["score"] for c in candidates)
+        score, back = [], []
+        for c in candidates:
+            ways = [s + self.edge(p, c) for s, p in zip(self.score, self.last)]
+            best = max(range(len(ways)), key=ways.__getitem__) if ways else 0
+            score.append((ways[best] if ways else 0.0) + (c["score"] - top))
+            back.append(best)
+        self.score, self.last = score, candidates
+        self.rows.append(row)
+        self.back.append(back)
+        if len(self.rows) < self.hold:
+            return []
+        at = set(range(len(candidates)))
+        for k in range(len(self.rows) - 1, 0, -1):
+            at = {self.back[k][j] for j in at}
+            if len(at) == 1:
+                return self._settled(k, at.pop())
+        return []
+
+    def _settled(self, n: int, pick: int) -> list[tuple]:
+        out = []
+        for k in range(n - 1, -1, -1):
+            out.append((*self.rows[k], pick))
+            pick = self.back[k][pick]
+        del self.rows[:n], self.back[:n]
+        return out[::-1]
+
+    def end(self) -> list[tuple]:
+        return self._settled(len(self.rows), max(range(len(self.score)), key=self.score.__getitem__)) if self.rows else []
+
+
+def lattice_path(rows: DataFrame, by: str, t: str, candidates: str, moves: list[float]) -> DataFrame:
+    """by, t, pick (number from 0 of the candidate chosen) of the path whose scores, less each row's best, and edges sum
+    to most; ties go to the first candidate. candidates: an array of structs with root, sfx and score, not empty. An
+    edge is moves[root - previous root modulo 12], and 0 between equal chords."""
+
+    def edge(p: dict, c: dict) -> float:
+        return 0.0 if p["root"] == c["root"] and p["sfx"] == c["sfx"] else moves[(c["root"] - p["root"]) % 12]
+
+    class Fold:
+        def __init__(self):
+            self.path = LatticeFold(edge)
+
+        def _frame(self, told: list[tuple]) -> pd.DataFrame | None:
+            return pd.DataFrame(told, columns=[by, t, "pick"]) if told else None
+
+        def push(self, g: pd.DataFrame) -> pd.DataFrame | None:
+            return self._frame([r for k, at, c in zip(g[by], g[t], g[candidates]) for r in self.path.push((k, at), [x if isinstance(x, dict) else x.asDict() for x in c])])
+
+        def end(self) -> pd.DataFrame | None:
+            return self._frame(self.path.end())
+
+    return fold_sorted(rows.select(by, t, candidates), by, [t], Fold, f"{by} long, {t} long, pick int")
+
+
 def absorb(lengths: list[int], labels: list[str], least: int) -> tuple[list[int], list[str]]:
     """Segments after the shortest one below least (of equal ones the first) has gone to its longer neighbour (of equal
     ones the earlier), again and again; neighbours of equal label join."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annotide.dims import FLAT_NAMES, KS_MAJOR, KS_MINOR, MINORISH, ROMAN_MAJOR, ROMAN_MINOR, SUFFIX_LABEL, TEMPLATES, values_sql
 from annotide.operators.harmony import best_chords, rival_gap
+from annotide.operators.stateful import lattice_path
 from annotide.operators.temporal import top_k
 from annotide.plans.registry import query
 from annotide.plans.windows import CHORDS_SQL, LABELS_SQL, MASKS_SQL, frame_labels, grid_masks
@@ -161,3 +164,26 @@ def chord_voicings(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = lambda iv: F.when((base + iv > 74) & (iv > 12), base + iv - 12).otherwise(base + iv)
     notes_ = F.array_sort(F.array_distinct(F.concat(F.array((F.lit(36) + F.col("n_nationkey") % 12).cast("int")), F.transform("ivs", pack))))
     return x.select("n_nationkey", "root", "sfx", F.array_join(notes_, ",").alias("voicing"))
+
+
+@query(f"""WITH RECURSIVE {RANKED_SQL}, o AS (SELECT h.song_id, h.t, list({{'root': root, 'sfx': sfx, 'score': score}} ORDER BY rank) AS c, row_number() OVER (PARTITION BY h.song_id ORDER BY h.t) AS k FROM hits h JOIN rk ON rk.mask = h.mask AND rank <= 5 GROUP BY h.song_id, h.t),
+d AS (SELECT (c[1].root - lag(c[1].root) OVER (PARTITION BY song_id ORDER BY t) + 12) % 12 AS dr FROM o),
+mv AS (SELECT list(0.5::DOUBLE * greatest(least(round(ln((n + 1)::DOUBLE / (all_n + 12)) - ln(1 / 12.0::DOUBLE), 6), 2.0::DOUBLE), -2.0::DOUBLE) ORDER BY dr) AS m FROM (SELECT x.dr, count(d.dr) AS n, sum(count(d.dr)) OVER () AS all_n FROM (SELECT unnest(generate_series(0, 11)) AS dr) x LEFT JOIN d ON d.dr = x.dr GROUP BY x.dr)),
+f AS (SELECT song_id, k, c, list_transform(c, lambda z: 0.0::DOUBLE + (z.score - c[1].score)) AS score, [1::BIGINT] AS back FROM o WHERE k = 1
+  UNION ALL SELECT song_id, k, c, list_transform(list_zip(ways, c), lambda w: list_max(w[1]) + (w[2].score - c[1].score)), list_transform(ways, lambda w: CAST(list_position(w, list_max(w)) AS BIGINT))
+  FROM (SELECT o.song_id, o.k, o.c, list_transform(o.c, lambda z: list_transform(list_zip(f.score, f.c), lambda p: p[1] + CASE WHEN p[2].root = z.root AND p[2].sfx = z.sfx THEN 0.0::DOUBLE ELSE mv.m[(z.root - p[2].root + 12) % 12 + 1] END)) AS ways FROM f JOIN o ON o.song_id = f.song_id AND o.k = f.k + 1, mv)),
+b AS (SELECT song_id, k, CAST(list_position(score, list_max(score)) AS BIGINT) AS s FROM f WHERE k = (SELECT max(k) FROM o WHERE o.song_id = f.song_id)
+  UNION ALL SELECT f2.song_id, b.k - 1, f2.back[b.s] FROM b JOIN f f2 ON f2.song_id = b.song_id AND f2.k = b.k WHERE b.k > 1)
+SELECT b.song_id, o.t, CAST(b.s - 1 AS INTEGER) AS pick, CAST(o.c[b.s].root AS INTEGER) AS root, o.c[b.s].sfx AS sfx FROM b JOIN o ON o.song_id = b.song_id AND o.k = b.k""")
+def lattice_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chords of the best path through each grid point's five candidates, where moves of the root that are common
+    between the best ones are favoured; what a move is worth is a number for each of twelve."""
+    best = best_chords(song_masks(notes(spark, sf_dir)), 5, how="inner")
+    rows = best.groupBy("song_id", "t").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "root", "sfx", "score"))), lambda c: F.struct(c["root"].alias("root"), c["sfx"].alias("sfx"), c["score"].alias("score"))).alias("c"))
+    top = F.get("c", F.lit(0))["root"]
+    moved = rows.select(F.pmod(top - F.lag(top).over(Window.partitionBy("song_id").orderBy("t")), F.lit(12)).alias("dr")).where("dr is not null").groupBy("dr").agg(F.count("*").alias("n"))
+    n = {r["dr"]: r["n"] for r in moved.collect()}  # twelve at most
+    moves = [0.5 * max(min(round(math.log((n.get(d, 0) + 1) / (sum(n.values()) + 12)) - math.log(1 / 12), 6), 2.0), -2.0) for d in range(12)]
+    got = lattice_path(rows, "song_id", "t", "c", moves)
+    chord = F.get("c", F.col("pick"))
+    return got.join(rows, ["song_id", "t"]).select("song_id", "t", "pick", chord["root"].alias("root"), chord["sfx"].alias("sfx"))

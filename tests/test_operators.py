@@ -222,3 +222,16 @@ def test_absorbing_many_segments_equals_plain_steps():
             del plain[i]
             plain = [s for k, s in enumerate(plain) if not (k and plain[k - 1][1] == s[1])] if not any(plain[k][1] == plain[k - 1][1] for k in range(1, len(plain))) else [*plain[: i - 1], (plain[i - 1][0] + plain[i][0], plain[i][1]), *plain[i + 1 :]]
         assert stateful.absorb(lengths, labels, 5) == ([s[0] for s in plain], [s[1] for s in plain])
+
+
+def test_lattice_path_equals_all_paths():
+    rng = np.random.default_rng(8)
+    moves = (rng.integers(-8, 9, 12) / 4).tolist()
+    edge = lambda p, c: 0.0 if p == c else moves[(c["root"] - p["root"]) % 12]
+    for n in (1, 2, 6):
+        rows = [[{"root": int(rng.integers(12)), "score": float(rng.integers(0, 12)) / 4} for _ in range(rng.integers(1, 4))] for _ in range(n)]
+        fold = stateful.LatticeFold(edge, hold=3)
+        told = [r for i, c in enumerate(rows) for r in fold.push((i,), c)] + fold.end()
+        worth = lambda p: sum(rows[i][j]["score"] for i, j in enumerate(p)) + sum(edge(rows[i - 1][p[i - 1]], rows[i][p[i]]) for i in range(1, n))
+        assert [r[0] for r in told] == list(range(n))
+        assert worth([r[1] for r in told]) == max(map(worth, itertools.product(*(range(len(c)) for c in rows))))

@@ -177,6 +177,8 @@ def group_links(store: Store, rows: DataFrame, group: str, size: str, member: st
     kind = rows.schema[member].dataType.simpleString()
     if largest is None:
         largest = rows.agg(F.max(size)).first()[0] or 0
+    if largest > per_block:
+        rows = store.put(rows)  # read several times
     blocks = F.ceil(F.col(size) / F.lit(per_block)).cast("int")
     many = rows.where(F.col(size) > per_block)
     own = F.pmod(F.xxhash64(F.col(member), F.col(group)), blocks).cast("int")

@@ -1,5 +1,5 @@
-"""Order-dependent operators. Spark deals out and sorts the rows of each key (a song), and a fold reads them as a stream
-whose state does not grow with the key, or, where an operator looks at all of a key at once, holds short runs of it."""
+"""Order-dependent operators. Spark deals out and sorts the rows of each key (a song), and a fold reads them as a stream,
+holding what it can't tell yet (paths: while they stay apart), or, where an operator looks at all of a key at once, runs of it."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ class PathFold:
     row in common, all up to that row is told and forgotten."""
 
     def __init__(self, hold: int = 4096):
-        self.hold, self.rows = hold, 0
+        self.hold = self.look = hold
         self.score: np.ndarray | None = None
         self.back: list[np.ndarray] = []
 
@@ -80,14 +80,16 @@ class PathFold:
             moved = self.score[best] - cost
             self.back.append(np.where(self.score >= moved, own, best).astype(np.int32))
             self.score = np.maximum(self.score, moved) + e
-        if len(self.back) < self.hold:
+        if len(self.back) < self.look:
             return own[:0]
-        at = own
+        at, told = own, own[:0]
         for k in range(len(self.back) - 1, 0, -1):
             at = self.back[k][at]
             if (at == at[0]).all():
-                return self._settled(k, int(at[0]))
-        return own[:0]
+                told = self._settled(k, int(at[0]))
+                break
+        self.look = max(self.hold, 2 * len(self.back))  # while paths stay apart, they are traced at each doubling only
+        return told
 
     def _settled(self, n: int, state: int) -> np.ndarray:
         """The path of the first n rows held, the last of which is in a state."""
@@ -163,7 +165,7 @@ class LatticeFold:
     """The best path through rows of scored candidates (see lattice_path), told as far as all paths agree."""
 
     def __init__(self, edge: Callable[[dict, dict], float], hold: int = 1024):
-        self.edge, self.hold = edge, hold
+        self.edge, self.hold, self.look = edge, hold, hold
         self.last: list[dict] = []
         self.score: list[float] = []
         self.rows: list[tuple] = []
@@ -180,14 +182,16 @@ class LatticeFold:
         self.score, self.last = score, candidates
         self.rows.append(row)
         self.back.append(back)
-        if len(self.rows) < self.hold:
+        if len(self.rows) < self.look:
             return []
-        at = set(range(len(candidates)))
+        at, told = set(range(len(candidates))), []
         for k in range(len(self.rows) - 1, 0, -1):
             at = {self.back[k][j] for j in at}
             if len(at) == 1:
-                return self._settled(k, at.pop())
-        return []
+                told = self._settled(k, at.pop())
+                break
+        self.look = max(self.hold, 2 * len(self.rows))  # while paths stay apart, they are traced at each doubling only
+        return told
 
     def _settled(self, n: int, pick: int) -> list[tuple]:
         out = []
@@ -296,25 +300,116 @@ def greedy_pairs(a: np.ndarray, b: np.ndarray, tolerance: int) -> list[tuple[int
     return out
 
 
+def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by keys, cut so that no run of equal keys is split."""
+    held: pd.DataFrame | None = None
+    for b in batches:
+        b = b if held is None else pd.concat([held, b], ignore_index=True)
+        if not len(b):
+            continue
+        last = np.logical_and.reduce([(b[k] == b[k].iloc[-1]).to_numpy() for k in keys])
+        cut = len(b) - int(last[::-1].cumprod().sum())
+        if cut:
+            yield b.iloc[:cut].reset_index(drop=True)
+        held = b.iloc[cut:]
+    if held is not None and len(held):
+        yield held.reset_index(drop=True)
+
+
 def greedy_match(left: DataFrame, right: DataFrame, by: str, within: str, t: str, key: str, tolerance: int) -> DataFrame:
     """by, within, left_id, right_id, dt of a one-to-one match of rows with equal `within` (a small integer) within the
-    tolerance; both sides have by, within, t and key. A group is a run of rows of both sides with equal by and within
-    and no gap above the tolerance: no match spans such a gap."""
+    tolerance; both sides have by, within, t and key. No match spans a gap above the tolerance, so rows fall into runs
+    without one; runs of one side are dropped, and the others stream, many to a batch, through a task."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["t", "key"])
-        a, b = (rows[rows["side"] == k].reset_index(drop=True) for k in (0, 1))
-        found = greedy_pairs(a["t"].to_numpy(), b["t"].to_numpy(), tolerance)
-        x, y = a.iloc[[i for i, _ in found]].reset_index(drop=True), b.iloc[[j for _, j in found]].reset_index(drop=True)
-        return pd.DataFrame({"by": x["by"], "within": x["within"], "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, ["by", "within", "run"]):
+            number = (rows[["by", "within", "run"]] != rows[["by", "within", "run"]].shift()).any(axis=1).cumsum().to_numpy() - 1
+            side, times = rows["side"].to_numpy(), rows["t"].to_numpy()
+            pairs: list[tuple[int, int]] = []
+            edges = np.searchsorted(number, np.arange(number[-1] + 2))
+            for a, z in zip(edges[:-1], edges[1:]):
+                x, y = a + np.flatnonzero(side[a:z] == 0), a + np.flatnonzero(side[a:z] == 1)
+                pairs += [(x[i], y[j]) for i, j in greedy_pairs(times[x], times[y], tolerance)]
+            if pairs:
+                x, y = (rows.iloc[list(p)].reset_index(drop=True) for p in zip(*pairs))
+                yield pd.DataFrame({"by": x["by"], "within": x["within"], "left_id": x["key"], "right_id": y["key"], "dt": y["t"] - x["t"]})
 
     cols = [F.col(by).alias("by"), F.col(within).cast("long").alias("within"), F.col(t).cast("long").alias("t"), F.col(key).cast("long").alias("key")]
     both = left.select(*cols, F.lit(0).alias("side")).unionByName(right.select(*cols, F.lit(1).alias("side")))
     runs = gap_islands(both, ["by", "within"], ["t"], "t", "t", tolerance, "run")
-    got = runs.groupBy("by", "within", "run").applyInPandas(run, f"by {left.schema[by].dataType.simpleString()}, within long, left_id long, right_id long, dt long")
+    own = Window.partitionBy("by", "within", "run")
+    runs = runs.withColumn("sides", F.max("side").over(own) - F.min("side").over(own)).where("sides = 1").drop("sides")
+    dealt = runs.repartition("by", "within", "run").sortWithinPartitions("by", "within", "run", "t", "key")
+    got = dealt.mapInPandas(run, f"by {left.schema[by].dataType.simpleString()}, within long, left_id long, right_id long, dt long")
     return got.withColumnsRenamed({"by": by, "within": within})
 
 
+def pedal_spans(frames: DataFrame, by: str, i: str, value: str, offset: str, threshold: float, tail: int = 10) -> DataFrame:
+    """by, bgn, fin: pedal spans of dense frames with a value and a flag for offsets.
+
+    A span begins where the value rises to the threshold or above it while none is open. It ends at the first offset
+    after that, which may lie in the tail frames that follow the first frame at or below the threshold, or else at
+    this frame, told when the tail is over. The frame that ends a span begins no other one, and a span that is open at the last
+    frame is dropped. Only frames that can begin or end something leave Spark.
+    """
+    w = Window.partitionBy(by).orderBy(i)
+    f = frames.select(by, i, (F.col(value) <= threshold).alias("quiet"), F.col(offset).alias("off"), F.coalesce((F.col(value) >= threshold) & (F.col(value) > F.lag(value).over(w)), F.lit(False)).alias("on"), F.max(i).over(Window.partitionBy(by)).alias("last"))
+    f = f.withColumn("begins", F.col("quiet") & F.coalesce(~F.lag("quiet").over(w) | F.lag("on").over(w), F.lit(True))).where("on or off or begins")
+
+    class Fold:
+        def __init__(self):
+            self.bgn = self.quiet = self.key = self.last = None
+
+        def push(self, rows: pd.DataFrame) -> pd.DataFrame:
+            out = []
+            self.key, self.last = rows[by].iloc[0], int(rows["last"].iloc[0])
+            for k, on, off, quiet in zip(rows[i].tolist(), rows["on"].tolist(), rows["off"].tolist(), rows["quiet"].tolist()):
+                if self.quiet is not None and k > self.quiet + tail:
+                    out.append((self.bgn, self.quiet))
+                    self.bgn = self.quiet = None
+                if self.bgn is None:
+                    self.bgn = k if on else None
+                    continue
+                if quiet and self.quiet is None:
+                    self.quiet = k
+                if off or (self.quiet is not None and k - self.quiet >= tail):
+                    out.append((self.bgn, k if off else self.quiet))
+                    self.bgn = self.quiet = None
+            return self._frame(out)
+
+        def _frame(self, out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame({by: [self.key] * len(out), "bgn": [a for a, _ in out], "fin": [z for _, z in out]})
+
+        def end(self) -> pd.DataFrame:
+            return self._frame([(self.bgn, self.quiet)] if self.quiet is not None and self.last >= self.quiet + tail else [])
+
+    return fold_sorted(f.select(by, i, "on", "off", "quiet", "last"), by, [i], Fold, f"{by} {frames.schema[by].dataType.simpleString()}, bgn long, fin long")
+
+
+def spaced_cuts(cuts: DataFrame, by: str, segment: str, start: str, place: str, least: float) -> DataFrame:
+    """by, segment, place of the cuts kept: in order of place within a segment (numbered in order of time), each that is
+    at least `least` after the segment's start and after the last one kept."""
+
+    class Fold:
+        def __init__(self):
+            self.segment, self.edge = None, 0.0
+
+        def push(self, rows: pd.DataFrame) -> pd.DataFrame:
+            keep = np.zeros(len(rows), bool)
+            for k, (s, a, x) in enumerate(zip(rows[segment].tolist(), rows[start].tolist(), rows[place].tolist())):
+                if s != self.segment:
+                    self.segment, self.edge = s, a
+                if x - self.edge >= least:
+                    keep[k], self.edge = True, x
+            return rows.loc[keep, [by, segment, place]]
+
+        def end(self) -> None:
+            return None
+
+    kind = lambda c: cuts.schema[c].dataType.simpleString()
+    return fold_sorted(cuts.select(by, segment, start, place), by, [segment, place], Fold, f"{by} {kind(by)}, {segment} {kind(segment)}, {place} {kind(place)}")
+
+
 class PitchRuns:
     """Run number of each value of a stream: a new run where a value is off the median of the run's last window values
     by more than most."""

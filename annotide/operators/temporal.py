@@ -54,6 +54,27 @@ def asof_join(left: DataFrame, right: DataFrame, by: list[str], t: str, payload:
     return both.withColumn("_at", at).where("_side = 1").select(*left.columns, *(F.col(f"_at.{c}").alias(c) for c in payload))
 
 
+def lerp_join(left: DataFrame, knots: DataFrame, by: list[str], t: str, x: str, y: str, name: str) -> DataFrame:
+    """left with the value at t of the line through its key's knots (x, y): straight between neighbours, and on along the
+    first or last piece outside. knots may come several to an x; on a piece of no width, and with one knot alone, the
+    value is that of the piece's first knot, and without knots null. One exchange, as for asof_join."""
+    w = Window.partitionBy(*by).orderBy(x, y)
+    first = F.row_number().over(w) == 1
+    here, there, before = F.struct(F.col(x).alias("x"), F.col(y).alias("y")), F.struct(F.lead(x).over(w).alias("x"), F.lead(y).over(w).alias("y")), F.struct(F.lag(x).over(w).alias("x"), F.lag(y).over(w).alias("y"))
+    ends = F.lead(y).over(w).isNull()
+    k = knots.select(*by, x, y, F.when(~ends | first, here).otherwise(before).alias("_a"), F.when(ends, here).otherwise(there).alias("_z"), F.row_number().over(w).alias("_k"))
+    # a knot answers for all up to the next one, the first also for all before it; of several at an x the last
+    k = k.withColumn("_s", F.when(F.col("_k") == 1, F.lit(None)).otherwise(F.col(x)))
+    k = k.groupBy(*by, "_s").agg(F.max_by(F.struct("_a", "_z"), "_k").alias("_p")).select(*by, F.col("_s").alias(t), "_p.*")
+    a = left.withColumns({"_a": F.lit(None).cast(k.schema["_a"].dataType), "_z": F.lit(None).cast(k.schema["_z"].dataType), "_side": F.lit(1)})
+    both = a.unionByName(k.withColumn("_side", F.lit(0)), allowMissingColumns=True)
+    piece = F.last(F.when(F.col("_side") == 0, F.struct("_a", "_z")), ignorenulls=True).over(Window.partitionBy(*by).orderBy(F.col(t).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0))
+    p = both.withColumn("_p", piece).where("_side = 1")
+    width = F.col("_p._z.x") - F.col("_p._a.x")
+    value = F.col("_p._a.y") + F.when(width == 0, F.lit(0.0)).otherwise((F.col(t) - F.col("_p._a.x")) * (F.col("_p._z.y") - F.col("_p._a.y")) / width)
+    return p.select(*left.columns, F.when(F.col(t).isNotNull(), value).alias(name))
+
+
 def near_join(left: DataFrame, right: DataFrame, by: list[str], tolerance: int, lt: str, rt: str, how: str = "inner") -> DataFrame:
     """Pairs of points with |lt - rt| <= tolerance; how is inner, left, left_semi or left_anti."""
     a = left.withColumn("_b", _div(lt, tolerance + 1))

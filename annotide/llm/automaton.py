@@ -116,8 +116,9 @@ class Automaton:
         return self.column.tolist(), self.table.tolist(), self.marks.tolist(), self.width
 
 
-def determined(classes: list[frozenset[int]], first: set[int], follow: list[set[int]], done: dict[int, int], restart: bool) -> Automaton:
-    """Subset construction and minimisation. done: position -> bits that it marks; restart: matches may begin anywhere."""
+def determined(classes: list[frozenset[int]], first: set[int], follow: list[set[int]], done: dict[int, int], restart: bool, empty: int = 0) -> Automaton:
+    """Subset construction and minimisation. done: position -> bits that it marks; restart: matches may begin anywhere;
+    empty: what the first state marks."""
     kinds: dict[tuple, int] = {}
     column = np.zeros(256, np.int32)
     for b in range(256):
@@ -136,6 +137,7 @@ def determined(classes: list[frozenset[int]], first: set[int], follow: list[set[
             table.append(numbers[to])
     moves = np.array(table, np.int64).reshape(-1, width)
     marks = np.zeros(len(numbers), np.int64)
+    marks[0] = empty
     for (here, _), i in numbers.items():
         for p in here:
             marks[i] |= done.get(p, 0)
@@ -166,8 +168,8 @@ class Scanner:
 
 def _forward(regex: str) -> Automaton:
     p = Positions()
-    _, first, last = p.add(regex)
-    return determined(p.classes, first, p.follow, {x: 1 for x in last}, restart=False)
+    nothing, first, last = p.add(regex)
+    return determined(p.classes, first, p.follow, {x: 1 for x in last}, restart=False, empty=int(nothing))
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Scanner:
@@ -228,8 +230,8 @@ def states(auto: Automaton, data: np.ndarray) -> np.ndarray:
 
 def longest(auto: Automaton, data: bytes, at: int) -> int:
     """End of the longest match that begins at a byte; -1 without one."""
-    s, end = 0, -1
     column, table, marks, width = auto.lists
+    s, end = 0, at if marks[0] else -1
     dead = table[column[BREAK]]
     for i in range(at, len(data)):
         s = table[s * width + column[data[i]]]

@@ -30,8 +30,9 @@ DOUBLE = r"[\x20-](?=[\x20-])"
 CARD = r"[0-9][0-9\x20-]*[0-9]"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
-#: Identifier-like strings: digit groups as of a phone or card number, or a token of five characters or more with a digit or an at sign.
-LIKE = r"(?<![A-Za-z0-9])[(+]?[0-9][0-9()\x20.-]{5,}[0-9]|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{5,}"
+#: Identifier-like strings: digit groups as of a phone or card number that no token goes on from, or a token of five
+#: characters or more with a digit or an at sign.
+LIKE = r"(?<![A-Za-z0-9])[(+]?[0-9][0-9()\x20.-]{5,}[0-9](?![A-Za-z0-9_%+@])|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9._%+@-]{5,}"
 
 SPAN = "array<struct<s:int,e:int,t:string>>"
 RUN = 64

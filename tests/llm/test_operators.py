@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-
 import zlib
 from collections import Counter, defaultdict
 
@@ -538,21 +537,57 @@ def test_patterns_discover_identifiers(spark):
     assert got[101].spans == "" and got[0].n_found == 0
 
 
+def test_secrets_that_begin_with_digits(spark):
+    """A token is one mention as a whole, however many digits it begins with."""
+    hexes = [hashlib.sha1(str(i).encode()).hexdigest() for i in range(40)] + ["186661156f3f9905942d70850a01cbf23a203f82", "69109448945250aa" * 2, "1234567e8"]
+    given = [(i, f'some words and token = "{x}" and more', None, None, None) for i, x in enumerate(hexes)]
+    got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(given, table(spark, extra=False).schema)).collect()}
+    at = given[0][1].index('"') + 1
+    assert [got[i].spans for i in range(42)] == [f"secret:{at}:{at + len(x)}" for x in hexes[:42]]
+    assert got[42].spans == ""
+
+
+def mention_spans(t):
+    """Start and end of the identifier-like strings, by walking over the characters."""
+    import string
+
+    alnum, token = set(string.ascii_letters + string.digits), set(string.ascii_letters + string.digits + "._%+@-")
+    out, i = [], 0
+    while i < len(t):
+        end, before = 0, t[i - 1] if i else ""
+        first = i + (t[i] in "(+")
+        if before not in alnum and first < len(t) and t[first] in string.digits:
+            run = first
+            while run < len(t) and t[run] in "0123456789() .-":
+                run += 1
+            fits = [e for e in range(first + 7, run + 1) if t[e - 1] in string.digits and not (e < len(t) and t[e] in alnum | set("_%+@"))]
+            end = max(fits, default=0)
+        if not end and before not in token:
+            run = i
+            while run < len(t) and t[run] in token:
+                run += 1
+            if run - i >= 5 and any(c in "0123456789@" for c in t[i:run]):
+                end = run
+        if end:
+            out.append((i, end))
+        i = end or i + 1
+    return out
+
+
 def plain_personal_data(given, rounds, min_seeds, min_confidence):
     """doc_id, spans and number of added ones, by loops and dicts."""
     import math
     import re
 
-    like = re.compile(r"(?<![A-Za-z0-9])[(+]?[0-9][0-9() .-]{5,}[0-9]|(?<![A-Za-z0-9._%+@-])(?=[A-Za-z._%+-]*[0-9@])[A-Za-z0-9._%+@-]{5,}")
     names = ("email", "ip", "card", "phone", "secret")
     mentions, based = [], {}
     for d, t in given:
         found = brute.base_spans(t)
         based[d] = [(k, *s) for k in names[:4] for s in found[k]]
-        for m in like.finditer(t or ""):
-            before, after = t[max(m.start() - 64, 0) : m.start()].lower(), t[m.end() : m.end() + 48].lower()
-            s = m.group().lower()
-            over = [k for k, a, z in based[d] if a < m.end() and z > m.start()]
+        for start, stop in mention_spans(t or ""):
+            before, after = t[max(start - 64, 0) : start].lower(), t[stop : stop + 48].lower()
+            s = t[start:stop].lower()
+            over = [k for k, a, z in based[d] if a < stop and z > start]
             seed = over[0] if over else "secret" if re.fullmatch("(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}", s) else None
             patterns = []
             if w := re.search(r"([^\W\d_]|[:=])+(?![^\W\d_]|[:=])([^\w\n:=]|[\d_])+([^\W\d_]|[:=])+([^\w\n:=]|[\d_])*$", before):
@@ -563,7 +598,7 @@ def plain_personal_data(given, rounds, min_seeds, min_confidence):
                 patterns.append(f"<> {one.group(1)} {behind.group(1)}")
             if w := re.search(r"[^\W\d_]+\s?(?:[^\w\s]|[\d_])\s?(?:[^\w\s]|[\d_])?$", before):
                 patterns.append("|" + re.sub(r"\s", "", w.group()))
-            mentions.append((d, m.start(), m.end(), s, over, seed, patterns))
+            mentions.append((d, start, stop, s, over, seed, patterns))
     seed_of, edges = {}, defaultdict(set)
     for *_, s, over, seed, patterns in mentions:
         for p in patterns:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annotide.plans import edges, files, gates, harmony, joins, scalars, search, sequences, spectra, stats, streams, tempo, windows  # noqa: F401  they register their queries
+from annotide.plans import edges, files, gates, harmony, joins, scalars, scores, search, sequences, spectra, stats, streams, tempo, windows  # noqa: F401  they register their queries
 from annotide.plans.registry import QUERIES, SQL, Query
 
 

@@ -13,10 +13,16 @@ EVENTS = "path string, ticks_per_beat int, track int, seq int, tick long, kind s
 CHANNEL_BYTES = {0x8: 2, 0x9: 2, 0xA: 2, 0xB: 2, 0xC: 1, 0xD: 1, 0xE: 2}
 
 
+class Broken(ValueError):
+    """A file that ends within an event, or has data where a status should be."""
+
+
 def _number(data: bytes, at: int) -> tuple[int, int]:
     """A variable-length number and the place behind it."""
     n = 0
     while True:
+        if at >= len(data):
+            raise Broken("it ends within a number")
         byte = data[at]
         at += 1
         n = n << 7 | byte & 0x7F
@@ -25,17 +31,20 @@ def _number(data: bytes, at: int) -> tuple[int, int]:
 
 
 def track_events(data: bytes) -> Iterator[tuple[int, str, int, int, int]]:
-    """tick, kind (on, off, control, tempo), channel and two values of a track chunk's body; others are passed over."""
+    """tick, kind (on, off, control, tempo), channel and two values of a track chunk's body; others are passed over.
+    Broken where the body ends within an event, after the events before it."""
     at, tick, status = 0, 0, 0
     while at < len(data):
         delta, at = _number(data, at)
         tick += delta
-        if data[at] >= 0x80:
+        if at < len(data) and data[at] >= 0x80:
             status = data[at]
             at += 1
         if status == 0xFF:
-            meta = data[at]
+            meta = data[at] if at < len(data) else 0
             size, at = _number(data, at + 1)
+            if at + size > len(data):
+                raise Broken("it ends within an event")
             if meta == 0x51:
                 yield tick, "tempo", 0, int.from_bytes(data[at : at + size], "big"), 0
             at += size
@@ -44,30 +53,46 @@ def track_events(data: bytes) -> Iterator[tuple[int, str, int, int, int]]:
             at += size
         else:
             size = CHANNEL_BYTES.get(status >> 4, 0)
-            a, b = (data[at], data[at + 1] if size == 2 else 0) if size else (0, 0)
+            if not size or at + size > len(data):
+                raise Broken("it ends within an event" if size else "data without a status")
+            a, b = (data[at], data[at + 1] if size == 2 else 0)
             at += size
             kind = {0x8: "off", 0x9: "on" if b else "off", 0xB: "control"}.get(status >> 4)
             if kind:
                 yield tick, kind, status & 15, a, b
 
 
-def file_events(path: str, data: bytes) -> Iterator[tuple]:
-    """Rows of EVENTS for a file; one that is no MIDI file gives none."""
-    if data[:4] != b"MThd":
-        return
+def file_events(path: str, data: bytes, strict: bool = False) -> Iterator[tuple]:
+    """Rows of EVENTS for a file. Of a broken track come the events before the break and a row of kind "broken" (with
+    tick 0), of what is no MIDI file that row alone; the next track goes on. strict: raise Broken instead."""
+
+    def broken(track: int, why: str) -> tuple:
+        if strict:
+            raise Broken(f"{path}: {why}")
+        return path, max(ticks, 1), track, -1, 0, "broken", 0, 0, 0
+
     ticks = int.from_bytes(data[12:14], "big")
+    if data[:4] != b"MThd" or len(data) < 14:
+        yield broken(0, "no MIDI file")
+        return
     at, track = 8 + int.from_bytes(data[4:8], "big"), 0
     while at + 8 <= len(data):
         size = int.from_bytes(data[at + 4 : at + 8], "big")
         if data[at : at + 4] == b"MTrk":
-            for seq, e in enumerate(track_events(data[at + 8 : at + 8 + size])):
-                yield path, ticks, track, seq, *e
+            try:
+                for seq, e in enumerate(track_events(data[at + 8 : at + 8 + size])):
+                    yield path, ticks, track, seq, *e
+                if at + 8 + size > len(data):
+                    yield broken(track, "a track is cut off")
+            except Broken as e:
+                yield broken(track, str(e))
             track += 1
         at += 8 + size
 
 
 def events_of_files(files: DataFrame) -> DataFrame:
-    """One row for each note, control or tempo event of MIDI files given as path and content."""
+    """One row for each note, control or tempo event of MIDI files given as path and content, and one of kind "broken"
+    for each break (see file_events)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [f.split()[0] for f in EVENTS.split(", ")]
@@ -111,11 +136,39 @@ def _varlen(n: int) -> bytes:
     return bytes(reversed(out))
 
 
+def meta(kind: int, body: bytes) -> bytes:
+    return bytes([0xFF, kind]) + _varlen(len(body)) + body
+
+
+#: First bytes of the messages that are written, by kind.
+STATUS = {"off": 0x80, "on": 0x90, "control": 0xB0}
+
+
+def track_bytes(events: list[tuple[int, bytes]]) -> bytes:
+    """A track chunk of (tick, message) in order."""
+    body, last = [], 0
+    for tick, message in events:
+        body.append(_varlen(tick - last) + message)
+        last = tick
+    track = b"".join(body) + b"\x00" + meta(0x2F, b"")
+    return b"MTrk" + len(track).to_bytes(4, "big") + track
+
+
+def head_bytes(form: int, tracks: int, ticks_per_beat: int) -> bytes:
+    return b"MThd" + b"".join(n.to_bytes(k, "big") for n, k in ((6, 4), (form, 2), (tracks, 2), (ticks_per_beat, 2)))
+
+
 def midi_bytes(events: list[tuple[int, int, int, int]], ticks_per_beat: int, us_per_beat: int) -> bytes:
     """A file of format 0 from (tick, 1 for on or 0 for off, pitch, velocity) in order."""
-    body, last = [b"\x00\xff\x51\x03" + us_per_beat.to_bytes(3, "big")], 0
-    for tick, on, pitch, velocity in events:
-        body.append(_varlen(tick - last) + bytes([0x90 if on else 0x80, pitch, velocity]))
-        last = tick
-    track = b"".join(body) + b"\x00\xff\x2f\x00"
-    return b"MThd" + b"".join(n.to_bytes(k, "big") for n, k in ((6, 4), (0, 2), (1, 2), (ticks_per_beat, 2))) + b"MTrk" + len(track).to_bytes(4, "big") + track
+    tempo = (0, meta(0x51, us_per_beat.to_bytes(3, "big")))
+    return head_bytes(0, 1, ticks_per_beat) + track_bytes([tempo, *((t, bytes([0x90 if on else 0x80, p, v])) for t, on, p, v in events)])
+
+
+def tracks_bytes(tracks: list[tuple[str, list[tuple[int, str, int, int, int]]]], ticks_per_beat: int, us_per_beat: int, beats: int = 4, sharps: int = 0, minor: bool = False) -> bytes:
+    """A file of format 1: a track of tempo, meter and key, then one for each (name, events), the events as (tick, kind,
+    channel, a, b) in order."""
+    first = [(0, meta(0x51, us_per_beat.to_bytes(3, "big"))), (0, meta(0x58, bytes([beats, 2, 24, 8]))), (0, meta(0x59, bytes([sharps & 0xFF, int(minor)])))]
+    chunks = [track_bytes(first)]
+    for name, events in tracks:
+        chunks.append(track_bytes([(0, meta(0x03, name.encode())), *((t, bytes([STATUS[kind] | channel, a, b])) for t, kind, channel, a, b in events)]))
+    return head_bytes(1, len(chunks), ticks_per_beat) + b"".join(chunks)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotide.sources.midi import midi_bytes
+from annotide.sources.midi import midi_bytes, tracks_bytes
 
 
 def ordered(fields: list[Column], order: str) -> Column:
@@ -56,3 +56,41 @@ def midi_files(notes: DataFrame, by: str = "song_id", ticks_per_beat: int = 480,
         return e.map(lambda rows: midi_bytes([(r["tick"], r["kind"], r["midi"], r["velocity"]) for r in rows], ticks_per_beat, us_per_beat))
 
     return songs.select(by, packed("events").alias("content"))
+
+
+def chord_notes(segments: DataFrame, voicing: Column, by: str = "song_id") -> DataFrame:
+    """by, start_ms, end_ms, midi, velocity: the notes of block chords, those of one chord at once; the surer a chord is, the
+    louder. Silence (N) goes. segments: by, start_ms, end_ms, label, conf; voicing: an array of pitches."""
+    velocity = F.greatest(F.least((40 + 70 * F.coalesce("conf", F.lit(0.5))).cast("int"), F.lit(127)), F.lit(1))
+    return segments.where(F.col("label") != "N").select(by, "start_ms", "end_ms", F.explode(F.array_sort(F.array_distinct(voicing))).alias("midi"), velocity.alias("velocity"))
+
+
+def note_events(notes: DataFrame, track: Column, ticks_per_beat: int = 480, us_per_beat: int = 500_000, by: str = "song_id", channel: int = 0) -> DataFrame:
+    """by, track, tick, kind, channel, a, b of the starts and ends of notes; an end is a sixteenth after its start at least
+    where it isn't behind it."""
+    tick = lambda c: F.greatest(F.round(F.col(c) * 1000 * ticks_per_beat / us_per_beat), F.lit(0)).cast("long")
+    n = notes.select(by, track.alias("track"), tick("start_ms").alias("s"), tick("end_ms").alias("e"), F.col("midi").cast("int").alias("a"), F.col("velocity").cast("int").alias("b"))
+    n = n.withColumn("e", F.when(F.col("e") <= F.col("s"), F.col("s") + ticks_per_beat // 4).otherwise(F.col("e")))
+    on = F.struct(F.col("s").alias("tick"), F.lit("on").alias("kind"), F.lit(channel).alias("channel"), "a", "b")
+    off = F.struct(F.col("e").alias("tick"), F.lit("off").alias("kind"), F.lit(channel).alias("channel"), "a", F.lit(0).alias("b"))
+    return n.select(by, "track", F.explode(F.array(on, off)).alias("x")).select(by, "track", "x.*")
+
+
+def sustain_events(controls: DataFrame, track: Column, ticks_per_beat: int = 480, us_per_beat: int = 500_000, by: str = "song_id", channel: int = 0) -> DataFrame:
+    """by, track, tick, kind, channel, a, b of sustain pedal values (controller 64). controls: by, t (ms), value."""
+    tick = F.greatest(F.round(F.col("t") * 1000 * ticks_per_beat / us_per_beat), F.lit(0)).cast("long")
+    return controls.select(by, track.alias("track"), tick.alias("tick"), F.lit("control").alias("kind"), F.lit(channel).alias("channel"), F.lit(64).alias("a"), F.col("value").cast("int").alias("b"))
+
+
+def song_files(events: DataFrame, by: str = "song_id", ticks_per_beat: int = 480, us_per_beat: int = 500_000, sharps: int = 0, minor: bool = False) -> DataFrame:
+    """by, content: a MIDI file of format 1 for each song, with a track for each name. events: by, track, tick, kind (on,
+    off, control), channel, a, b. At one tick ends come first, then controls, then starts."""
+    order = F.when(F.col("kind") == "off", 0).when(F.col("kind") == "control", 1).otherwise(2).alias("o")
+    tracks = events.groupBy(by, "track").agg(F.array_sort(F.collect_list(F.struct("tick", order, "a", "b", "kind", "channel"))).alias("events"))
+    songs = tracks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("track", "events"))).alias("tracks"))
+
+    @F.pandas_udf("binary")
+    def packed(t: pd.Series) -> pd.Series:
+        return t.map(lambda rows: tracks_bytes([(r["track"], [(e["tick"], e["kind"], e["channel"], e["a"], e["b"]) for e in r["events"]]) for r in rows], ticks_per_beat, us_per_beat, sharps=sharps, minor=minor))
+
+    return songs.select(by, packed("tracks").alias("content"))

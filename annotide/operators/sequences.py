@@ -1,4 +1,4 @@
-"""Ordered operators on rows of a key: islands, fills, sliding medians and folds."""
+"""Ordered operators on rows of a key: islands, fills and sliding medians."""
 
 from __future__ import annotations
 
@@ -33,22 +33,3 @@ def sliding_median(df: DataFrame, by: list[str], order: list[str], value: str, w
     n = F.size("_win")
     mid = F.element_at("_win", F.floor((n + 1) / 2).cast("int")) + F.element_at("_win", F.floor(n / 2).cast("int") + 1)
     return df.withColumn(name, mid / 2).drop("_win")
-
-
-def anchored_groups(df: DataFrame, by: str, t: str, eps: int) -> DataFrame:
-    """by, anchor, n: rows grouped to the first row of a group while they are at most eps after it.
-
-    The anchor does not move with the rows, so this is neither a session window nor a lag test; the sorted times of
-    a key are folded once. Held together as one array are a key's times without a gap above eps: after such a gap a
-    group begins in any case.
-    """
-    runs = gap_islands(df.select(by, t).where(F.col(t).isNotNull()), [by], [t], t, t, eps, "_run")
-    times = runs.groupBy(by, "_run").agg(F.array_sort(F.collect_list(t)).alias("ts"))
-    start = F.expr("cast(array() as array<struct<anchor:bigint,n:bigint>>)")
-
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["anchor"].alias("anchor"), (last["n"] + 1).alias("n"))))
-        return F.when((F.size(acc) > 0) & (x - F.get(acc, F.size(acc) - 1)["anchor"] <= eps), grown).otherwise(F.concat(acc, F.array(F.struct(x.alias("anchor"), F.lit(1).cast("bigint").alias("n")))))
-
-    return times.select(by, F.explode(F.aggregate("ts", start, step)).alias("g")).select(by, "g.anchor", "g.n")

@@ -300,6 +300,42 @@ def greedy_pairs(a: np.ndarray, b: np.ndarray, tolerance: int) -> list[tuple[int
     return out
 
 
+def anchored_groups(df: DataFrame, by: str, t: str, eps: int) -> DataFrame:
+    """by, anchor, n: rows grouped to the first row of a group while they are at most eps after it.
+
+    The anchor does not move with the rows, so this is neither a session window nor a lag test. The sorted times of a key
+    stream through a fold that holds the open group's anchor and count alone and looks once for each group's end. Rows
+    of null time are in no group.
+    """
+
+    class Fold:
+        def __init__(self):
+            self.key = self.anchor = None
+            self.n = 0
+
+        def push(self, rows: pd.DataFrame) -> pd.DataFrame:
+            self.key, times = rows[by].iloc[0], rows[t].to_numpy(np.int64)
+            out, i = [], 0
+            while i < len(times):
+                if self.anchor is None:
+                    self.anchor, self.n = int(times[i]), 0
+                j = int(np.searchsorted(times, self.anchor + eps, "right"))
+                self.n, i = self.n + j - i, j
+                if i < len(times):
+                    out.append((self.anchor, self.n))
+                    self.anchor = None
+            return self._frame(out)
+
+        def _frame(self, out: list[tuple]) -> pd.DataFrame:
+            return pd.DataFrame({by: [self.key] * len(out), "anchor": [a for a, _ in out], "n": [n for _, n in out]})
+
+        def end(self) -> pd.DataFrame:
+            return self._frame([] if self.anchor is None else [(self.anchor, self.n)])
+
+    times = df.select(by, F.col(t).cast("long").alias(t)).where(F.col(t).isNotNull())
+    return fold_sorted(times, by, [t], Fold, f"{by} {df.schema[by].dataType.simpleString()}, anchor long, n long")
+
+
 def whole_runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Batches of rows sorted by keys, cut so that no run of equal keys is split."""
     held: pd.DataFrame | None = None

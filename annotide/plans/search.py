@@ -32,6 +32,24 @@ def chroma_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(mid, "song_id").select("song_id", "lag", "score", F.round(F.col("score") - F.col("mid"), 6).alias("sharpness"))
 
 
+@query(f"""WITH {NOTES_SQL}, v AS (SELECT song_id, track, start_ms // 500 AS i, midi % 12 AS pc, CAST(sum(amp + 1) AS DOUBLE) AS v FROM n WHERE track IN ('click', 'view') GROUP BY ALL), u AS (SELECT *, v / sqrt(sum(v * v) OVER (PARTITION BY song_id, track, i)) AS x FROM v),
+k AS (SELECT unnest(generate_series(-12, 12)) AS lag), c AS (SELECT a.song_id, lag, round(sum(a.x * b.x), 6) AS score FROM u a JOIN k ON true JOIN u b ON b.song_id = a.song_id AND b.pc = a.pc AND b.i = a.i - lag WHERE a.track = 'click' AND b.track = 'view' GROUP BY ALL),
+r AS (SELECT c.*, row_number() OVER (PARTITION BY c.song_id ORDER BY c.score DESC, c.lag) AS rn, p.score AS s0, q.score AS s2 FROM c LEFT JOIN c p ON p.song_id = c.song_id AND p.lag = c.lag - 1 LEFT JOIN c q ON q.song_id = c.song_id AND q.lag = c.lag + 1)
+SELECT song_id, CAST(lag AS INTEGER) AS lag, round((lag + CASE WHEN abs(s0 - 2 * score + s2) > 1e-9 THEN 0.5e0 * (s0 - s2) / (s0 - 2 * score + s2) ELSE 0 END) * 0.5e0, 6) AS seconds FROM r WHERE rn = 1""")
+def chroma_offset_fine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lag of chroma_offset moved to the top of the parabola through its score and those beside it, in seconds; at an
+    edge, and where three scores lie on a line, the lag itself."""
+    n = notes(spark, sf_dir)
+    a = chroma(n, "click", "x").withColumn("lag", F.explode(F.sequence(F.lit(-12), F.lit(12)))).select("song_id", "pc", "lag", (F.col("i") - F.col("lag")).alias("i"), "x")
+    c = a.join(chroma(n, "view", "y"), ["song_id", "pc", "i"]).groupBy("song_id", "lag").agg(F.round(F.sum(F.col("x") * F.col("y")), 6).alias("score"))
+    w = Window.partitionBy("song_id").orderBy("lag")
+    beside = lambda f: F.when(F.abs(f("lag").over(w) - F.col("lag")) == 1, f("score").over(w))
+    best = top_k(c.withColumns({"s0": beside(F.lag), "s2": beside(F.lead)}), ["song_id"], [F.col("score").desc(), F.col("lag")], 1)
+    bend = F.col("s0") - 2 * F.col("score") + F.col("s2")
+    moved = F.when(F.abs(bend) > 1e-9, 0.5 * (F.col("s0") - F.col("s2")) / bend).otherwise(0.0)
+    return best.select("song_id", "lag", F.round((F.col("lag") + moved) * 0.5, 6).alias("seconds"))
+
+
 @query(f"""WITH {NOTES_SQL}, b AS (SELECT unnest(generate_series(70, 180, 5)) AS bpm), x AS (SELECT song_id, bpm, (start_ms % (60000 // bpm)) * 10 // (60000 // bpm) AS phase, count(*) AS c FROM n, b GROUP BY ALL),
 s AS (SELECT song_id, bpm, max(c) AS hits, sum(c) AS total FROM x GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY song_id ORDER BY hits DESC, bpm) AS rn FROM s)
 SELECT song_id, CAST(rn AS INTEGER) AS rank, CAST(bpm AS INTEGER) AS bpm, round(hits / CAST(total AS DOUBLE), 6) AS lock FROM r WHERE rn <= 3""")

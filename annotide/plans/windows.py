@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from annotide.dims import INTERVAL_WEIGHTS, templates_sql, values_sql
 from annotide.operators.harmony import best_chords
-from annotide.operators.sequences import anchored_groups, forward_fill, gap_islands, islands, sliding_median
+from annotide.operators.sequences import forward_fill, gap_islands, islands, sliding_median
+from annotide.operators.stateful import anchored_groups
 from annotide.operators.temporal import interval_join
 from annotide.plans.joins import BUCKET, GRID_SQL, song_grid
 from annotide.plans.registry import query

@@ -161,3 +161,20 @@ def test_smooth_paths_that_stay_apart():
     e[:, 1] = 1.0
     told = [fold.push(e[i : i + 50], np.full(50, 9.0)) for i in range(0, n, 50)] + [fold.end()]
     assert np.concatenate(told).tolist() == stateful.best_path(e, np.full(n, 9.0)).tolist()
+
+
+def test_anchored_groups_of_a_dense_run_take_time_in_proportion(spark):
+    """No gap above eps anywhere, so all of a key is one run; batches of any size give the same groups."""
+    n = 300_000
+    df = spark.range(n).select(F.lit(1).cast("long").alias("k"), (F.col("id") * 3).alias("t"))
+    t = time.time()
+    got = stateful.anchored_groups(df, "k", "t", 10).agg(F.count("*"), F.sum("n"), F.max("n"), F.max("anchor")).first()
+    assert tuple(got) == (n // 4, n, 4, (n // 4 - 1) * 12) and time.time() - t < 30
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        few = stateful.anchored_groups(df.where("t < 300"), "k", "t", 10)
+        assert sorted(map(tuple, few.collect())) == [(1, a, 4) for a in range(0, 300, 12)]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert stateful.anchored_groups(df.where("false"), "k", "t", 10).count() == 0
+    assert stateful.anchored_groups(spark.createDataFrame([(None, 5), (None, 6), (2, None)], "k long, t long"), "k", "t", 10).collect() == [(None, 5, 2)]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from annotide.operators import stateful
 from annotide.operators.harmony import candidate_rows, mask_candidates
-from annotide.operators.sequences import anchored_groups, forward_fill, gap_islands, islands, sliding_median
+from annotide.operators.sequences import forward_fill, gap_islands, islands, sliding_median
+from annotide.operators.stateful import anchored_groups
 from annotide.operators.temporal import asof_join, interval_join, near_join, overlap_join, top_k
 
 INTERVALS = [(1, 0, 10, "a"), (1, 10, 20, "b"), (1, 5, 5, "none"), (1, 0, 10, "twin"), (1, 3, 100, "long"), (2, 0, 4, "other")]
@@ -191,7 +192,8 @@ def test_long_keys_are_cut_at_gaps(spark):
     assert sorted(map(list, anchored.collect())) == groups
     for got in (matched, anchored):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
-        assert any(("FlatMapGroupsInPandas" in x or "Aggregate" in x) and "run" in x for x in plan.split("\n"))
+        assert "MapInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # streams, with no group held
+    assert any("RepartitionByExpression" in x and "run" in x for x in matched._jdf.queryExecution().optimizedPlan().toString().split("\n"))
 
 
 def test_paths_of_a_stream_equal_whole_ones():

@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from annotide.operators.sequences import anchored_groups
+from annotide.operators.stateful import anchored_groups
 from annotide.sources import midi, readers, sinks
 from annotide.streaming.events import anchored_counts, drain
 

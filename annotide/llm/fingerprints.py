@@ -159,22 +159,23 @@ def edited_text(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 4_000, batch_chars: int = 1 << 21) -> DataFrame:
+def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 4_000, bytes_per_bucket: int = 1 << 23, batch_chars: int = 1 << 21) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row.
 
     The next document is the next row by doc_id (rows that share one, null among them first, follow in the order of
     their text's hash), and the first after the last. Texts go to buckets by ranges of doc_id, and of the text's hash
     where one doc_id fills buckets; the first row of each goes to the one before it as well, so one exchange of the
     texts gives every row its successor. A bucket is read as a stream, so above 200,000 buckets they get longer, not
-    heavier. Null texts are empty ones, and their fingerprint is that of no passages. Repeated rows come out each; an
+    heavier; below, they follow the rows and the bytes. Null texts are empty ones, and their fingerprint is that of no passages. Repeated rows come out each; an
     only row is its own next one; other columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     low = -(2**63)
     at = F.coalesce("doc_id", F.lit(low))
-    n = rows.count()
-    n_buckets = min(200_000, n // rows_per_bucket + 1)
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    # by rows and by bytes, and enough for all cores where there are rows
+    n_buckets = max(1, min(200_000, n, max(n // rows_per_bucket + 1, size // bytes_per_bucket + 1, 4 * spark.sparkContext.defaultParallelism)))
     cuts = np.zeros(0, np.int64)
     if n_buckets > 1:
         found = rows.select(at.alias("at")).agg(F.percentile_approx("at", [i / n_buckets for i in range(1, n_buckets)], F.lit(max(10_000, 4 * n_buckets)))).first()[0]
@@ -215,8 +216,7 @@ def fingerprint_documents(docs: DataFrame, rows_per_bucket: int = 4_000, batch_c
         return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(np.full(len(which), ahead, np.int8)), pa.array(ids), part.column("doc_id"), part.column("text")], ["bucket", "ahead", "at", "doc_id", "text"])
 
     dealt = rows.withColumn("h", h).mapInArrow(with_buckets, "bucket int, ahead byte, at long, doc_id long, text string")
-    # about two buckets in a partition
-    ordered = dealt.repartition(max(len(heads) // 2, 1), "bucket").withColumn("h", F.xxhash64("text")).sortWithinPartitions("bucket", "ahead", "at", "h").drop("h", "at")
+    ordered = dealt.repartition(max(len(heads), 1), "bucket").withColumn("h", F.xxhash64("text")).sortWithinPartitions("bucket", "ahead", "at", "h").drop("h", "at")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

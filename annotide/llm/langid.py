@@ -252,27 +252,27 @@ def training_rows(docs: DataFrame, folds: int = 5) -> DataFrame:
 
 
 def fit(docs: DataFrame, chars_per_lang: int = 40_000, docs_per_lang: int = 200, chars_per_doc: int = 1_000, total_chars: int = 4_000_000) -> CrossParser:
-    """Learn from a sample bounded by the four parameters: of each language the docs_per_lang rows that come first by a
-    hash of doc_id give chars_per_doc characters each, up to chars_per_lang, or an equal share of total_chars where
+    """Learn from a sample bounded by the four parameters: of each language the docs_per_lang different rows that come first
+    by a hash of doc_id give chars_per_doc characters each, up to chars_per_lang, or an equal share of total_chars where
     there are many languages. The table grows by some 50 bytes for each character, so total_chars bounds the
     broadcast at about 200 MB. Where a language's share would be below chars_per_doc, those with the most labelled rows
     are learned, total_chars / chars_per_doc at most."""
     most = total_chars // chars_per_doc
     labelled = training_rows(docs)
     langs = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most)
-    langs = [r["lang"] for r in langs.collect()]
-    share = min(chars_per_lang, total_chars // max(len(langs), 1))
-    if len(langs) == most:
-        labelled = labelled.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")), "lang")
-    by_hash = Window.partitionBy("lang").orderBy("_h", "doc_id")
-    keys = labelled.select("lang", "doc_id", F.xxhash64("doc_id").alias("_h")).withColumn("_r", F.row_number().over(by_hash)).where(F.col("_r") <= docs_per_lang).select("lang", "doc_id", "_r")
-    # docs_per_lang rows for each language: a row group limit runs before the exchange
-    found = docs.select("doc_id", "lang", F.substring("text", 1, chars_per_doc).alias("t")).join(F.broadcast(keys.distinct()), ["doc_id", "lang"])
+    counts = {r["lang"]: r["n"] for r in langs.collect()}
+    share = min(chars_per_lang, total_chars // max(len(counts), 1))
+    # of each language rows of small hashes, some times as many as are asked for, so that few keys are sorted; copies count once
+    few = F.broadcast(docs.sparkSession.createDataFrame([(x, min(1.0, 16 * docs_per_lang / n)) for x, n in counts.items()] or [("", 0.0)], "lang string, few double"))
+    key = [F.xxhash64("doc_id").alias("_h"), F.xxhash64("text").alias("_t")]
+    keys = labelled.select("lang", "doc_id", *key).join(few, "lang").where(F.col("_h") / 2.0**64 + 0.5 <= F.col("few")).select("lang", "doc_id", "_h", "_t").distinct()
+    keys = keys.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "doc_id", "_t"))).where(F.col("_r") <= docs_per_lang).select("lang", "_h", "_t", "_r")
+    met = docs.select("lang", *key, F.substring("text", 1, chars_per_doc).alias("t")).join(F.broadcast(keys), ["lang", "_h", "_t"])
+    found = met.groupBy("lang", "_r").agg(F.first("t").alias("t"))
+    before = F.coalesce(F.sum(F.char_length("t") + 1).over(Window.partitionBy("lang").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     samples: dict[str, str] = {}
-    for r in sorted(found.select("lang", "_r", "doc_id", "t").collect(), key=lambda r: (r["lang"], r["_r"], r["doc_id"], r["t"] or "")):
-        had = samples.get(r["lang"], "")
-        if len(had) < share:
-            samples[r["lang"]] = (had + " " + (r["t"] or ""))[:share]
+    for r in sorted(found.withColumn("before", before).where(F.col("before") < share).select("lang", "_r", "t").collect()):
+        samples[r["lang"]] = (samples.get(r["lang"], "") + " " + r["t"])[:share]
     return CrossParser({k: v for k, v in samples.items() if any(c.isalpha() for c in v)})
 
 

@@ -10,7 +10,7 @@ Decoding concatenates the raw bytes of the ids.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -87,16 +87,39 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), pa.array(ids, pa.binary())], ["k1", "k2", "ids"])
 
 
+def _cut(places: Callable[[str, list[int] | None], list[tuple[int, int]]], most: int = 1 << 22):
+    """The parts of each text from the places (begin, end) that are given for it, with their number; a text is read once."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["k1", "k2", "i", "text"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple] = []
+            size = 0
+            for r in range(b.num_rows):
+                k1, k2, t = (b.column(c)[r].as_py() for c in ("k1", "k2", "text"))
+                for i, (lo, hi) in enumerate(places(t, b.column("cuts")[r].as_py() if "cuts" in b.schema.names else None)):
+                    out.append((k1, k2, i, t[lo:hi]))
+                    size += min(hi, len(t)) - lo
+                    if size >= most:
+                        yield batch(out)
+                        out, size = [], 0
+            if out:
+                yield batch(out)
+
+    return run
+
+
 def encode_long(texts: DataFrame, ranks_path: str, pattern: str, chunk_chars: int, overlap: int) -> DataFrame:
     """k1, k2, ids of a table k1, k2, text of different texts, each encoded in parallel pieces."""
-    n = F.ceil(F.char_length("text") / chunk_chars).cast("int")
-    chunks = texts.select("k1", "k2", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"), "text").select("k1", "k2", "i", F.substring("text", F.col("i") * chunk_chars + 1, F.lit(chunk_chars + overlap)).alias("chunk"))
+    chunks = texts.select("k1", "k2", "text").mapInArrow(_cut(lambda t, _: [(a, a + chunk_chars + overlap) for a in range(0, len(t), chunk_chars)]), "k1 long, k2 long, i int, text string").withColumnRenamed("text", "chunk")
     zones = chunks.repartition("k1", "i").mapInArrow(_zones(pattern, chunk_chars, overlap), "k1 long, k2 long, i int, left array<int>, right array<int>")
     following = Window.partitionBy("k1", "k2").orderBy("i")
     cuts = zones.select("k1", "k2", F.array_min(F.array_intersect("left", F.lead("right").over(following))).alias("cut")).where("cut is not null").groupBy("k1", "k2").agg(F.sort_array(F.collect_list("cut")).alias("cuts"))
     whole = texts.join(cuts, ["k1", "k2"], "left").withColumn("cuts", F.concat(F.array(F.lit(0)), F.coalesce("cuts", F.array().cast("array<int>")), F.array(F.char_length("text"))))
-    pieces = whole.select("k1", "k2", "text", F.posexplode(F.arrays_zip(F.expr("slice(cuts, 1, size(cuts) - 1)").alias("lo"), F.expr("slice(cuts, 2, size(cuts) - 1)").alias("hi"))).alias("i", "z"))
-    pieces = pieces.select("k1", "k2", "i", F.substring("text", F.col("z.lo") + 1, F.col("z.hi") - F.col("z.lo")).alias("text"))
+    pieces = whole.select("k1", "k2", "text", "cuts").mapInArrow(_cut(lambda t, cuts: list(zip(cuts[:-1], cuts[1:]))), "k1 long, k2 long, i int, text string")
     ids = pieces.repartition("k1", "i").mapInArrow(_encode_batches(ranks_path, pattern, ["k1", "k2", "i"]), "k1 long, k2 long, i int, ids binary")
     parts = ids.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("i", "ids"))).alias("parts"))
     return parts.mapInArrow(_joined, "k1 long, k2 long, ids binary")

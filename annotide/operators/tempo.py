@@ -191,6 +191,55 @@ def fit_grid(env: np.ndarray, fps: float, bpm: float, span: float = 0.04, coarse
     return p, t % p, e / (float(env.mean()) or 1.0)
 
 
+def follow_beats(env: np.ndarray, fps: float, bpm: float, tightness: float = 100.0) -> np.ndarray:
+    """Frames of the beats of a tempo that may drift: those whose strengths, in deviations of the series, less tightness
+    times the squared logarithm of each gap over the beat's length, sum to most. A gap is half a beat to two beats long,
+    and the last beat is the best frame of the last two beats' length."""
+    period = max(round(60 * fps / bpm), 2)
+    lags = np.arange(2 * period, period // 2 - 1, -1)
+    cost = tightness * np.log(lags / period) ** 2
+    strength = env / (env.std() or 1.0)
+    n, far = len(env), 2 * period
+    score = np.full(n + far, -np.inf)
+    back = np.full(n, -1)
+    for t in range(n):
+        ways = score[t : t + len(lags)] - cost  # the scores from two beats to half a beat ago
+        k = int(ways.argmax())
+        if ways[k] > 0:
+            back[t] = t - lags[k]
+        score[t + far] = strength[t] + max(ways[k], 0.0)
+    at = int(n - 1 - score[far:][::-1][:far].argmax())
+    out = []
+    while at >= 0:
+        out.append(at)
+        at = int(back[at])
+    return np.array(out[::-1])
+
+
+def beat_times(env: np.ndarray, fps: float, least_lock: float = 2.0, **search) -> tuple | None:
+    """bpm, bpm_alt, constant, lock and the times of the beats: those of the constant grid if its lock ratio reaches
+    least_lock, else those that follow the onsets."""
+    got = pick_tempo(env, fps)
+    if not got:
+        return None
+    p, t, lock = fit_grid(env, fps, got[0], **search)
+    if lock >= least_lock:
+        times = t + np.arange(int(np.ceil(((len(env) - 1) / fps - t) / p))) * p
+    else:
+        times = follow_beats(env, fps, got[0]) / fps
+    return got[0], got[1], lock >= least_lock, lock, [float(x) for x in times]
+
+
+def song_beats(songs: DataFrame, by: str, env: str, fps: float, **search) -> DataFrame:
+    """by, bpm, bpm_alt, constant, lock, beats of each song that has onsets (see beat_times)."""
+
+    def one(x: np.ndarray) -> list[tuple]:
+        got = beat_times(x, fps, **search)
+        return [got] if got else []
+
+    return for_each_song(songs, by, [env], one, "bpm double, bpm_alt double, constant boolean, lock double, beats array<double>")
+
+
 def song_tempi(songs: DataFrame, by: str, env: str, fps: float) -> DataFrame:
     """by, bpm, bpm_alt, n_tempi of each song that has onsets."""
 

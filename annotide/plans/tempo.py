@@ -94,3 +94,10 @@ def onset_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The offset from -2 to 8 s at which views fit clicks best, by cross-correlation of onset strengths."""
     both = strengths(spark, sf_dir, "click", "a").join(strengths(spark, sf_dir, "view", "b"), "song_id")
     return tempo.song_offsets(both, "song_id", "a", "b", -2 * FPS, 8 * FPS).withColumn("height", F.round("height", 4))
+
+
+@query()
+def song_beat_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beats of each song: its constant grid if there is one, else beats that follow the onsets."""
+    got = tempo.song_beats(strengths(spark, sf_dir), "song_id", "env", FPS, coarse=(60, 24), fine=(20, 20))
+    return got.select("song_id", "bpm", "bpm_alt", "constant", F.round("lock", 6).alias("lock"), F.posexplode("beats").alias("beat", "at")).withColumn("at", F.round("at", 6))

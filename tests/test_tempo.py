@@ -130,3 +130,49 @@ def test_a_chord_explains_itself_best(spark):
     df = spark.createDataFrame([(k, spectrum, m) for k, m in masks.items()] + [("none", None, 1)], "name string, spectrum array<double>, mask int")
     got = {r["name"]: r["residual"] for r in nnls.explained(df, "spectrum", "mask").collect()}
     assert got["C"] < 1e-9 and min(got["Am"], got["F"]) > 0.2 and got["none"] is None
+
+
+def plain_beats(env, fps, bpm, tightness=100.0):
+    period = max(round(60 * fps / bpm), 2)
+    strength = env / (env.std() or 1.0)
+    score, back = [], []
+    for t in range(len(env)):
+        ways = [(score[t - lag] - tightness * np.log(lag / period) ** 2, -lag) for lag in range(period // 2, 2 * period + 1) if t - lag >= 0]
+        best = max(ways, default=(0.0, 0))
+        score.append(strength[t] + max(best[0], 0.0))
+        back.append(t + best[1] if best[0] > 0 else -1)
+    tail = range(max(len(env) - 2 * period, 0), len(env))
+    at, out = max(tail, key=lambda t: (score[t], t)), []
+    while at >= 0:
+        out.append(at)
+        at = back[at]
+    return out[::-1]
+
+
+def test_beats_that_follow_equal_a_plain_search():
+    rnd = np.random.default_rng(8)
+    for bpm, n in ((120.0, 300), (75.0, 150), (170.0, 40), (100.0, 3)):
+        env = rnd.random(n) ** 4
+        assert tempo.follow_beats(env, 20.0, bpm).tolist() == plain_beats(env, 20.0, bpm)
+
+
+def test_beats_of_a_drifting_tempo_are_followed():
+    fps, t, times = 43.0, 0.5, []
+    while t < 80:
+        times.append(t)
+        t += 0.5 * (1 + 0.06 * np.sin(t / 9))
+    env = np.random.default_rng(1).random(int(82 * fps)) * 0.05
+    for x in times:
+        env[round(x * fps)] += 1.0
+    got = tempo.follow_beats(env, fps, 120.0) / fps
+    assert sum(np.abs(got - x).min() < 0.04 for x in times) >= 0.95 * len(times) and abs(len(got) - len(times)) < 8
+
+
+def test_song_beats_choose_the_grid_where_it_locks(spark):
+    fps = 43.0
+    rows = [(1, i, float(v)) for i, v in enumerate(clicks(120.0, 0.25, 60, fps))] + [(2, i, float(v)) for i, v in enumerate(np.random.default_rng(5).random(1500))]
+    env = tempo.series(spark.createDataFrame(rows, "song long, i int, v double"), "song", "i", "v", "env")
+    got = {r.song: r for r in tempo.song_beats(env, "song", "env", fps, coarse=(120, 24), fine=(20, 20)).collect()}
+    assert got[1].constant and 118.5 <= got[1].bpm <= 121.5 and not got[2].constant
+    gaps = np.diff(got[1].beats)
+    assert np.allclose(gaps, gaps[0]) and abs(gaps[0] - 0.5) < 2e-3 and len(got[2].beats) > 10

@@ -187,3 +187,28 @@ def lattice_chords(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = lattice_path(rows, "song_id", "t", "c", moves)
     chord = F.get("c", F.col("pick"))
     return got.join(rows, ["song_id", "t"]).select("song_id", "t", "pick", chord["root"].alias("root"), chord["sfx"].alias("sfx"))
+
+
+def voicing(root: Column, sfx: Column, bass: Column) -> Column:
+    """The pitches of a chord, packed above C3, over its bass an octave below."""
+    ivs = F.create_map(*(x for s, v in TEMPLATES for x in (F.lit(s), F.array(*map(F.lit, v)))))
+    base = root + 48
+    pack = lambda iv: F.when((base + iv > 74) & (iv > 12), base + iv - 12).otherwise(base + iv)
+    return F.array_sort(F.array_distinct(F.concat(F.array(bass + 36), F.transform(F.element_at(ivs, sfx), pack))))
+
+
+@query(f"""WITH {KEYS_SQL}, {LABELS_SQL.replace(NOTES_SQL + ', ', '')}, ky AS (SELECT song_id, tonic, mode FROM kr WHERE rank = 1), lw AS (SELECT song_id, start_ms // 1000 * 1000 AS t, min(midi) % 12 AS bass FROM n GROUP BY ALL),
+c AS (SELECT song_id, t, CAST(split_part(label, ':', 1) AS INT) AS root, split_part(label, ':', 2) AS sfx FROM lab WHERE label <> 'N'), sl AS (SELECT * FROM (VALUES {values_sql(SUFFIX_LABEL.items())}) v(sfx, lb)), iv AS (SELECT * FROM (VALUES {values_sql((s, v) for s, ivs in TEMPLATES for v in ivs)}) v(sfx, iv)),
+x AS (SELECT c.song_id, c.t, root, c.sfx, coalesce(bass, root) AS bass, lb, CASE WHEN mode = 'min' THEN {ROMANS_MINOR}[(root - tonic + 12) % 12 + 1] ELSE {ROMANS}[(root - tonic + 12) % 12 + 1] END AS base FROM c JOIN ky USING (song_id) JOIN sl ON sl.sfx = c.sfx LEFT JOIN lw ON lw.song_id = c.song_id AND lw.t = c.t),
+p AS (SELECT song_id, t, 48 + root + iv AS p FROM x JOIN iv USING (sfx) UNION SELECT song_id, t, 36 + bass FROM x), v AS (SELECT song_id, t, string_agg(p, ',' ORDER BY p) AS voicing FROM p GROUP BY ALL)
+SELECT x.song_id, x.t, root, x.sfx, CASE WHEN x.sfx IN {MINOR_SQL} THEN lower(base) ELSE upper(base) END || lb AS roman, voicing FROM x JOIN v ON v.song_id = x.song_id AND v.t = x.t""")
+def chords_in_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chord of every second of each song as a numeral of the song's key, and its pitches over the lowest note that
+    begins there (over its root without one)."""
+    n = notes(spark, sf_dir)
+    k = keys(n, 1).select("song_id", "tonic", (F.col("mode") == "min").alias("minor"))
+    low = n.groupBy("song_id", (F.expr("start_ms div 1000") * 1000).alias("t")).agg(F.pmod(F.min("midi"), F.lit(12)).alias("bass"))
+    c = frame_labels(n).where("label <> 'N'").select("song_id", "t", F.split_part("label", F.lit(":"), F.lit(1)).cast("int").alias("root"), F.split_part("label", F.lit(":"), F.lit(2)).alias("sfx"))
+    x = c.join(k, "song_id").join(low, ["song_id", "t"], "left")
+    pitches = voicing(F.col("root"), F.col("sfx"), F.coalesce("bass", "root"))
+    return x.select("song_id", "t", "root", "sfx", roman(F.col("root"), F.col("sfx"), F.col("tonic"), F.col("minor")).alias("roman"), F.array_join(pitches, ",").alias("voicing"))

@@ -6,16 +6,20 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-from pyspark.sql.types import Row, StructType
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.types import StructType
 
 from annotide.sources.midi import EVENTS, STATUS, file_events, head_bytes, meta, track_bytes
 
-#: Bytes of files that a partition reads, at most, unless one file alone is larger.
-PARTITION_BYTES = 1 << 24
+#: Bytes of files that a partition reads, at most, unless one file alone is larger, and rows of a batch.
+PARTITION_BYTES, BATCH = 1 << 20, 10_000
+NAMES = [f.split()[0] for f in EVENTS.split(", ")]
+TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in EVENTS.split(", ")]
 
 
 @dataclass
@@ -71,23 +75,25 @@ class MidiReader(DataSourceReader):
             size += n
         return [*out, Files(tuple(part))]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(self.path)
         for path in partition.paths:
             with store.open_input_file(path) as f:
                 data = f.read()
             name = posixpath.relpath(path, root)
-            yield from (e for e in file_events(name, data, self.mode == "failfast") if self.mode != "dropmalformed" or e[5] != "broken")
+            events = (e for e in file_events(name, data, self.mode == "failfast") if self.mode != "dropmalformed" or e[5] != "broken")
+            while rows := list(islice(events, BATCH)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
 
-class MidiWriter(DataSourceWriter):
+class MidiWriter(DataSourceArrowWriter):
     def __init__(self, options: dict[str, str], names: list[str], overwrite: bool):
-        missing = {f.split()[0] for f in EVENTS.split(", ")} - set(names)
+        missing = set(NAMES) - set(names)
         if missing:
             raise ValueError(f"events need {', '.join(sorted(missing))}")
         self.path, self.overwrite = options["path"], overwrite
 
-    def write(self, rows: Iterator[Row]) -> WriterCommitMessage:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, root = fs.FileSystem.from_uri(self.path)
         moves: list[tuple[str, str]] = []
         tracks: list[list[tuple[int, bytes]]] = []
@@ -106,7 +112,7 @@ class MidiWriter(DataSourceWriter):
                 out.write(head_bytes(1 if len(tracks) > 1 else 0, len(tracks), ticks) + b"".join(map(track_bytes, tracks)))
             moves.append((temp, target))
 
-        for r in rows:
+        for r in (r for b in batches for r in b.to_pylist()):
             if r["path"] != path:
                 close()
                 path, ticks, tracks = r["path"], r["ticks_per_beat"], []

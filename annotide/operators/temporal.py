@@ -43,14 +43,26 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bucket: int,
     return out.where(F.col("overlap") > min_overlap).drop("_b")
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: list[str], t: str, payload: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: list[str], t: str, payload: list[str], bucket: int | None = None) -> DataFrame:
     """left with the payload of the last right row at or before t (null without one); right has one row for each
-    key and t. One exchange: both sides in a single ordered window."""
-    a = left.withColumns({f"_r_{c}": F.lit(None).cast(right.schema[c].dataType) for c in payload}).withColumn("_side", F.lit(1))
-    b = right.select(*by, t, *(F.col(c).alias(f"_r_{c}") for c in payload)).withColumn("_side", F.lit(0))
+    key and t. Both sides are in a single ordered window over each key, in one exchange, or, with a bucket, over each
+    bucket of a key's time: then the last right row of every bucket goes on to the later ones as a row of its own, and
+    no task sorts more than a bucket. Left rows of null time get null."""
+    kind = F.lit(None).cast(right.select(F.struct(*payload)).schema[0].dataType)
+    a = left.withColumns({"_r": kind, "_side": F.lit(1)})
+    b = right.select(*by, t, F.struct(*payload).alias("_r"), F.lit(0).alias("_side"))
+    own = list(by)
+    if bucket:
+        own = [*by, "_b"]
+        a, b = (x.withColumn("_b", _div(t, bucket)) for x in (a, b))
+        ends = b.groupBy(*own).agg(F.max_by("_r", t).alias("_r")).withColumn("_side", F.lit(1))
+        marks = a.select(*own).distinct().select(*own, kind.alias("_r"), F.lit(0).alias("_side")).unionByName(ends)
+        before = Window.partitionBy(*by).orderBy("_b", "_side").rowsBetween(Window.unboundedPreceding, -1)
+        carried = marks.withColumn("_r", F.last("_r", ignorenulls=True).over(before)).where("_side = 0 and _r is not null").select(*own, F.lit(None).cast(right.schema[t].dataType).alias(t), "_r", "_side")
+        b = b.unionByName(carried)
     both = a.unionByName(b, allowMissingColumns=True)
-    w = Window.partitionBy(*by).orderBy(t, "_side").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.last(F.when(F.col("_side") == 0, F.struct(*(F.col(f"_r_{c}").alias(c) for c in payload))), ignorenulls=True).over(w)
+    w = Window.partitionBy(*own).orderBy(F.col(t).asc_nulls_first(), "_side").rowsBetween(Window.unboundedPreceding, 0)
+    at = F.when(F.col(t).isNotNull(), F.last(F.when(F.col("_side") == 0, F.col("_r")), ignorenulls=True).over(w))
     return both.withColumn("_at", at).where("_side = 1").select(*left.columns, *(F.col(f"_at.{c}").alias(c) for c in payload))
 
 

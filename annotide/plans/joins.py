@@ -72,7 +72,7 @@ SELECT g.song_id, t, note_id, track, midi FROM g ASOF LEFT JOIN r ON g.song_id =
 def asof_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = notes(spark, sf_dir)
     last = n.groupBy("song_id", F.col("start_ms").alias("t")).agg(F.max_by(F.struct("note_id", "track", "midi"), "note_id").alias("x")).select("song_id", "t", "x.*")
-    return asof_join(song_grid(n), last, ["song_id"], "t", ["note_id", "track", "midi"])
+    return asof_join(song_grid(n), last, ["song_id"], "t", ["note_id", "track", "midi"], bucket=60_000)
 
 
 @query(f"""WITH {NOTES_SQL}, b AS (SELECT song_id, i, i * 480 + 120 AS beat_ms FROM (SELECT song_id, unnest(generate_series(0, max(end_ms) // 480)) AS i FROM n GROUP BY song_id)),
@@ -82,7 +82,7 @@ def bar_beat_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bar and beat (from 1) of each onset on a grid of 480 ms beats from 120 ms, bars of four from the second beat."""
     n = notes(spark, sf_dir)
     beats = n.groupBy("song_id").agg(F.max("end_ms").alias("last")).select("song_id", F.explode(F.expr("sequence(0L, last div 480)")).alias("i")).withColumn("t", F.col("i") * 480 + 120)
-    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), beats, ["song_id"], "t", ["i"])
+    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), beats, ["song_id"], "t", ["i"], bucket=60_000)
     rel = F.coalesce("i", F.lit(0)) - 1
     return at.select("note_id", "song_id", F.when(rel < 0, F.lit(1)).otherwise(F.floor(rel / 4) + 1).cast("long").alias("bar"), F.when(rel < 0, F.lit(1)).otherwise(rel % 4 + 1).cast("long").alias("beat"))
 

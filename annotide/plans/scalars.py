@@ -114,7 +114,7 @@ def tick_to_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     n = notes(spark, sf_dir)
     m = tempo_map(n).withColumn("tick", F.col("t"))
-    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), m, ["song_id"], "t", ["tick", "us", "base"])
+    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), m, ["song_id"], "t", ["tick", "us", "base"], bucket=60_000)
     return at.select("note_id", F.when(F.col("tick").isNull(), F.col("t") * 500).otherwise(F.col("base") + (F.col("t") - F.col("tick")) * F.col("us")).alias("time_us"))
 
 
@@ -209,5 +209,5 @@ def beats_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("song_id").orderBy("t")
     b = n.where("track = 'view'").select("song_id", F.col("start_ms").alias("t")).distinct()
     b = b.select("song_id", "t", (F.row_number().over(w) - 1).alias("i"), F.col("t").alias("b"), F.lead("t").over(w).alias("nb"))
-    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), b, ["song_id"], "t", ["i", "b", "nb"])
+    at = asof_join(n.select("note_id", "song_id", F.col("start_ms").alias("t")), b, ["song_id"], "t", ["i", "b", "nb"], bucket=60_000)
     return at.select("note_id", F.round(F.col("i") + F.coalesce((F.col("t") - F.col("b")) / (F.col("nb") - F.col("b")), F.lit(0.0)), 6).alias("beat"))

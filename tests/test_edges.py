@@ -178,3 +178,20 @@ def test_anchored_groups_of_a_dense_run_take_time_in_proportion(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert stateful.anchored_groups(df.where("false"), "k", "t", 10).count() == 0
     assert stateful.anchored_groups(spark.createDataFrame([(None, 5), (None, 6), (2, None)], "k long, t long"), "k", "t", 10).collect() == [(None, 5, 2)]
+
+
+def test_asof_by_buckets_equals_asof(spark):
+    """A bucket without right rows takes the last one of an earlier bucket; keys without any, null times and null payloads."""
+    from annotide.operators.temporal import asof_join
+
+    rnd = random.Random(9)
+    left = [(s, rnd.choice([None, rnd.randint(-50, 2000)]) if i % 9 == 0 else rnd.randint(-50, 2000), i) for s in (1, 2, 3, None) for i in range(80)]
+    right = [(s, t, None if t % 5 == 0 else t * 10) for s in (1, 2, None) for t in rnd.sample(range(0, 1500), 12)]
+    a, b = spark.createDataFrame(left, "k long, t long, i long"), spark.createDataFrame(right, "k long, t long, v long")
+    want = {}
+    for s, t, i in left:
+        seen = [(x, v) for r, x, v in right if r == s and t is not None and x <= t]
+        want[s, i] = max(seen)[1] if seen else None
+    for bucket in (None, 1, 70, 100_000):
+        got = asof_join(a, b, ["k"], "t", ["v"], bucket=bucket)
+        assert got.columns == ["k", "t", "i", "v"] and {(r.k, r.i): r.v for r in got.collect()} == want

@@ -193,8 +193,8 @@ def fit_grid(env: np.ndarray, fps: float, bpm: float, span: float = 0.04, coarse
 
 def follow_beats(env: np.ndarray, fps: float, bpm: float, tightness: float = 100.0) -> np.ndarray:
     """Frames of the beats of a tempo that may drift: those whose strengths, in deviations of the series, less tightness
-    times the squared logarithm of each gap over the beat's length, sum to most. A gap is half a beat to two beats long,
-    and the last beat is the best frame of the last two beats' length."""
+    times the squared logarithm of each gap over the beat's length, sum to most; of equal ways the longest gap. A gap is half a
+    beat to two beats long, and the last beat is the best frame (of equal ones the last) of the last two beats' length."""
     period = max(round(60 * fps / bpm), 2)
     lags = np.arange(2 * period, period // 2 - 1, -1)
     cost = tightness * np.log(lags / period) ** 2

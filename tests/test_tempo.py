@@ -137,10 +137,10 @@ def plain_beats(env, fps, bpm, tightness=100.0):
     strength = env / (env.std() or 1.0)
     score, back = [], []
     for t in range(len(env)):
-        ways = [(score[t - lag] - tightness * np.log(lag / period) ** 2, -lag) for lag in range(period // 2, 2 * period + 1) if t - lag >= 0]
+        ways = [(score[t - lag] - tightness * np.log(lag / period) ** 2, lag) for lag in range(period // 2, 2 * period + 1) if t - lag >= 0]
         best = max(ways, default=(0.0, 0))
         score.append(strength[t] + max(best[0], 0.0))
-        back.append(t + best[1] if best[0] > 0 else -1)
+        back.append(t - best[1] if best[0] > 0 else -1)
     tail = range(max(len(env) - 2 * period, 0), len(env))
     at, out = max(tail, key=lambda t: (score[t], t)), []
     while at >= 0:
@@ -176,3 +176,70 @@ def test_song_beats_choose_the_grid_where_it_locks(spark):
     assert got[1].constant and 118.5 <= got[1].bpm <= 121.5 and not got[2].constant
     gaps = np.diff(got[1].beats)
     assert np.allclose(gaps, gaps[0]) and abs(gaps[0] - 0.5) < 2e-3 and len(got[2].beats) > 10
+
+
+def env_of(rows, fps=20):
+    last = max(r.start_ms for r in rows) * fps // 1000
+    env = np.zeros(last + 1)
+    for r in rows:
+        env[r.start_ms * fps // 1000] += r.amp + 1
+    return env
+
+
+def songs_of(spark, sf_dir):
+    from annotide.sources.notes import notes
+
+    out: dict[int, list] = {}
+    for r in notes(spark, sf_dir).collect():
+        out.setdefault(r.song_id, []).append(r)
+    return out
+
+
+def test_query_of_beats_equals_a_plain_search(spark, sf_dir):
+    from annotide.plans.tempo import song_beat_times
+
+    got: dict[int, list] = {}
+    for r in song_beat_times(spark, sf_dir).orderBy("song_id", "beat").collect():
+        got.setdefault(r.song_id, []).append(r)
+    songs = songs_of(spark, sf_dir)
+    assert set(got) == set(songs)
+    for s, rows in songs.items():
+        env, own = env_of(rows), got[s]
+        bpm = own[0].bpm
+        assert [r.beat for r in own] == list(range(len(own)))
+        if own[0].constant:
+            gaps = np.diff([r["at"] for r in own])
+            assert np.allclose(gaps, gaps[0], atol=1e-5) and abs(60 / gaps[0] - bpm) < 0.05 * bpm
+        else:
+            assert [round(r["at"] * 20) for r in own] == plain_beats(env, 20.0, bpm)
+
+
+def test_query_of_residuals_equals_a_plain_solver(spark, sf_dir):
+    from annotide.plans.spectra import candidate_residuals
+
+    d = nnls.dictionary()
+    triads = {(r, m): {(r + v) % 12 for v in ((0, 3, 7) if m else (0, 4, 7))} for r in range(12) for m in (0, 1)}
+    slices: dict[tuple, list] = {}
+    for s, rows in songs_of(spark, sf_dir).items():
+        for r in rows:
+            slices.setdefault((s, r.start_ms // 5000), []).append(r)
+    got: dict[tuple, list] = {}
+    for r in candidate_residuals(spark, sf_dir).collect():
+        got.setdefault((r.song_id, r.f), []).append(r)
+    assert set(got) == set(slices)
+    for key, rows in slices.items():
+        mass = {t: sum(r.amp + 1 for r in rows if r.midi % 12 in pcs) for t, pcs in triads.items()}
+        best = sorted((t for t in triads if mass[t]), key=lambda t: (-mass[t], t))[:3]
+        own = sorted(got[key], key=lambda r: r["rank"])
+        assert [((r.root, r.minor), r.mass) for r in own] == [(t, mass[t]) for t in best]
+        spectrum = np.zeros(nnls.BINS)
+        for r in rows:
+            for h in range(1, 9):
+                b = (r.midi - 24) * 3 + 1 + round(36 * float(np.log2(h)))
+                if b < nnls.BINS:
+                    spectrum[b] += (r.amp + 1) * 0.75 ** (h - 1)
+        spectrum = np.log1p(10 * spectrum / np.median(spectrum[spectrum > 0]))
+        low = min(r.midi for r in rows) % 12
+        for r in own if key[1] % 6 == 0 else []:
+            cols = d[:, [n for n in range(nnls.NOTES) if (n + 24) % 12 in triads[r.root, r.minor] | {low}]]
+            assert abs(r.residual - np.linalg.norm(cols @ plain_nnls(cols, spectrum) - spectrum) / np.linalg.norm(spectrum)) < 2e-6

@@ -7,6 +7,7 @@ SHARP_NAMES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 FLAT_NAMES = ["C", "Db", "D", "Eb", "E", "F", "Gb", "G", "Ab", "A", "Bb", "B"]
 NOTE_NAMES = ["C", "C#", "D", "Eb", "E", "F", "F#", "G", "Ab", "A", "Bb", "B"]
 
+# Chord suffixes and their intervals, the more specific first.
 TEMPLATES = [
     ("maj9", (0, 2, 4, 7, 11)),
     ("m9", (0, 2, 3, 7, 10)),
@@ -31,6 +32,7 @@ TEMPLATES = [
     ("", (0, 4, 7)),
     ("m", (0, 3, 7)),
 ]
+# What each interval above a root counts, and the suffixes that read as minor.
 INTERVAL_WEIGHTS = [3.0, 0.5, 1.0, 2.5, 2.5, 1.0, 1.5, 1.5, 1.0, 1.5, 2.0, 2.0]
 MINORISH = ["m", "m7", "m6", "m9", "mMaj7", "dim", "dim7", "m7b5"]
 
@@ -59,6 +61,7 @@ TOKEN_SUFFIX = {
     "dim": "dim", "dim7": "dim", "aug": "maj", "min7b5": "m7b5", "m7b5": "m7b5",
     "no3d": "maj", "7no3d": "7", "add13": "maj", "add11": "maj", "Gadd13": "maj", "maj6": "maj", "min6/9": "min", "6/9": "maj",
 }
+# Pitch classes of the letters.
 LETTER_PC = {"C": 0, "D": 2, "E": 4, "F": 5, "G": 7, "A": 9, "B": 11}
 
 

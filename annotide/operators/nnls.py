@@ -13,7 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Notes of the dictionary, bins of a semitone, harmonics of a note and how they fade.
+#: Lowest note and number of notes of the dictionary, bins of a semitone, harmonics of a note, how they fade
+#: and what falls into the bins beside theirs.
 LOWEST, NOTES, PER_SEMITONE, HARMONICS, FADE, SPREAD = 24, 84, 3, 8, 0.75, 0.33
 BINS = NOTES * PER_SEMITONE
 

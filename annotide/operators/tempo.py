@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Tempi are folded into this range; estimators look at those of the wider one.
+#: Tempi are folded into this range; estimators look at those of the wider one.
 FOLD = (70.0, 180.0)
 LAGS = (30.0, 320.0)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annotide.dims import LETTER_PC, TEMPLATES, values_sql
-from annotide.operators import table_functions
+from annotide.functions import table_functions
 from annotide.operators.harmony import best_chords
 from annotide.plans.edges import PEDAL_SQL, pedal_controls
 from annotide.plans.harmony import RANKED_SQL, song_masks
@@ -105,7 +105,7 @@ def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.join(exact, "event_type").select("event_type", "users", "ids", "days", (near("about_users", "users") & near("about_ids", "ids")).alias("close"))
 
 
-#: Words of a key's mode in other languages, in front of which no blank is needed.
+#: Words of a key's mode in another language, in front of which no blank is needed.
 MODE_WORDS = [("大调", " Major"), ("小调", " Minor")]
 ROOTS = {f"{x}{a}": (pc + d) % 12 for x, pc in LETTER_PC.items() for a, d in (("", 0), ("#", 1), ("b", -1))}
 

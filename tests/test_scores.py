@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from annotide.operators import table_functions
+from annotide.functions import table_functions
 from annotide.operators.harmony import candidate_rows
 from annotide.sources import midi, midi_source
 from annotide.sources.musicxml import read_musicxml, rebarred

@@ -1,7 +1,8 @@
 """Temporal joins that plan as hash joins: every range condition comes with an equality on a time bucket.
 
 Times are integers. Intervals are [start, end); those of no length match nothing. Keys in `by` are compared with
-plain equality, so rows with a null key match nothing.
+plain equality, so rows with a null key match nothing. Joins of exploded rows ask for a merge: Spark's size of a side
+doesn't count what an explode adds, so it would broadcast sides of any size.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ def interval_join(probes: DataFrame, intervals: DataFrame, by: list[str], bucket
     on = (F.col("_b") == F.col("_ib")) & (F.col(start) <= F.col(t)) & (F.col(t) < F.col(end))
     for k in by:
         on = on & (F.col(k) == F.col(f"_i_{k}"))
-    return p.join(i, on, how).drop("_b", "_ib", *(f"_i_{k}" for k in by))
+    return p.join(i.hint("merge"), on, how).drop("_b", "_ib", *(f"_i_{k}" for k in by))
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bucket: int, min_overlap: int = 0) -> DataFrame:
@@ -39,7 +40,7 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], bucket: int,
     a = left.withColumn("_b", F.explode(F.sequence(_div("l_start", bucket), _div(F.greatest(F.col("l_end") - 1, F.col("l_start")), bucket))))
     b = right.withColumn("_b", F.explode(F.sequence(_div("r_start", bucket), _div(F.greatest(F.col("r_end") - 1, F.col("r_start")), bucket))))
     begin = F.greatest("l_start", "r_start")
-    out = a.join(b, [*by, "_b"]).where(_div(begin, bucket) == F.col("_b")).withColumn("overlap", F.least("l_end", "r_end") - begin)
+    out = a.join(b.hint("merge"), [*by, "_b"]).where(_div(begin, bucket) == F.col("_b")).withColumn("overlap", F.least("l_end", "r_end") - begin)
     return out.where(F.col("overlap") > min_overlap).drop("_b")
 
 
@@ -96,7 +97,7 @@ def near_join(left: DataFrame, right: DataFrame, by: list[str], tolerance: int,
     on = (F.col("_b") == F.col("_rb")) & (F.abs(F.col(lt) - F.col(rt)) <= tolerance)
     for k in by:
         on = on & (F.col(k) == F.col(f"_i_{k}"))
-    out = a.join(b, on, how)
+    out = a.join(b.hint("merge"), on, how)
     return out.drop("_b", "_rb", *(f"_i_{k}" for k in by))
 
 

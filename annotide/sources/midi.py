@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EVENTS = "path string, ticks_per_beat int, track int, seq int, tick long, kind string, channel int, a int, b int"
+NAMES = [f.split()[0] for f in EVENTS.split(", ")]
+TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in EVENTS.split(", ")]
+#: Rows of a batch of events.
+BATCH = 10_000
 #: Data bytes of the channel messages by their upper four bits.
 CHANNEL_BYTES = {0x8: 2, 0x9: 2, 0xA: 2, 0xB: 2, 0xC: 1, 0xD: 1, 0xE: 2}
 
@@ -90,16 +95,20 @@ def file_events(path: str, data: bytes, strict: bool = False) -> Iterator[tuple]
         at += 8 + size
 
 
+def event_batches(events: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of EVENTS in batches of bounded size, whatever files they come from."""
+    while rows := list(islice(events, BATCH)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+
+
 def events_of_files(files: DataFrame) -> DataFrame:
     """One row for each note, control or tempo event of MIDI files given as path and content, and one of kind "broken"
-    for each break (see file_events)."""
+    for each break (see file_events). A task holds the events of a batch, not those of all files it was handed."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [f.split()[0] for f in EVENTS.split(", ")]
-        for b in batches:
-            yield pd.DataFrame([row for p, d in zip(b["path"], b["content"]) for row in file_events(p, bytes(d))], columns=names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from event_batches(e for b in batches for p, d in zip(b.column("path"), b.column("content")) for e in file_events(p.as_py(), d.as_py()))
 
-    return files.select("path", "content").mapInPandas(run, EVENTS)
+    return files.select("path", "content").mapInArrow(run, EVENTS)
 
 
 def read_midi_events(spark: SparkSession, path: str) -> DataFrame:
@@ -144,31 +153,59 @@ def meta(kind: int, body: bytes) -> bytes:
 STATUS = {"off": 0x80, "on": 0x90, "control": 0xB0}
 
 
-def track_bytes(events: list[tuple[int, bytes]]) -> bytes:
+class Track:
+    """A track chunk that takes (tick, message) in order and keeps their bytes alone."""
+
+    def __init__(self):
+        self.body, self.last = bytearray(), 0
+
+    def add(self, tick: int, message: bytes) -> None:
+        self.body += _varlen(tick - self.last) + message
+        self.last = tick
+
+    def chunk(self) -> bytes:
+        track = bytes(self.body) + b"\x00" + meta(0x2F, b"")
+        return b"MTrk" + len(track).to_bytes(4, "big") + track
+
+
+def track_bytes(events: Iterable[tuple[int, bytes]]) -> bytes:
     """A track chunk of (tick, message) in order."""
-    body, last = [], 0
+    track = Track()
     for tick, message in events:
-        body.append(_varlen(tick - last) + message)
-        last = tick
-    track = b"".join(body) + b"\x00" + meta(0x2F, b"")
-    return b"MTrk" + len(track).to_bytes(4, "big") + track
+        track.add(tick, message)
+    return track.chunk()
 
 
 def head_bytes(form: int, tracks: int, ticks_per_beat: int) -> bytes:
     return b"MThd" + b"".join(n.to_bytes(k, "big") for n, k in ((6, 4), (form, 2), (tracks, 2), (ticks_per_beat, 2)))
 
 
-def midi_bytes(events: list[tuple[int, int, int, int]], ticks_per_beat: int, us_per_beat: int) -> bytes:
-    """A file of format 0 from (tick, 1 for on or 0 for off, pitch, velocity) in order."""
-    tempo = (0, meta(0x51, us_per_beat.to_bytes(3, "big")))
-    return head_bytes(0, 1, ticks_per_beat) + track_bytes([tempo, *((t, bytes([0x90 if on else 0x80, p, v])) for t, on, p, v in events)])
+def tempo_meta(us_per_beat: int) -> bytes:
+    return meta(0x51, us_per_beat.to_bytes(3, "big"))
+
+
+def song_head(us_per_beat: int, beats: int, sharps: int, minor: bool) -> bytes:
+    """The first track of a file of format 1: tempo, meter and key."""
+    return track_bytes([(0, tempo_meta(us_per_beat)), (0, meta(0x58, bytes([beats, 2, 24, 8]))), (0, meta(0x59, bytes([sharps & 0xFF, int(minor)])))])
+
+
+def named_track(name: str) -> Track:
+    track = Track()
+    track.add(0, meta(0x03, name.encode()))
+    return track
+
+
+def message(kind: str, channel: int, a: int, b: int) -> bytes:
+    return bytes([STATUS[kind] | channel, a, b])
 
 
 def tracks_bytes(tracks: list[tuple[str, list[tuple[int, str, int, int, int]]]], ticks_per_beat: int, us_per_beat: int, beats: int = 4, sharps: int = 0, minor: bool = False) -> bytes:
     """A file of format 1: a track of tempo, meter and key, then one for each (name, events), the events as (tick, kind,
     channel, a, b) in order."""
-    first = [(0, meta(0x51, us_per_beat.to_bytes(3, "big"))), (0, meta(0x58, bytes([beats, 2, 24, 8]))), (0, meta(0x59, bytes([sharps & 0xFF, int(minor)])))]
-    chunks = [track_bytes(first)]
+    chunks = [song_head(us_per_beat, beats, sharps, minor)]
     for name, events in tracks:
-        chunks.append(track_bytes([(0, meta(0x03, name.encode())), *((t, bytes([STATUS[kind] | channel, a, b])) for t, kind, channel, a, b in events)]))
+        track = named_track(name)
+        for tick, *e in events:
+            track.add(tick, message(*e))
+        chunks.append(track.chunk())
     return head_bytes(1, len(chunks), ticks_per_beat) + b"".join(chunks)

@@ -6,7 +6,6 @@ import posixpath
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import islice
 
 import pyarrow as pa
 from pyarrow import fs
@@ -14,12 +13,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from annotide.sources.midi import EVENTS, STATUS, file_events, head_bytes, meta, track_bytes
+from annotide.sources.midi import EVENTS, NAMES, STATUS, event_batches, file_events, head_bytes, message, meta, track_bytes
 
-#: Bytes of files that a partition reads, at most, unless one file alone is larger, and rows of a batch.
-PARTITION_BYTES, BATCH = 1 << 20, 10_000
-NAMES = [f.split()[0] for f in EVENTS.split(", ")]
-TYPES = [{"string": pa.string(), "int": pa.int32(), "long": pa.int64()}[f.split()[1]] for f in EVENTS.split(", ")]
+#: Bytes of files that a partition reads, at most, unless one file alone is larger.
+PARTITION_BYTES = 1 << 20
 
 
 @dataclass
@@ -82,8 +79,7 @@ class MidiReader(DataSourceReader):
                 data = f.read()
             name = posixpath.relpath(path, root)
             events = (e for e in file_events(name, data, self.mode == "failfast") if self.mode != "dropmalformed" or e[5] != "broken")
-            while rows := list(islice(events, BATCH)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
+            yield from event_batches(events)
 
 
 class MidiWriter(DataSourceArrowWriter):
@@ -121,7 +117,7 @@ class MidiWriter(DataSourceArrowWriter):
             if r["kind"] == "tempo":
                 tracks[-1].append((r["tick"], meta(0x51, int(r["a"]).to_bytes(3, "big"))))
             elif r["kind"] in STATUS:
-                tracks[-1].append((r["tick"], bytes([STATUS[r["kind"]] | r["channel"], r["a"], r["b"]])))
+                tracks[-1].append((r["tick"], message(r["kind"], r["channel"], r["a"], r["b"])))
         close()
         return Written(tuple(moves))
 

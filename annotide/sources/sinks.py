@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from annotide.sources.midi import midi_bytes, tracks_bytes
+from annotide.operators.stateful import fold_sorted
+from annotide.sources.midi import Track, head_bytes, message, named_track, song_head, tempo_meta
 
 
 def ordered(fields: list[Column], order: str) -> Column:
@@ -44,18 +45,26 @@ def reports(segments: DataFrame, by: str = "song_id", unsure: float = 0.45) -> D
 
 def midi_files(notes: DataFrame, by: str = "song_id", ticks_per_beat: int = 480, us_per_beat: int = 500_000) -> DataFrame:
     """by, content: a standard MIDI file (format 0) for each song of notes start_ms, end_ms, midi, velocity. Events are
-    made and ordered by Spark; a song's are packed where they end up."""
+    made and ordered by Spark; a song's are packed one after the other as they come."""
     tick = lambda c: F.round(F.col(c) * 1000 * ticks_per_beat / us_per_beat).cast("long")
     on = F.struct(tick("start_ms").alias("tick"), F.lit(1).alias("kind"), "midi", "velocity")
     off = F.struct(F.greatest(tick("end_ms"), tick("start_ms") + 1).alias("tick"), F.lit(0).alias("kind"), "midi", F.lit(0).cast("int").alias("velocity"))
-    events = notes.select(by, F.col("midi").cast("int").alias("midi"), F.col("velocity").cast("int").alias("velocity"), "start_ms", "end_ms").select(by, F.explode(F.array(on, off)).alias("e"))
-    songs = events.groupBy(by).agg(F.array_sort(F.collect_list("e")).alias("events"))
+    events = notes.select(by, F.col("midi").cast("int").alias("midi"), F.col("velocity").cast("int").alias("velocity"), "start_ms", "end_ms").select(by, F.explode(F.array(on, off)).alias("e")).select(by, "e.*")
 
-    @F.pandas_udf("binary")
-    def packed(e: pd.Series) -> pd.Series:
-        return e.map(lambda rows: midi_bytes([(r["tick"], r["kind"], r["midi"], r["velocity"]) for r in rows], ticks_per_beat, us_per_beat))
+    class File:
+        def __init__(self):
+            self.track = Track()
+            self.track.add(0, tempo_meta(us_per_beat))
 
-    return songs.select(by, packed("events").alias("content"))
+        def push(self, g: pd.DataFrame) -> None:
+            self.key = g[by].iloc[0]
+            for tick, on, p, v in zip(g["tick"].tolist(), g["kind"].tolist(), g["midi"].tolist(), g["velocity"].tolist()):
+                self.track.add(tick, message("on" if on else "off", 0, p, v))
+
+        def end(self) -> pd.DataFrame:
+            return pd.DataFrame({by: [self.key], "content": [head_bytes(0, 1, ticks_per_beat) + self.track.chunk()]})
+
+    return fold_sorted(events, by, ["tick", "kind", "midi", "velocity"], File, f"{by} {events.schema[by].dataType.simpleString()}, content binary")
 
 
 def chord_notes(segments: DataFrame, voicing: Column, by: str = "song_id") -> DataFrame:
@@ -85,12 +94,27 @@ def sustain_events(controls: DataFrame, track: Column, ticks_per_beat: int = 480
 def song_files(events: DataFrame, by: str = "song_id", ticks_per_beat: int = 480, us_per_beat: int = 500_000, sharps: int = 0, minor: bool = False) -> DataFrame:
     """by, content: a MIDI file of format 1 for each song, with a track for each name. events: by, track, tick, kind (on,
     off, control), channel, a, b. At one tick ends come first, then controls, then starts."""
-    order = F.when(F.col("kind") == "off", 0).when(F.col("kind") == "control", 1).otherwise(2).alias("o")
-    tracks = events.groupBy(by, "track").agg(F.array_sort(F.collect_list(F.struct("tick", order, "a", "b", "kind", "channel"))).alias("events"))
-    songs = tracks.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("track", "events"))).alias("tracks"))
-
-    @F.pandas_udf("binary")
-    def packed(t: pd.Series) -> pd.Series:
-        return t.map(lambda rows: tracks_bytes([(r["track"], [(e["tick"], e["kind"], e["channel"], e["a"], e["b"]) for e in r["events"]]) for r in rows], ticks_per_beat, us_per_beat, sharps=sharps, minor=minor))
-
-    return songs.select(by, packed("tracks").alias("content"))
+    order = F.when(F.col("kind") == "off", 0).when(F.col("kind") == "control", 1).otherwise(2)
+
+    class File:
+        def __init__(self):
+            self.chunks, self.name, self.track = [song_head(us_per_beat, 4, sharps, minor)], None, None
+
+        def push(self, g: pd.DataFrame) -> None:
+            self.key = g[by].iloc[0]
+            for name, tick, *e in zip(*(g[c].tolist() for c in ("track", "tick", "kind", "channel", "a", "b"))):
+                if self.track is None or name != self.name:
+                    self.close()
+                    self.name, self.track = name, named_track(name)
+                self.track.add(tick, message(*e))
+
+        def close(self) -> None:
+            if self.track is not None:
+                self.chunks.append(self.track.chunk())
+
+        def end(self) -> pd.DataFrame:
+            self.close()
+            return pd.DataFrame({by: [self.key], "content": [head_bytes(1, len(self.chunks), ticks_per_beat) + b"".join(self.chunks)]})
+
+    rows = events.select(by, "track", "tick", order.alias("o"), "a", "b", "kind", "channel")
+    return fold_sorted(rows, by, ["track", "tick", "o", "a", "b", "kind", "channel"], File, f"{by} {events.schema[by].dataType.simpleString()}, content binary")

@@ -15,40 +15,56 @@ from annotide.operators.stateful import fold_sorted, triad_states
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+PORTION = 4096  # rows whose scores are held at once
+
+
 class LagFold:
     """The best path so far, told for each row once lag more rows are there: its state is that of the row on the best path
     to the newest one. What is held is a score for each state and lag rows of pointers."""
 
-    def __init__(self, lag: int, n: int = 0, score: np.ndarray | None = None, held: list[tuple] | None = None):
-        self.lag, self.n, self.score, self.held = lag, n, score, held or []
+    def __init__(self, lag: int, score: np.ndarray | None = None, back: np.ndarray | None = None):
+        self.lag, self.score, self.back = lag, score, back
+        self.rows: list[tuple] = []
 
-    def push(self, row: tuple, emissions: np.ndarray, switch: float) -> tuple | None:
-        """The row of lag rows ago with its state."""
-        own = np.arange(len(emissions), dtype=np.int32)
+    def states(self, emissions: np.ndarray, switch: float) -> np.ndarray:
+        """The states of the rows that can be told now, after rows of these emissions: each time the oldest ones not told."""
+        told = [self._states(emissions[k : k + PORTION].astype(float), switch) for k in range(0, len(emissions), PORTION)]
+        return np.concatenate([np.zeros(0, np.int32), *told])
+
+    def _states(self, emissions: np.ndarray, switch: float) -> np.ndarray:
+        own = np.arange(emissions.shape[1], dtype=np.int32)
         if self.score is None:
-            self.score, back = emissions.astype(float), own
+            scores, back, rest = emissions[:1], [own[None]], emissions[1:]
         else:
-            best = int(self.score.argmax())
-            moved = self.score[best] - switch
-            back = np.where(self.score >= moved, own, best).astype(np.int32)
-            self.score = np.maximum(self.score, moved) + emissions
-        self.n += 1
-        self.held.append((row, back))
-        if len(self.held) <= self.lag:
-            return None
-        state = int(self.score.argmax())
-        for _, b in self.held[:0:-1]:
-            state = int(b[state])
-        first, _ = self.held.pop(0)
-        return (*first, state)
+            scores, back, rest = self.score[None], [self.back], emissions
+        scores = np.concatenate([scores, np.empty(rest.shape)])
+        for before, now, e in zip(scores, scores[1:], rest):
+            np.maximum(before, before[before.argmax()] - switch, out=now)
+            now += e
+        best = scores.argmax(1).astype(np.int32)
+        moved = scores.max(1) - switch
+        back = np.concatenate([*back, np.where(scores >= moved[:, None], own, best[:, None])[:-1]])
+        self.score, self.back = scores[-1].copy(), back[max(len(back) - self.lag, 0) :]
+        newest = np.arange(max(self.lag, len(back) - len(emissions)), len(back))
+        state = best[newest - len(back)]
+        for k in range(self.lag):
+            state = back[newest - k, state]
+        return state
 
+    def push(self, row: tuple, emissions: np.ndarray, switch: float) -> tuple | None:
+        """The row of lag rows ago with its state."""
+        self.rows.append(row)
+        states = self.states(emissions[None], switch)
+        return (*self.rows.pop(0), int(states[0])) if len(states) else None
 
-def mask_emissions(mask: int) -> np.ndarray:
-    """What the 25 triad states make of a 12-bit mask; silence is none of pitch classes."""
-    bits = (mask >> np.arange(12)) & 1
+
+def mask_emissions(mask: int | np.ndarray) -> np.ndarray:
+    """What the 25 triad states make of 12-bit masks; silence is none of pitch classes."""
+    mask = np.asarray(mask)
+    bits = ((mask[..., None] >> np.arange(12)) & 1).astype(float)
     tones = triad_states()
-    e = 1.0 * tones @ bits - 0.5 * (1 - tones) @ bits
-    e[24] = 1.0 if mask == 0 else -0.5
+    e = bits @ tones.T - 0.5 * (bits @ (1 - tones).T)
+    e[..., 24] = np.where(mask == 0, 1.0, -0.5)
     return e
 
 
@@ -57,12 +73,13 @@ def lagged_paths(masks: DataFrame, by: str, t: str, row: str, mask: str, lag: in
 
     class Fold:
         def __init__(self):
-            self.fold = LagFold(lag)
+            self.fold, self.held = LagFold(lag), []
 
         def push(self, g: pd.DataFrame) -> pd.DataFrame | None:
-            told = [self.fold.push(r[:3], mask_emissions(r[3]), switch) for r in zip(g[by].tolist(), g[t].tolist(), g[row].tolist(), g[mask].tolist())]
-            told = [r for r in told if r]
-            return pd.DataFrame(told, columns=[by, t, row, "state"]) if told else None
+            states = self.fold.states(mask_emissions(g[mask].to_numpy(np.int64)), switch)
+            rows = pd.concat([*self.held, g[[by, t, row]]], ignore_index=True)
+            self.held = [rows[len(states) :]]
+            return rows[: len(states)].assign(state=states) if len(states) else None
 
         def end(self) -> None:
             return None
@@ -72,43 +89,60 @@ def lagged_paths(masks: DataFrame, by: str, t: str, row: str, mask: str, lag: in
 
 class LaggedPaths(StatefulProcessor):
     """Rows wait until the watermark has passed them and are then taken in order, so it does not matter in which batch
-    they came. A timer stands at the earliest row that waits."""
+    they came. They wait as they came, a batch of a key's rows as one value, and are read when the timer at the earliest
+    of them ends."""
 
     def __init__(self, lag: int, switch: float):
         self.lag, self.switch = lag, switch
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.path = handle.getValueState("path", "n long, score array<double>")
-        self.held = handle.getListState("held", "t long, row long, back array<int>")
-        self.waiting = handle.getListState("waiting", "t long, row long, mask long")
+        self.path = handle.getValueState("path", "score binary, back binary, rows binary")
+        self.due = handle.getValueState("due", "t long")
+        self.waiting = handle.getListState("waiting", "rows binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [r for b in rows for r in zip(b["t"].tolist(), b["row"].tolist(), b["mask"].tolist())]
-        yield self._passed(key[0], new, timerValues.getCurrentWatermarkInMs())
+        first = None
+        for b in rows:
+            new = b[["t", "row", "mask"]].to_numpy(np.int64)
+            if len(new):
+                self.waiting.appendValue((new.tobytes(),))
+                first = int(new[:, 0].min()) if first is None else min(first, int(new[:, 0].min()))
+        now = timerValues.getCurrentWatermarkInMs()
+        if first is not None and first <= now:
+            yield from self._passed(key[0], now)
+        elif first is not None and not (self.due.exists() and self.due.get()[0] <= first):
+            self._wait_for(first)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._passed(key[0], [], timerValues.getCurrentWatermarkInMs())
-
-    def _passed(self, key: int, new: list[tuple], now: int) -> pd.DataFrame:
-        waiting = sorted([*new, *map(tuple, self.waiting.get())])
-        passed = [r for r in waiting if r[0] <= now]
-        waiting = waiting[len(passed) :]
-        told = []
-        if passed:
-            n, score = self.path.get() if self.path.exists() else (0, None)
-            fold = LagFold(self.lag, n, None if score is None else np.array(score), [((t, r), np.array(b, np.int32)) for t, r, b in self.held.get()])
-            told = [x for t, r, m in passed if (x := fold.push((t, r), mask_emissions(m), self.switch))]
-            self.path.update((fold.n, fold.score.tolist()))
-            self.held.put([(t, r, b.tolist()) for (t, r), b in fold.held])
-        if passed or new:
-            if waiting:
-                self.waiting.put(waiting)
-            elif self.waiting.exists():
-                self.waiting.clear()
-        if waiting:
-            self.handle.registerTimer(waiting[0][0])
-        return pd.DataFrame([(key, *x) for x in told], columns=["key", "t", "row", "state"]).astype({"key": "int64", "t": "int64", "row": "int64", "state": "int32"})
+        now = timerValues.getCurrentWatermarkInMs()
+        if self.due.exists() and self.due.get()[0] <= now:
+            yield from self._passed(key[0], now)
+
+    def _wait_for(self, t: int) -> None:
+        self.due.update((t,))
+        self.handle.registerTimer(t)
+
+    def _passed(self, key: int, now: int) -> Iterator[pd.DataFrame]:
+        waiting = np.concatenate([np.frombuffer(w[0], np.int64).reshape(-1, 3) for w in self.waiting.get()])
+        passed, waiting = waiting[waiting[:, 0] <= now], waiting[waiting[:, 0] > now]
+        passed = passed[np.lexsort(passed.T[::-1])]
+        fold, rows = LagFold(self.lag), passed[:, :2]
+        if self.path.exists():
+            score, back, held = self.path.get()
+            score = np.frombuffer(score)
+            fold = LagFold(self.lag, score, np.frombuffer(back, np.int32).reshape(-1, len(score)))
+            rows = np.concatenate([np.frombuffer(held, np.int64).reshape(-1, 2), rows])
+        states = fold.states(mask_emissions(passed[:, 2]), self.switch)
+        self.path.update((fold.score.tobytes(), fold.back.tobytes(), rows[len(states) :].tobytes()))
+        if len(waiting):
+            self.waiting.put([(waiting.tobytes(),)])
+            self._wait_for(int(waiting[:, 0].min()))
+        else:
+            self.waiting.clear()
+            self.due.clear()
+        if len(states):
+            yield pd.DataFrame({"key": key, "t": rows[: len(states), 0], "row": rows[: len(states), 1], "state": states})
 
     def close(self) -> None:
         pass

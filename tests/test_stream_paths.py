@@ -5,11 +5,12 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from annotide.operators.stateful import best_path
 from annotide.streaming.events import drain
-from annotide.streaming.paths import LagFold, lagged_paths, mask_emissions, state_store, stream_lagged_paths
+from annotide.streaming.paths import LagFold, LaggedPaths, lagged_paths, mask_emissions, state_store, stream_lagged_paths
 
 
 def test_a_lag_as_long_as_the_stream_gives_the_best_path():
@@ -56,3 +57,47 @@ def test_stream_in_several_batches_equals_batch(spark, tmp_path):
 
 def test_silence_is_its_own_state():
     assert mask_emissions(0).argmax() == 24 and mask_emissions(0b10010001).argmax() == 0
+
+
+def test_rows_wait_as_batches_of_their_key():
+    """A key's rows are kept and read as one value for each batch that they came in, not one for each row; a key whose
+    rows all wait gives none, and rows of one time go by their number."""
+    kept = []
+
+    class State:
+        def __init__(self, value=None):
+            self.value = value
+
+        exists = lambda self: self.value is not None
+        get = lambda self: iter(self.value) if isinstance(self.value, list) else self.value
+        update = put = lambda self, v: setattr(self, "value", v)
+
+        def appendValue(self, v):
+            kept.append(v)
+            self.value = [*(self.value or []), v]
+
+        def clear(self):
+            self.value = None
+
+    class Handle:
+        getValueState = getListState = lambda self, name, schema: State()
+        registerTimer = lambda self, t: timers.append(t)
+
+    class Now:
+        def __init__(self, now):
+            self.getCurrentWatermarkInMs = lambda: now
+
+    timers = []
+    rnd = np.random.default_rng(4)
+    n, lag = 9000, 6
+    rows = pd.DataFrame({"t": rnd.integers(1, 3000, n), "row": rnd.permutation(n), "mask": rnd.integers(0, 4096, n)})
+    path = LaggedPaths(lag, 1.25)
+    path.init(Handle())
+    assert not list(path.handleInputRows((7,), iter([rows[:5000], rows[5000:]]), Now(0)))
+    assert len(kept) == 2 and timers == [rows.t.min()]
+    got = [pd.concat(path.handleExpiredTimer((7,), Now(now), None)) for now in (1000, 3000)]
+    assert not list(path.handleExpiredTimer((7,), Now(4000), None)) and not path.waiting.exists()
+    rows = rows.sort_values(["t", "row"])
+    fold = LagFold(lag)
+    want = [x for r in zip(rows.t, rows.row, rows["mask"]) if (x := fold.push(r[:2], mask_emissions(r[2]), 1.25))]
+    assert list(pd.concat(got)[["t", "row", "state"]].itertuples(index=False, name=None)) == want

@@ -17,6 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,10 @@ from annotide.llm._blocks import Test, bounded_groups, group_links, links_within
 from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
-BINS = 12  # of four bits in a line's sketch, whose lowest 16 bits are its length
+BINS = 27  # of three bits in a line's sketch
+# of a row's three numbers, the key's lowest 16 bits hold whether it is indexed and the line's length, the id's lowest 20
+# the first 6 bins, and the third all others
+KEY_BITS, ID_BITS, ID_BINS = 16, 20, 6
 PER_BLOCK = 2048
 PORTION_CHARS = 1 << 20
 SEEN_LINES = 1 << 17
@@ -86,7 +90,7 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
 
 
 def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number, key, and whether the line is indexed under it or only probes it; keys of a line differ.
+    """Line number, key, and whether the line is indexed under it or only probes it; a key seldom comes twice for a line.
 
     Of the segment i of most + 1, the shifts from -i to i are probed in front, and from i - most to most - i at the back.
     """
@@ -105,10 +109,8 @@ def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: in
             front = 2 * i <= most
             reach = i if front else most - i
             base = start + i * z if front else start + n - (most + 1 - i) * z
-            at = base[:, None] + np.arange(-reach, reach + 1)
-            inside = (at >= start[:, None]) & (at + z <= (start + n)[:, None])
-            found = windows[np.where(inside, at, base[:, None])]
-            found.sort(axis=1)
+            at = np.clip(base[:, None] + np.arange(-reach, reach + 1), start[:, None], (start + n - z)[:, None])
+            found = windows[at]  # shifts that share a k-gram stand side by side
             new = np.ones(found.shape, bool)
             new[:, 1:] = found[:, 1:] != found[:, :-1]
             row, col = np.nonzero(new)
@@ -119,27 +121,36 @@ def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: in
     return np.concatenate(owners), np.concatenate(keys), np.concatenate(indexed)
 
 
-def sketches(lines: list[str]) -> np.ndarray:
-    """Character counts modulo 16 in BINS bins and the length (15 bits; all longer ones as one), as one number a line."""
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length (15 bits; all longer ones as one, above a free bit), and character counts modulo 8 in the first ID_BINS and
+    in the other bins."""
     size = np.array([len(s) for s in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
-    bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) % BINS
-    counts = np.bincount(np.repeat(np.arange(len(lines)), size) * BINS + bin_of, minlength=len(lines) * BINS).reshape(-1, BINS) & 15
-    return (np.minimum(size, 0x7FFF) << 1) | (counts << (16 + 4 * np.arange(BINS))).sum(1)
+    bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) * BINS >> 16  # neighbours in the alphabet lie apart
+    counts = np.bincount(np.repeat(np.arange(len(lines)), size) * BINS + bin_of, minlength=len(lines) * BINS).reshape(-1, BINS) & 7
+    few, many = counts[:, :ID_BINS], counts[:, ID_BINS:]
+    return np.minimum(size, 0x7FFF) << 1, (few << (3 * np.arange(ID_BINS))).sum(1), (many << (3 * np.arange(BINS - ID_BINS))).sum(1)
 
 
-def like_sketches(sketch: np.ndarray, threshold: int, percent: int) -> Test:
-    """The test whether two lines, one of them indexed under the key where they meet, may be within the edits allowed."""
-    indexed, size = sketch & 1, (sketch >> 1) & 0x7FFF
-    counts = ((sketch[:, None] >> (16 + 4 * np.arange(BINS))) & 15).astype(np.int8)
+def _moved_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.abs((x - y + 4 & 7) - 4).sum(1, dtype=np.int16)
+
+
+def like_sketches(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: int, percent: int) -> Test:
+    """The test whether two rows of lines, one of them indexed under the key where they meet, may be within the edits allowed."""
+    indexed, size = key & 1, (key >> 1) & 0x7FFF
+    few = ((ids[:, None] >> (3 * np.arange(ID_BINS))) & 7).astype(np.int8)
+    many = ((sketch[:, None] >> (3 * np.arange(BINS - ID_BINS))) & 7).astype(np.int8)
 
     def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         most = edits(np.minimum(size[x], size[y]), threshold, percent)
         ok = np.nonzero(((indexed[x] | indexed[y]) == 1) & (np.abs(size[x] - size[y]) <= most))[0]
         # an edit changes two counts by one at most
-        moved = np.abs((counts[x[ok]] - counts[y[ok]] + 8 & 15) - 8).sum(1, dtype=np.int16)
+        moved = _moved_counts(many[x[ok]], many[y[ok]])
+        near = moved <= 2 * most[ok]
+        ok, moved = ok[near], moved[near]
         out = np.zeros(len(x), bool)
-        out[ok] = moved <= 2 * most[ok]
+        out[ok] = moved + _moved_counts(few[x[ok]], few[y[ok]]) <= 2 * most[ok]
         return out
 
     return test
@@ -230,33 +241,33 @@ def code_points(line: str) -> np.ndarray:
     return np.frombuffer(line.encode("utf-32-le", "replace"), np.uint32)
 
 
-def lines_in(text: str, least: int) -> list[tuple[int, str]]:
-    """Number and text of the lines of least characters or more, without the white space around them."""
-    return [(no, s) for no, line in enumerate(text.split("\n")) if len(s := line.strip(BLANKS)) >= least]
-
-
-def line_ids(lines: list[str]) -> list[bytes]:
-    return [xxhash.xxh3_128_digest(s.encode("utf-8", "replace")) for s in lines]
+def line_ids(lines: pa.Array) -> list[bytes]:
+    _, offsets, data = lines.buffers()
+    at = np.frombuffer(offsets, np.int32)[lines.offset : lines.offset + len(lines) + 1].tolist() if len(lines) else [0]
+    data = memoryview(data or b"")
+    return [xxhash.xxh3_128_digest(data[a:z]) for a, z in zip(at, at[1:])]
 
 
 def short_ids(ids: list[bytes]) -> np.ndarray:
-    """The first 64 bits of line ids. They only serve to find candidates: which lines are equal is told by whole ids."""
-    return np.frombuffer(b"".join(ids), np.int64)[::2]
+    """The first 44 bits of line ids, above zeros. They only serve to find candidates: which lines are equal is told by whole ids."""
+    return np.frombuffer(b"".join(ids), np.int64)[::2] >> ID_BITS << ID_BITS
 
 
-def _numbered(texts: pa.Array, least: int) -> Iterator[tuple[list[int], list[int], list[str]]]:
-    """Row numbers, line numbers and lines, in portions of about PORTION_CHARS characters and whole texts."""
-    rows, numbers, lines, chars = [], [], [], 0
-    for row, text in enumerate(texts):
-        for no, line in lines_in(text.as_py(), least):
-            rows.append(row)
-            numbers.append(no)
-            lines.append(line)
-            chars += len(line)
-        if chars >= PORTION_CHARS:
-            yield rows, numbers, lines
-            rows, numbers, lines, chars = [], [], [], 0
-    yield rows, numbers, lines
+def _numbered(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+    """Row numbers, line numbers and lines of least characters or more, without the white space around them, in portions
+    of whole texts of about PORTION_CHARS bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        done = ends[at - 1] if at else 0
+        z = max(int(np.searchsorted(ends, done + PORTION_CHARS, side="right")), at + 1)
+        split = pc.split_pattern(texts.slice(at, z - at), "\n")
+        lines = pc.ascii_trim(split.flatten(), characters=BLANKS)
+        n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+        rows, numbers = np.repeat(np.arange(at, z), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        long = np.nonzero(pc.utf8_length(lines).to_numpy(zero_copy_only=False) >= least)[0]
+        yield rows[long], numbers[long], lines.take(pa.array(long))
+        at = z
 
 
 def _places(least: int):
@@ -275,12 +286,12 @@ class _Seen:
     def __init__(self):
         self.ids: set[bytes] = set()
 
-    def new(self, lines: list[str]) -> tuple[list[str], list[bytes]]:
-        fresh = {i: s for i, s in zip(line_ids(lines), lines) if i not in self.ids}
+    def new(self, lines: pa.Array) -> tuple[pa.Array, list[bytes]]:
+        fresh = {i: k for k, i in enumerate(line_ids(lines)) if i not in self.ids}
         if len(self.ids) + len(fresh) > SEEN_LINES:
             self.ids.clear()
         self.ids.update(fresh)
-        return list(fresh.values()), list(fresh)
+        return lines.take(pa.array(list(fresh.values()), pa.int32())), list(fresh)
 
 
 def _keyed(threshold: int, percent: int, least: int):
@@ -288,11 +299,14 @@ def _keyed(threshold: int, percent: int, least: int):
         seen = _Seen()
         for b in batches:
             for _, _, lines in _numbered(b.column("text"), max(least, 1)):
-                lines, ids = seen.new(lines)
-                if not lines:
+                new, ids = seen.new(lines)
+                if not ids:
                     continue
+                lines = new.to_pylist()
                 owner, key, indexed = segment_keys(lines, threshold, percent, least)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(short_ids(ids)[owner]), pa.array(sketches(lines)[owner] | indexed)], ["key", "id", "sketch"])
+                size, few, many = sketches(lines)
+                key = key >> KEY_BITS << KEY_BITS | size[owner] | indexed
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((short_ids(ids) | few)[owner]), pa.array(many[owner])], ["key", "id", "sketch"])
 
     return run
 
@@ -333,6 +347,10 @@ def _met_by_key(threshold: int, percent: int, limit: int):
     """a, b within the groups of a key, told with whether they are one pair or stand for many; rows of groups of more
     than limit rows come out as key, id, sketch."""
 
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(b.column("key").to_numpy() >> KEY_BITS)], [*b.schema.names, "group"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(a, b, many, rest: pa.Table) -> pa.RecordBatch:
             columns = [pa.concat_arrays([pa.array(v, kind), pa.nulls(rest.num_rows, kind)]) for v, kind in ((a, pa.int64()), (b, pa.int64()), (many, pa.bool_()))]
@@ -340,25 +358,26 @@ def _met_by_key(threshold: int, percent: int, limit: int):
                 columns.append(pa.concat_arrays([pa.nulls(len(a), pa.int64()), *rest.column(c).chunks]))
             return pa.RecordBatch.from_arrays(columns, ["a", "b", "many", "key", "id", "sketch"])
 
-        for t, at in bounded_groups(batches, "key", limit):
+        for t, at in bounded_groups(grouped(batches), "group", limit):
             if at is None:
                 yield result([], [], [], t)
                 continue
             sizes = np.diff(at)
-            indexed = np.add.reduceat(t.column("sketch").to_numpy() & 1, at[:-1]) > 0
+            indexed = np.add.reduceat(t.column("key").to_numpy() & 1, at[:-1]) > 0
             small = np.nonzero(np.repeat((sizes > 1) & (sizes <= limit) & indexed, sizes))[0]
-            key, ids = t.column("key").to_numpy()[small], t.column("id").to_numpy()[small]
-            order = np.lexsort((ids, key))
-            small, key, ids = small[order], key[order], ids[order]
-            if len(small):
-                first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])])  # a line may come from several tasks
-                small, key, ids = small[first], key[first], ids[first]
+            group, key, ids, sketch = (t.column(c).to_numpy()[small] for c in ("group", "key", "id", "sketch"))
+            order = np.lexsort((sketch, ids, key))
+            group, key, ids, sketch = group[order], key[order], ids[order], sketch[order]
+            if len(key):
+                first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (sketch[1:] != sketch[:-1])])  # a line may come from several tasks
+                group, key, ids, sketch = group[first], key[first], ids[first], sketch[first]
             large = t.filter(pa.array(np.repeat(sizes > limit, sizes))) if (sizes > limit).any() else t.slice(0, 0)
             if not len(key):
                 yield result([], [], [], large)
                 continue
-            cuts = np.concatenate([np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0], [len(key)]])
-            x, y, moved, to = group_candidates(cuts, like_sketches(t.column("sketch").to_numpy()[small], threshold, percent))
+            cuts = np.concatenate([np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], [len(key)]])
+            x, y, moved, to = group_candidates(cuts, like_sketches(key, ids, sketch, threshold, percent))
+            ids = ids >> ID_BITS << ID_BITS
             a, b = np.concatenate([ids[x], ids[moved]]), np.concatenate([ids[y], ids[to]])
             yield result(np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= len(x), large)
 
@@ -387,7 +406,7 @@ def _fetched(least: int):
         for b in batches:
             for _, _, lines in _numbered(b.column("text"), max(least, 1)):
                 lines, ids = seen.new(lines)
-                yield pa.RecordBatch.from_arrays([pa.array(short_ids(ids)), pa.array(ids, pa.binary()), pa.array(lines, pa.string())], ["id", "lid", "line"])
+                yield pa.RecordBatch.from_arrays([pa.array(short_ids(ids)), pa.array(ids, pa.binary()), lines], ["id", "lid", "line"])
 
     return run
 
@@ -402,14 +421,15 @@ def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: in
     if not threshold:
         return store.put(known.where("n > 1").select("lid", "first"))
     keys = rows.select("text").mapInArrow(_keyed(threshold, percent, edit_chars), "key long, id long, sketch long")
-    met = store.put(keys.repartition("key").sortWithinPartitions("key").mapInArrow(_met_by_key(threshold, percent, in_task), "a long, b long, many boolean, key long, id long, sketch long"))
+    met = store.put(keys.repartition(F.shiftright("key", KEY_BITS)).sortWithinPartitions("key").mapInArrow(_met_by_key(threshold, percent, in_task), "a long, b long, many boolean, key long, id long, sketch long"))
     pairs = store.put(met.where("not many").select("a", "b").distinct())
     links = met.where("many").select("a", "b")
     large = met.where("key is not null").select("key", "id", "sketch").distinct()
     if large.limit(1).count():
-        large = store.put(large)
-        sized = large.join(large.groupBy("key").agg(F.count("*").alias("m")), "key")
-        links = links.unionByName(group_links(store, sized, "key", "m", "id", PER_BLOCK, lambda t: like_sketches(t.column("sketch").to_numpy(), threshold, percent)))
+        line = F.shiftleft(F.shiftright("id", ID_BITS), ID_BITS)
+        large = store.put(large.select(F.shiftright("key", KEY_BITS).alias("group"), line.alias("line"), "key", "id", "sketch"))
+        sized = large.join(large.groupBy("group").agg(F.count("*").alias("m")), "group")
+        links = links.unionByName(group_links(store, sized, "group", "m", "line", PER_BLOCK, lambda t: like_sketches(*(t.column(c).to_numpy() for c in ("key", "id", "sketch")), threshold, percent)))
     clusters = store.put(connected_components(store, links))
     store.drop(met)
 

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -492,6 +493,35 @@ def test_segments_probe_every_pair_within_the_threshold(threshold):
             assert any(ka[k] or kb[k] for k in set(ka) & set(kb))
 
 
+def test_sketches_tell_chance_from_near_lines():
+    """Lines of the same few syllables share segments by chance: of a thousand such pairs sketches let at most 60 pass, and
+    every pair within the edits allowed."""
+    rng = np.random.default_rng(5)
+    syllables = ["th", "an", "er", "on", "the", "ing", "and", "st", "re", "en", "ha", "nt", "ed", "ou", "ea", "ti", " ", " ", ". "]
+    lines = ["".join(rng.choice(syllables, 60))[:100] for _ in range(1000)]
+    for k in range(0, 1000, 2):
+        s = list(lines[k])
+        for _ in range(8):
+            at = int(rng.integers(len(s)))
+            s[at : at + 1] = [["", "x", "th"[rng.integers(2)] + s[at]][rng.integers(3)]]
+        lines.append("".join(s))
+    size, few, many = line_dedup.sketches(lines)
+    test = line_dedup.like_sketches(size | 1, few, many, threshold=8, percent=10)
+    assert test(np.arange(0, 1000), np.roll(np.arange(0, 1000), 1)).sum() <= 60
+    x, y = np.arange(0, 1000, 2), np.arange(1000, 1500)
+    near = line_dedup.within([line_dedup.code_points(s) for s in lines], x, y, 8, 10)
+    assert near.sum() > 400 and test(x, y)[near].all()
+
+
+def test_lines_are_numbered_as_python_splits_them(monkeypatch):
+    monkeypatch.setattr(line_dedup, "PORTION_CHARS", 9)
+    texts = ["", "a\n\n b ", "\n", "é\t\n xx\x0b\x0c\r\n日本語 \n", "q"]
+    for least in (0, 1, 3):
+        got = [x for rows, numbers, lines in line_dedup._numbered(pa.array(texts), least) for x in zip(rows, numbers, lines.to_pylist())]
+        want = [(k, no, s) for k, t in enumerate(texts) for no, line in enumerate(t.split("\n")) if len(s := line.strip(line_dedup.BLANKS)) >= least]
+        assert got == want
+
+
 def test_banded_distance():
     rng = np.random.default_rng(11)
     lines = ["".join(rng.choice(list("ab"), rng.integers(1, 14))) for _ in range(60)]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._blocks import Test, bounded_groups, group_links, links_within, pairs_of, whole_groups, with_first
+from annotide.llm._blocks import Test, _all_pairs, group_links, links_within, whole_groups, with_first
 from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -33,9 +33,16 @@ KEY_BITS, ID_BITS, ID_BINS = 16, 20, 6
 PER_BLOCK = 2048
 PORTION_CHARS = 1 << 20
 SEEN_LINES = 1 << 17
+VERIFIED_ROWS = 1 << 15
+PACKED_ROWS = 1 << 19
+HELD_ROWS = 1 << 21
 _ONE = np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_UNITS = np.uint64(sum(1 << at for at in range(0, 64, 6)))
+_COUNTS, _ABOVE = _UNITS * np.uint64(7), _UNITS << np.uint64(3)
+_WIDE_UNITS = np.uint64(sum(1 << at for at in range(0, 60, 12)))
+_WIDE = np.uint64(sum(0x3F << at for at in range(0, 60, 12)) | 0xF << 60)
 
 
 def edits(length, threshold: int, percent: int):
@@ -68,9 +75,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x = x ^ (x >> np.uint64(30))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
@@ -109,15 +119,16 @@ def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: in
             front = 2 * i <= most
             reach = i if front else most - i
             base = start + i * z if front else start + n - (most + 1 - i) * z
-            at = np.clip(base[:, None] + np.arange(-reach, reach + 1), start[:, None], (start + n - z)[:, None])
+            at = np.arange(-reach, reach + 1)[:, None] + base
+            np.maximum(at, start, out=at)
+            np.minimum(at, start + n - z, out=at)
             found = windows[at]  # shifts that share a k-gram stand side by side
             new = np.ones(found.shape, bool)
-            new[:, 1:] = found[:, 1:] != found[:, :-1]
-            row, col = np.nonzero(new)
-            value = found[row, col]
-            keys.append(_mix(value + np.uint64((number * 64 + i + 1) * 0x9E3779B97F4A7C15 % 2**64)).view(np.int64))
-            owners.append(who[row])
-            indexed.append(own[row] & (value == windows[base][row]))
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            # values are hashes already; segments of classes are told apart
+            keys.append((found[new] ^ _mix(np.array([number * 64 + i + 1], np.uint64))).view(np.int64))
+            owners.append(np.broadcast_to(who, found.shape)[new])
+            indexed.append((own & (found == found[reach]))[new])
     return np.concatenate(owners), np.concatenate(keys), np.concatenate(indexed)
 
 
@@ -126,69 +137,107 @@ def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     in the other bins."""
     size = np.array([len(s) for s in lines], np.int64)
     codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
-    bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype(np.int64) * BINS >> 16  # neighbours in the alphabet lie apart
+    bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)  # neighbours in the alphabet lie apart
     counts = np.bincount(np.repeat(np.arange(len(lines)), size) * BINS + bin_of, minlength=len(lines) * BINS).reshape(-1, BINS) & 7
     few, many = counts[:, :ID_BINS], counts[:, ID_BINS:]
     return np.minimum(size, 0x7FFF) << 1, (few << (3 * np.arange(ID_BINS))).sum(1), (many << (3 * np.arange(BINS - ID_BINS))).sum(1)
 
 
 def _moved_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.abs((x - y + 4 & 7) - 4).sum(1, dtype=np.int16)
+    """Sum of the differences of counts modulo 8, three bits each, in words x and y: every other count has three bits
+    to spare, so that all of a word are subtracted at once."""
+    moved = np.zeros(len(x), np.uint64)
+    for shift in (np.uint64(0), np.uint64(3)):
+        apart = (((x >> shift) & _COUNTS | _ABOVE) - ((y >> shift) & _COUNTS)) & _COUNTS
+        over = (apart >> np.uint64(2)) & _UNITS  # 4 to 7 stand for -4 to -1
+        moved += (apart ^ (over * np.uint64(7))) + over
+    moved = (moved & _WIDE) + ((moved >> np.uint64(6)) & _WIDE)
+    return ((moved * _WIDE_UNITS >> np.uint64(48)) & np.uint64(0xFFF)) + (moved >> np.uint64(60))
 
 
 def like_sketches(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: int, percent: int) -> Test:
     """The test whether two rows of lines, one of them indexed under the key where they meet, may be within the edits allowed."""
-    indexed, size = key & 1, (key >> 1) & 0x7FFF
-    few = ((ids[:, None] >> (3 * np.arange(ID_BINS))) & 7).astype(np.int8)
-    many = ((sketch[:, None] >> (3 * np.arange(BINS - ID_BINS))) & 7).astype(np.int8)
+    indexed, size = (key & 1).astype(bool), ((key >> 1) & 0x7FFF).astype(np.int16)
+    allowed = edits(size.astype(np.int64), threshold, percent).astype(np.int16)  # grows with the length, so the shorter line has the least
+    few, many = (ids & ((1 << 3 * ID_BINS) - 1)).astype(np.uint64), sketch.astype(np.uint64)
 
     def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        most = edits(np.minimum(size[x], size[y]), threshold, percent)
-        ok = np.nonzero(((indexed[x] | indexed[y]) == 1) & (np.abs(size[x] - size[y]) <= most))[0]
+        most = np.minimum(allowed[x], allowed[y])
+        ok = np.nonzero((indexed[x] | indexed[y]) & (np.abs(size[x] - size[y]) <= most))[0]
         # an edit changes two counts by one at most
-        moved = _moved_counts(many[x[ok]], many[y[ok]])
-        near = moved <= 2 * most[ok]
-        ok, moved = ok[near], moved[near]
+        moved, most = _moved_counts(many[x[ok]], many[y[ok]]), 2 * most[ok].astype(np.uint64)
+        near = moved <= most
+        ok, moved, most = ok[near], moved[near], most[near]
         out = np.zeros(len(x), bool)
-        out[ok] = moved + _moved_counts(few[x[ok]], few[y[ok]]) <= 2 * most[ok]
+        out[ok] = moved + _moved_counts(few[x[ok]], few[y[ok]]) <= most
         return out
 
     return test
 
 
 def banded_distance(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
-    """Edit distances of rows a[i, :n[i]] and b[i, :m[i]], m[i] from n[i] - band to n[i], in step over all rows; exact
-    up to band, above it only known to be above. One 64-bit word per row holds the vertical differences of the band's
-    2 * band + 1 diagonals, its top bit being the lowest diagonal (band below 31)."""
-    lanes = len(n)
-    vp = np.full(lanes, ((1 << (band + 1)) - 1) << (63 - band), np.uint64)
-    vn = np.zeros(lanes, np.uint64)
-    dist = np.full(lanes, band, np.int64)
+    """Edit distances of columns a[:n[i], i] and b[:m[i], i], m[i] from n[i] - band to n[i], in step over all columns;
+    exact up to band, above it only known to be above. One 64-bit word per pair holds the vertical differences of the
+    band's 2 * band + 1 diagonals, its top bit being the lowest diagonal (band below 31). Values of a beyond n are none
+    that b has. Pairs go as soon as they end, or as no cell of their band can be within it any more."""
+    out = np.full(len(n), band + 1, np.int64)
+    who = np.arange(len(n))
+    vp = np.full(len(n), ((1 << (band + 1)) - 1) << (63 - band), np.uint64)
+    vn = np.zeros(len(n), np.uint64)
+    dist = np.full(len(n), band, np.int64)
     top = np.uint64(1 << 63)
-    mark = np.full(lanes, 1 << 62, np.uint64)
-    padded = np.full((lanes, a.shape[1] + 2 * band + b.shape[1] + 1), 0xFFFFFFFF, np.uint32)
-    padded[:, band : band + a.shape[1]] = np.where(np.arange(a.shape[1]) < n[:, None], a, np.uint32(0xFFFFFFFF))
-    for j in range(b.shape[1]):
-        on = j < m
-        match = np.zeros(lanes, np.uint64)
-        for k in range(2 * band + 1):
-            match |= (padded[:, j + k] == b[:, j]).astype(np.uint64) << np.uint64(63 - 2 * band + k)
+    in_band = np.uint64(((1 << (2 * band + 2)) - 1) << (62 - 2 * band))
+    mark = np.full(len(n), 1 << 62, np.uint64)
+    bits = np.array([1 << (k & 7) for k in range(2 * band + 1)], np.uint8)[:, None]
+    all_down = int((n - band).min(initial=0))
+    none = np.full((band, len(n)), np.iinfo(a.dtype).max, a.dtype)
+    padded = np.concatenate([none, a, none, none[:1]])
+    for j in range(b.shape[0]):
+        equal = (padded[j : j + 2 * band + 1] == b[j]).view(np.uint8) * bits
+        match = np.zeros(len(n), np.uint64)
+        for k in range(0, 2 * band + 1, 8):
+            match |= np.bitwise_or.reduce(equal[k : k + 8], axis=0).astype(np.uint64) << np.uint64(63 - 2 * band + k)
         d0 = (((match & vp) + vp) ^ vp) | match | vn
         hp = vn | ~(d0 | vp)
         hn = d0 & vp
-        down = j < n - band
-        dist += np.where(on & down, ((d0 & top) == 0).astype(np.int64), 0)
-        across = on & ~down
-        dist += np.where(across, ((hp & mark) != 0).astype(np.int64) - ((hn & mark) != 0).astype(np.int64), 0)
-        mark = np.where(across, mark >> _ONE, mark)
+        if j < all_down:
+            dist += (~d0 >> np.uint64(63)).view(np.int64)
+        else:
+            on = j < m
+            down = j < n - band
+            dist += on & down & ((d0 & top) == 0)
+            across = on & ~down
+            dist += np.where(across, ((hp & mark) != 0).astype(np.int64) - ((hn & mark) != 0).astype(np.int64), 0)
+            mark = np.where(across, mark >> _ONE, mark)
         vp = hn | ~((d0 >> _ONE) | hp)
         vn = hp & (d0 >> _ONE)
-    return dist
+        if j % 8 == 7:
+            # above the lowest cell values fall by one for each rise at most
+            ended, far = j + 1 >= m, dist - np.bitwise_count(vp & in_band) > band
+            out[who[ended]] = dist[ended]
+            if 8 * (stay := np.nonzero(~(ended | far))[0]).size < 7 * len(n):
+                if not len(stay):
+                    return out
+                who, vp, vn, dist, mark, n, m, padded, b = who[stay], vp[stay], vn[stay], dist[stay], mark[stay], n[stay], m[stay], padded[:, stay], b[:, stay]
+                all_down = int((n - band).min())
+    out[who] = np.where(dist - np.bitwise_count(vp & in_band) > band, out[who], dist)
+    return out
 
 
 def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int, percent: int = 100, cells: int = 1 << 21) -> np.ndarray:
     """Whether lines x[i] and y[i] are within the edits allowed, a portion of one number of edits and like lengths at a time."""
     size = np.array([len(s) for s in lines], np.int64)
+    flat = np.concatenate([*lines, np.zeros(1, np.uint32)])
+    start = (np.cumsum(size) - size).astype(np.int32 if len(flat) < 1 << 30 else np.int64)
+    if flat.max() < 0xFFFF:
+        flat = flat.astype(np.uint16)
+
+    def columns(who: np.ndarray) -> np.ndarray:
+        at = np.arange(max(size[who].max(), 1), dtype=start.dtype)[:, None]
+        out = flat[np.minimum(start[who] + at, start.dtype.type(len(flat) - 1))]
+        out[at >= size[who]] = np.iinfo(flat.dtype).max
+        return out
+
     out = np.zeros(len(x), bool)
     most = edits(np.minimum(size[x], size[y]), threshold, percent) if percent < 100 else np.full(len(x), threshold)
     near = np.nonzero(np.abs(size[x] - size[y]) <= most)[0]
@@ -196,19 +245,14 @@ def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int
     at = 0
     while at < len(near):
         band = int(most[near[at]])
-        width = size[x[near[at:]]] + band + 1
         n_like = int(np.searchsorted(most[near[at:]], band, side="right"))
-        fits = width[:n_like] * np.arange(1, n_like + 1) <= cells
+        width = size[x[near[at : at + n_like]]] + band + 1
+        fits = width * np.arange(1, n_like + 1) <= cells
         z = at + max(int(fits.sum()) if fits.all() else int(fits.argmin()), 1)
         part = near[at:z]
         swap = size[x[part]] < size[y[part]]
         longer, shorter = np.where(swap, y[part], x[part]), np.where(swap, x[part], y[part])
-        n, m = size[longer], size[shorter]
-        ma, mb = np.zeros((len(part), max(n.max(), 1)), np.uint32), np.zeros((len(part), max(m.max(), 1)), np.uint32)
-        for i in range(len(part)):
-            ma[i, : n[i]] = lines[longer[i]]
-            mb[i, : m[i]] = lines[shorter[i]]
-        out[part] = banded_distance(ma, mb, n, m, band) <= band
+        out[part] = banded_distance(columns(longer), columns(shorter), size[longer], size[shorter], band) <= band
         at = z
     return out
 
@@ -221,7 +265,7 @@ def like_pairs(lines: list[np.ndarray], threshold: int, percent: int, bins: int
     flat = np.concatenate([*lines, np.zeros(0, np.uint32)])
     two = (flat[:-1] * np.uint32(0x9E3779B1) + flat[1:]) * np.uint32(0x85EBCA6B)
     inside = owner[:-1] == owner[1:]
-    counts = np.bincount(owner[:-1][inside] * bins + (two[inside] >> np.uint32(16)) % bins, minlength=len(lines) * bins)
+    counts = np.bincount(owner[:-1][inside] * bins + (two[inside] >> np.uint32(16)) % np.uint32(bins), minlength=len(lines) * bins)
     counts = (counts.reshape(-1, bins) & 255).astype(np.uint8)
 
     def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -294,9 +338,26 @@ class _Seen:
         return lines.take(pa.array(list(fresh.values()), pa.int32())), list(fresh)
 
 
-def _keyed(threshold: int, percent: int, least: int):
+def _packed(held: list[tuple[np.ndarray, ...]], buckets: int) -> pa.RecordBatch:
+    """Rows of key, id and sketch by the bucket of their key, each bucket's as one value. held: portions of keys and
+    their line's number, and of the ids and sketches of lines."""
+    owner, key, ids, sketch = (np.concatenate(c) for c in zip(*held))
+    bucket = ((key >> KEY_BITS & 0xFFFFFFFF).astype(np.uint32) % np.uint32(buckets)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    owner = owner[order]
+    rows = np.empty((len(order), 3), np.int64)
+    rows[:, 0], rows[:, 1], rows[:, 2] = key[order], ids[owner], sketch[owner]
+    first = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+    offsets = np.append(first, len(rows)) * (3 * rows.itemsize)
+    values = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(rows)])
+    return pa.RecordBatch.from_arrays([pa.array(bucket[first].astype(np.int32)), values], ["bucket", "rows"])
+
+
+def _keyed(threshold: int, percent: int, least: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
+        held, n, n_lines = [], 0, 0
         for b in batches:
             for _, _, lines in _numbered(b.column("text"), max(least, 1)):
                 new, ids = seen.new(lines)
@@ -306,28 +367,118 @@ def _keyed(threshold: int, percent: int, least: int):
                 owner, key, indexed = segment_keys(lines, threshold, percent, least)
                 size, few, many = sketches(lines)
                 key = key >> KEY_BITS << KEY_BITS | size[owner] | indexed
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array((short_ids(ids) | few)[owner]), pa.array(many[owner])], ["key", "id", "sketch"])
+                held.append((owner + n_lines, key, short_ids(ids) | few, many))
+                n, n_lines = n + len(key), n_lines + len(ids)
+                if n >= PACKED_ROWS:
+                    yield _packed(held, buckets)
+                    held, n, n_lines = [], 0, 0
+        if n:
+            yield _packed(held, buckets)
 
     return run
 
 
-def group_candidates(at: np.ndarray, test: Test, dense: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows that pass the test, and links that connect the rows of groups where more than dense pairs a row do.
+def _unpacked(column: pa.Array) -> np.ndarray:
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32)[[column.offset, column.offset + len(column)]]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[1]].view(np.int64).reshape(-1, 3)
+
+
+def _distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in the order of their keys, indexed ones first, those of a key and line that came from several tasks once,
+    with the number of rows that each one's key has. Keys that only one row brings, or that no line is indexed under, go."""
+    group = rows[:, 0] >> KEY_BITS
+    order = np.argsort(group)
+    group = group[order]
+    at = np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0]
+    sizes = np.diff(np.append(at, len(rows)))
+    meet = np.repeat((sizes > 1) & (np.add.reduceat(rows[order, 0] & 1, at) > 0), sizes)
+    rows = rows[order[meet]]
+    key = rows[:, 0]
+    rows = rows[np.lexsort((rows[:, 2], rows[:, 1], key >> KEY_BITS << KEY_BITS | (~key & 1) << 15 | (key >> 1) & 0x7FFF))]
+    rows = rows[np.concatenate([np.ones(min(len(rows), 1), bool), (rows[1:] != rows[:-1]).any(1)])]
+    _, n = np.unique(rows[:, 0] >> KEY_BITS, return_counts=True)
+    return rows, np.repeat(n, n)
+
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch], limit: int, least_rows: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of keys that up to limit distinct rows have, whole keys in order, and rows of keys that more have. Buckets come
+    one after the other; of one that holds more than HELD_ROWS, rows of keys with more than limit rows go on at once."""
+    none = np.zeros((0, 3), np.int64)
+    held, n, last, most, hot = [], 0, None, HELD_ROWS, np.zeros(0, np.int64)
+    for b in batches:
+        bucket = b.column("bucket").to_numpy()
+        cuts = np.concatenate([[0], np.nonzero(bucket[1:] != bucket[:-1])[0] + 1, [len(bucket)]])
+        for a, z in zip(cuts[:-1], cuts[1:]):
+            if bucket[a] != last and last is not None and (n >= least_rows or len(hot)):
+                rows, sizes = _distinct(np.concatenate(held))
+                yield rows[sizes <= limit], rows[sizes > limit]
+                held, n, most, hot = [], 0, HELD_ROWS, hot[:0]
+            last = bucket[a]
+            rows = _unpacked(b.column("rows").slice(a, z - a))
+            if len(hot):
+                is_hot = np.isin(rows[:, 0] >> KEY_BITS, hot)
+                yield none, rows[is_hot]
+                rows = rows[~is_hot]
+            held.append(rows)
+            n += len(rows)
+            if n > most:
+                rows = np.unique(np.concatenate(held), axis=0)
+                keys, counts = np.unique(rows[:, 0] >> KEY_BITS, return_counts=True)
+                hot = np.concatenate([hot, keys[counts > limit]])
+                is_hot = np.repeat(counts > limit, counts)
+                yield none, rows[is_hot]
+                held, n = [rows[~is_hot]], int((~is_hot).sum())
+                most = max(HELD_ROWS, 2 * n)
+    if held:
+        rows, sizes = _distinct(np.concatenate(held))
+        yield rows[sizes <= limit], rows[sizes > limit]
+
+
+def _pairs_within(sizes: np.ndarray, indexed: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows within groups whose first row is one of the first indexed rows, those of like small groups at once."""
+    start = np.cumsum(sizes) - sizes
+    small = np.nonzero((sizes > 1) & (sizes <= 64))[0]
+    kind = (sizes[small] << 8 | indexed[small]).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    small, kind = small[order], kind[order]
+    at = np.nonzero(np.concatenate([np.ones(min(len(kind), 1), bool), kind[1:] != kind[:-1]]))[0]
+    xs, ys, held = [], [], 0
+    for k, a, z in zip(kind[at].tolist(), at, np.append(at[1:], len(small))):
+        x, y = _all_pairs(k >> 8)
+        n = int(np.searchsorted(x, k & 255))
+        step = max((1 << 17) // max(n, 1), 1)
+        for i in range(a, z, step):
+            of = start[small[i : min(i + step, z)], None]
+            xs.append((of + x[:n]).ravel())
+            ys.append((of + y[:n]).ravel())
+            held += len(xs[-1])
+            if held >= 1 << 16:
+                yield np.concatenate(xs), np.concatenate(ys)
+                xs, ys, held = [], [], 0
+    if held:
+        yield np.concatenate(xs), np.concatenate(ys)
+    for g in np.nonzero(sizes > 64)[0]:
+        x, y = np.triu_indices(sizes[g], 1)
+        n = np.searchsorted(x, indexed[g])
+        yield start[g] + x[:n], start[g] + y[:n]
+
+
+def group_candidates(at: np.ndarray, indexed: np.ndarray, test: Test, dense: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows that pass the test (one of the two is always among its group's first indexed rows), and links that connect the rows of groups where more than dense pairs a row do.
 
     Most groups hold few such pairs, each of which can be verified by itself. Copies of one line hold nearly all of
     theirs; there only links to the first row come out, and what they connect is verified together.
     """
-    zero = np.zeros(at[-1], np.int32)
     sizes = np.diff(at)
     xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     copies = np.zeros(len(sizes), bool)
     for g in np.nonzero(sizes > 4 * dense)[0]:
         others = np.arange(at[g] + 1, at[g + 1])
         copies[g] = 2 * test(np.full(len(others), at[g]), others).sum() > len(others)
-    rest = np.nonzero(~copies & (sizes > 1))[0]
-    rows = np.concatenate([np.arange(at[g], at[g + 1]) for g in rest]) if len(rest) else np.zeros(0, np.int64)
-    cuts = np.concatenate([[0], np.cumsum(sizes[rest])])
-    for x, y in pairs_of(cuts, zero, zero, zero):
+    rest = ~copies & (sizes > 1)
+    rows = np.nonzero(np.repeat(rest, sizes))[0]
+    for x, y in _pairs_within(sizes[rest], indexed[rest]):
         x, y = rows[x], rows[y]
         ok = test(x, y)
         xs.append(x[ok])
@@ -347,36 +498,20 @@ def _met_by_key(threshold: int, percent: int, limit: int):
     """a, b within the groups of a key, told with whether they are one pair or stand for many; rows of groups of more
     than limit rows come out as key, id, sketch."""
 
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(b.column("key").to_numpy() >> KEY_BITS)], [*b.schema.names, "group"])
+    def result(a, b, many, rest: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.concat_arrays([pa.array(v, kind), pa.nulls(len(rest), kind)]) for v, kind in ((a, pa.int64()), (b, pa.int64()), (many, pa.bool_()))]
+        columns += [pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(np.ascontiguousarray(rest[:, c]))]) for c in range(3)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b", "many", "key", "id", "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def result(a, b, many, rest: pa.Table) -> pa.RecordBatch:
-            columns = [pa.concat_arrays([pa.array(v, kind), pa.nulls(rest.num_rows, kind)]) for v, kind in ((a, pa.int64()), (b, pa.int64()), (many, pa.bool_()))]
-            for c in ("key", "id", "sketch"):
-                columns.append(pa.concat_arrays([pa.nulls(len(a), pa.int64()), *rest.column(c).chunks]))
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "many", "key", "id", "sketch"])
-
-        for t, at in bounded_groups(grouped(batches), "group", limit):
-            if at is None:
-                yield result([], [], [], t)
-                continue
-            sizes = np.diff(at)
-            indexed = np.add.reduceat(t.column("key").to_numpy() & 1, at[:-1]) > 0
-            small = np.nonzero(np.repeat((sizes > 1) & (sizes <= limit) & indexed, sizes))[0]
-            group, key, ids, sketch = (t.column(c).to_numpy()[small] for c in ("group", "key", "id", "sketch"))
-            order = np.lexsort((sketch, ids, key))
-            group, key, ids, sketch = group[order], key[order], ids[order], sketch[order]
-            if len(key):
-                first = np.concatenate([[True], (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (sketch[1:] != sketch[:-1])])  # a line may come from several tasks
-                group, key, ids, sketch = group[first], key[first], ids[first], sketch[first]
-            large = t.filter(pa.array(np.repeat(sizes > limit, sizes))) if (sizes > limit).any() else t.slice(0, 0)
-            if not len(key):
+        for rows, large in _bucket_rows(batches, limit):
+            if not len(rows):
                 yield result([], [], [], large)
                 continue
-            cuts = np.concatenate([np.nonzero(np.concatenate([[True], group[1:] != group[:-1]]))[0], [len(key)]])
-            x, y, moved, to = group_candidates(cuts, like_sketches(key, ids, sketch, threshold, percent))
+            key, ids, sketch = np.ascontiguousarray(rows.T)
+            group = key >> KEY_BITS
+            cuts = np.concatenate([[0], np.nonzero(group[1:] != group[:-1])[0] + 1, [len(key)]])
+            x, y, moved, to = group_candidates(cuts, np.add.reduceat(key & 1, cuts[:-1]), like_sketches(key, ids, sketch, threshold, percent))
             ids = ids >> ID_BITS << ID_BITS
             a, b = np.concatenate([ids[x], ids[moved]]), np.concatenate([ids[y], ids[to]])
             yield result(np.minimum(a, b), np.maximum(a, b), np.arange(len(a)) >= len(x), large)
@@ -388,10 +523,11 @@ def _verified(threshold: int, percent: int):
     """Links a, b of lines that are near the line whose id is at, in groups of at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["at"]):
-            centre = t.column("id").to_numpy() == t.column("at").to_numpy()
-            x = np.concatenate([np.repeat(a + np.nonzero(centre[a:z])[0], z - a) for a, z in zip(at[:-1], at[1:])])
-            y = np.concatenate([np.tile(np.arange(a, z), int(centre[a:z].sum())) for a, z in zip(at[:-1], at[1:])])
+        for t, at in whole_groups(batches, ["at"], VERIFIED_ROWS):
+            centre = np.nonzero(t.column("id").to_numpy() == t.column("at").to_numpy())[0]
+            group = np.searchsorted(at, centre, side="right") - 1
+            n = np.diff(at)[group]
+            x, y = np.repeat(centre, n), np.arange(n.sum()) + np.repeat(at[group] - np.cumsum(n) + n, n)
             x, y = x[x != y], y[x != y]
             ok = like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent)(x, y)
             lid = t.column("lid")
@@ -412,16 +548,16 @@ def _fetched(least: int):
 
 
 def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100, in_task: int = 2048) -> DataFrame:
-    """lid, first (place of the first line of its class) of every line whose class holds more than one line.
+    """lid, root (the class's least lid) of every line whose class holds more than one line.
 
     rows: doc_id, dh, text. Groups of a key up to in_task lines are compared where they meet, larger ones in blocks.
     """
-    place = F.struct("doc_id", "dh", "line_no")
-    known = store.put(places.groupBy("lid").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    repeated = store.put(places.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid", F.col("lid").alias("root")))
     if not threshold:
-        return store.put(known.where("n > 1").select("lid", "first"))
-    keys = rows.select("text").mapInArrow(_keyed(threshold, percent, edit_chars), "key long, id long, sketch long")
-    met = store.put(keys.repartition(F.shiftright("key", KEY_BITS)).sortWithinPartitions("key").mapInArrow(_met_by_key(threshold, percent, in_task), "a long, b long, many boolean, key long, id long, sketch long"))
+        return repeated
+    buckets = min(8 * int(store.spark.conf.get("spark.sql.shuffle.partitions")), 1 << 16)
+    keys = rows.select("text").mapInArrow(_keyed(threshold, percent, edit_chars, buckets), "bucket int, rows binary")
+    met = store.put(keys.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_met_by_key(threshold, percent, in_task), "a long, b long, many boolean, key long, id long, sketch long"))
     pairs = store.put(met.where("not many").select("a", "b").distinct())
     links = met.where("many").select("a", "b")
     large = met.where("key is not null").select("key", "id", "sketch").distinct()
@@ -446,10 +582,8 @@ def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: in
     alike = group_links(store, sized, "cluster", "m", "lid", PER_BLOCK, lambda t: like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent))
     store.drop(fetched)
     classes = connected_components(store, near.unionByName(alike))
-    whole = classes.join(known, F.col("node") == F.col("lid")).groupBy("root").agg(F.min("first").alias("first"))
-    linked = classes.join(whole, "root").select(F.col("node").alias("lid"), "first")
-    alone = known.where("n > 1").join(linked.select("lid"), "lid", "left_anti").select("lid", "first")
-    return store.put(linked.unionByName(alone))
+    linked = store.put(classes.select(F.col("node").alias("lid"), "root"))
+    return store.put(linked.unionByName(repeated.join(linked.select("lid"), "lid", "left_anti")))
 
 
 def repeated_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edit_chars: int = 0, percent: int = 100) -> DataFrame:
@@ -458,8 +592,9 @@ def repeated_lines(docs: DataFrame, threshold: int = 1, min_chars: int = 20, edi
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("dh"), text_or_empty().alias("text"))
     places = store.put(rows.mapInArrow(_places(min_chars), "doc_id long, dh long, line_no int, lid binary"))
     classes = line_classes(store, rows, places, threshold, max(edit_chars, min_chars), percent)
-    met = keep_possible(store, places, classes, "lid").join(classes, "lid")
-    later = met.where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dh") == F.col("dh")) & (F.col("first.line_no") == F.col("line_no"))))
+    met = store.put(keep_possible(store, places, classes, "lid").join(classes, "lid").drop("lid"))
+    first = met.groupBy("root").agg(F.min(F.struct("doc_id", "dh", "line_no")).alias("first"))
+    later = met.join(first, "root").where(~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.dh") == F.col("dh")) & (F.col("first.line_no") == F.col("line_no"))))
     return store.put(later.groupBy("doc_id", "dh").agg(F.array_sort(F.collect_set("line_no")).alias("drops")))
 
 

@@ -513,6 +513,33 @@ def test_sketches_tell_chance_from_near_lines():
     assert near.sum() > 400 and test(x, y)[near].all()
 
 
+@pytest.mark.parametrize("held_rows", [50, 1 << 21])
+def test_keys_of_lines_go_in_packed_buckets(monkeypatch, held_rows):
+    """A task sends one value for each bucket, not a row for each key; keys with many lines leave a full bucket at once,
+    and the others are compared as plain pairs are."""
+    monkeypatch.setattr(line_dedup, "HELD_ROWS", held_rows)
+    rng = np.random.default_rng(29)
+    base = ["".join(rng.choice(list("abcdefgh "), 60)).strip().ljust(60, "z") for _ in range(20)]
+    texts = [b[:k] + "q" + b[k + 1 :] for b in base for k in range(0, 60, 7)] + ["same start of many lines " + b for b in base]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    out = list(line_dedup._keyed(8, 10, 20, 4)(iter([batch])))
+    assert sum(b.num_rows for b in out) <= 4
+    twice = pa.Table.from_batches(out + out).combine_chunks().sort_by("bucket").to_batches()  # as from two tasks
+    want = defaultdict(set)
+    for b in out:
+        for r in line_dedup._unpacked(b.column("rows")).tolist():
+            want[r[0] >> line_dedup.KEY_BITS].add(tuple(r))
+    met = {k for k, v in want.items() if len(v) > 1 and any(r[0] & 1 for r in v)}
+    few, many = set(), set()
+    for whole, large in line_dedup._bucket_rows(iter(twice), 12, least_rows=1):
+        few.update(map(tuple, whole.tolist()))
+        many.update(map(tuple, large.tolist()))
+    # rows of keys that one line has, or that none is indexed under, link nothing
+    few, many = ({r for r in rows if r[0] >> line_dedup.KEY_BITS in met} for rows in (few, many))
+    assert few == {r for k in met if len(want[k]) <= 12 for r in want[k]}
+    assert many == {r for k in met if len(want[k]) > 12 for r in want[k]} and many
+
+
 def test_lines_are_numbered_as_python_splits_them(monkeypatch):
     monkeypatch.setattr(line_dedup, "PORTION_CHARS", 9)
     texts = ["", "a\n\n b ", "\n", "é\t\n xx\x0b\x0c\r\n日本語 \n", "q"]

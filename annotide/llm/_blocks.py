@@ -15,6 +15,17 @@ from annotide.llm._common import Store, connected_components
 
 #: Whether the rows x[i] and y[i] of a table are linked.
 Test = Callable[[np.ndarray, np.ndarray], np.ndarray]
+PORTION_BYTES = 1 << 22
+
+
+def spans(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First item and end of spans of items whose sizes add up to most or less, or of one larger item."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        z = max(int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")), at + 1)
+        yield at, z
+        at = z
 
 
 def block_pairs(rows: DataFrame, group: str, size: Column, member: str, per_block: int) -> DataFrame:
@@ -32,7 +43,8 @@ def block_pairs(rows: DataFrame, group: str, size: Column, member: str, per_bloc
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows: int = 4096) -> Iterator[tuple[pa.Table, np.ndarray]]:
-    """Tables of complete groups of rows sorted by keys, with the offsets of the groups (the last is the end)."""
+    """Tables of complete groups of rows sorted by keys, with the offsets of the groups (the last is the end). But for the
+    last group, tables hold about least_rows rows or PORTION_BYTES, however long the rows of a batch are."""
     held: list[pa.RecordBatch] = []
 
     def cut(t: pa.Table) -> np.ndarray:
@@ -45,17 +57,24 @@ def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least_rows:
             change[1:] |= np.asarray(pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False), bool)
         return np.append(np.nonzero(change)[0], t.num_rows)
 
-    rows = 0
-    for b in batches:
+    def portions() -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            step = max(b.num_rows * PORTION_BYTES // max(b.nbytes, 1), 1)
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
+
+    rows = size = 0
+    for b in portions():
         held.append(b)
         rows += b.num_rows
-        if rows >= least_rows:
+        size += b.nbytes
+        if rows >= least_rows or size >= PORTION_BYTES:
             t = pa.Table.from_batches(held)
             at = cut(t)
             if len(at) > 2:
                 yield t.slice(0, at[-2]), at[:-1]
                 held = t.slice(at[-2]).to_batches()
-                rows = sum(h.num_rows for h in held)
+                rows, size = sum(h.num_rows for h in held), sum(h.nbytes for h in held)
     if rows:
         t = pa.Table.from_batches(held)
         yield t, cut(t)
@@ -66,6 +85,15 @@ def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def triangle(n: int, firsts: int, at_most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs x < y of n rows with x among the first ones, in portions of at_most pairs or those of one row."""
+    per_row = n - 1 - np.arange(min(firsts, n))
+    for a, z in spans(per_row, at_most):
+        n_y = per_row[a:z]
+        x = np.repeat(np.arange(a, z), n_y)
+        yield x, np.arange(1, len(x) + 1) + x - np.repeat(np.cumsum(n_y) - n_y, n_y)
+
+
 def pairs_of(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, at_most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Row numbers of the pairs that meet, in portions of about at_most pairs."""
     firsts, seconds, n = [], [], 0
@@ -74,20 +102,24 @@ def pairs_of(at: np.ndarray, lo: np.ndarray, hi: np.ndarray, own: np.ndarray, at
     two = two[(lo[two] == hi[two]) | (own[two] != own[two + 1])]
     for k in range(0, len(two), at_most):
         yield two[k : k + at_most], two[k : k + at_most] + 1
-    for g in np.nonzero(sizes > 2)[0]:
-        a, z = at[g], at[g + 1]
+
+    def of_group(a: int, z: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if lo[a] == hi[a]:
-            x, y = _all_pairs(int(z - a)) if z - a <= 64 else np.triu_indices(z - a, 1)
-            x, y = x + a, y + a
-        else:
-            left, right = a + np.nonzero(own[a:z] == lo[a])[0], a + np.nonzero(own[a:z] == hi[a])[0]
-            x, y = np.repeat(left, len(right)), np.tile(right, len(left))
-        firsts.append(x)
-        seconds.append(y)
-        n += len(x)
-        if n >= at_most:
-            yield np.concatenate(firsts), np.concatenate(seconds)
-            firsts, seconds, n = [], [], 0
+            for x, y in [_all_pairs(int(z - a))] if z - a <= 64 else triangle(z - a, z - a, at_most):
+                yield x + a, y + a
+            return
+        left, right = a + np.nonzero(own[a:z] == lo[a])[0], a + np.nonzero(own[a:z] == hi[a])[0]
+        for i, k in spans(np.full(len(left), len(right)), at_most):
+            yield np.repeat(left[i:k], len(right)), np.tile(right, k - i)
+
+    for g in np.nonzero(sizes > 2)[0]:
+        for x, y in of_group(at[g], at[g + 1]):
+            firsts.append(x)
+            seconds.append(y)
+            n += len(x)
+            if n >= at_most:
+                yield np.concatenate(firsts), np.concatenate(seconds)
+                firsts, seconds, n = [], [], 0
     if n:
         yield np.concatenate(firsts), np.concatenate(seconds)
 
@@ -168,7 +200,7 @@ def _moved(member: pa.ChunkedArray, label: np.ndarray) -> pa.RecordBatch:
 def group_links(store: Store, rows: DataFrame, group: str, size: str, member: str, per_block: int, test_of: Callable[[pa.Table], Test], largest: int | None = None) -> DataFrame:
     """a, b: links that connect within each group all members which pairs that pass a test connect.
 
-    rows: each member of a group once, with the group's size. test_of(table) gives the test of row numbers x, y of a
+    rows: each member of a group once, with the group's size (that, or more where rows are long). test_of(table) gives the test of row numbers x, y of a
     table of rows; largest is the size of the largest group, where it is known. Members fall by hash into blocks of about per_block, and a group's first member goes to all of its
     blocks: what is like it is linked there, and most pairs need no test. Then only members outside the largest
     component of their group meet the members of other blocks. So each row moves once, and a group of near copies
@@ -203,14 +235,14 @@ def group_links(store: Store, rows: DataFrame, group: str, size: str, member: st
     labelled = many.join(components, F.col(member) == F.col("_node"), "left").withColumn("_comp", F.coalesce("_root", member)).drop("_node", "_root")
     labelled = store.put(labelled)
     per_comp = labelled.groupBy(F.col(group).alias("_g"), "_comp").agg(F.count("*").alias("n"))
-    main = per_comp.groupBy("_g").agg(F.max(F.struct("n", "_comp")).alias("most"), F.sum("n").alias("all")).select("_g", F.col("most._comp").alias("_main"), (F.col("all") - F.col("most.n")).alias("_outside")).where("_outside > 0")
+    main = per_comp.groupBy("_g").agg(F.max(F.struct("n", "_comp")).alias("most"), F.sum("n").alias("all")).select("_g", F.col("most._comp").alias("_main"), (F.col("all") - F.col("most.n")).alias("_outside"), F.col("all").alias("_all")).where("_outside > 0")
     main = store.put(main)
     if not main.limit(1).count():
         return links
-    labelled = labelled.join(main, F.col(group) == F.col("_g")).drop("_g").withColumn("_outer", F.ceil(F.col("_outside") / F.lit(per_block)).cast("int"))
+    labelled = labelled.join(main, F.col(group) == F.col("_g")).drop("_g").withColumn("_outer", F.ceil(F.col("_outside") * F.col(size) / F.col("_all") / F.lit(per_block)).cast("int"))
     outside = labelled.where("_comp <> _main").withColumns({"_lo": F.pmod(F.xxhash64(F.lit(1), F.col(member)), F.col("_outer")).cast("int"), "_side": F.lit(0)}).withColumn("_hi", F.explode(F.sequence(F.lit(0), blocks - 1)))
     every = labelled.withColumns({"_hi": own, "_side": F.lit(1)}).withColumn("_lo", F.explode(F.sequence(F.lit(0), F.col("_outer") - 1)))
-    grid = outside.unionByName(every).drop("_main", "_outside", "_outer").repartition(group, "_lo", "_hi").sortWithinPartitions(group, "_lo", "_hi")
+    grid = outside.unionByName(every).drop("_main", "_outside", "_all", "_outer").repartition(group, "_lo", "_hi").sortWithinPartitions(group, "_lo", "_hi")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t, at in whole_groups(batches, [group, "_lo", "_hi"]):

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annotide.llm._blocks import Test, _all_pairs, group_links, links_within, whole_groups, with_first
+from annotide.llm._blocks import Test, _all_pairs, group_links, links_within, spans, triangle, with_first
 from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -31,9 +31,12 @@ BINS = 27  # of three bits in a line's sketch
 # the first 6 bins, and the third all others
 KEY_BITS, ID_BITS, ID_BINS = 16, 20, 6
 PER_BLOCK = 2048
+BLOCK_BYTES = 1 << 22
 PORTION_CHARS = 1 << 20
+COUNTED_CHARS = 1 << 18
+TESTED_PAIRS = 1 << 16
 SEEN_LINES = 1 << 17
-VERIFIED_ROWS = 1 << 15
+VERIFIED_BYTES = 1 << 22
 PACKED_ROWS = 1 << 19
 HELD_ROWS = 1 << 21
 _ONE = np.uint64(1)
@@ -261,23 +264,31 @@ def like_pairs(lines: list[np.ndarray], threshold: int, percent: int, bins: int
     """The test whether lines are within the edits allowed: pairs whose counts of two-character strings (hashed to bins)
     differ by more than the edits can explain are not compared."""
     size = np.array([len(s) for s in lines], np.int64)
-    owner = np.repeat(np.arange(len(lines)), size)
-    flat = np.concatenate([*lines, np.zeros(0, np.uint32)])
-    two = (flat[:-1] * np.uint32(0x9E3779B1) + flat[1:]) * np.uint32(0x85EBCA6B)
-    inside = owner[:-1] == owner[1:]
-    counts = np.bincount(owner[:-1][inside] * bins + (two[inside] >> np.uint32(16)) % np.uint32(bins), minlength=len(lines) * bins)
-    counts = (counts.reshape(-1, bins) & 255).astype(np.uint8)
-
-    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    counts = np.zeros((len(lines), bins), np.uint8)
+    for a, z in spans(size, COUNTED_CHARS):
+        owner = np.repeat(np.arange(z - a), size[a:z])
+        flat = np.concatenate(lines[a:z])
+        two = (flat[:-1] * np.uint32(0x9E3779B1) + flat[1:]) * np.uint32(0x85EBCA6B)
+        inside = owner[:-1] == owner[1:]
+        n = np.bincount(owner[:-1][inside] * bins + (two[inside] >> np.uint32(16)) % np.uint32(bins), minlength=(z - a) * bins)
+        counts[a:z] = n.reshape(-1, bins) & 255
+
+    def portion(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         most = edits(np.minimum(size[x], size[y]), threshold, percent)
         maybe = np.nonzero(np.abs(size[x] - size[y]) <= most)[0]
         # an edit takes two such strings away and adds two at most (the counts are kept modulo 256)
         moved = np.abs((counts[x[maybe]] - counts[y[maybe]]).view(np.int8)).sum(1, dtype=np.int16)
         maybe = maybe[moved <= 4 * most[maybe]]
         out = np.zeros(len(x), bool)
-        out[maybe] = within(lines, x[maybe], y[maybe], threshold, percent)
+        if len(maybe):
+            used, at = np.unique(np.concatenate([x[maybe], y[maybe]]), return_inverse=True)
+            out[maybe] = within([lines[i] for i in used], at[: len(maybe)], at[len(maybe) :], threshold, percent)
         return out
 
+    def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        parts = [slice(at, at + TESTED_PAIRS) for at in range(0, len(x), TESTED_PAIRS)]
+        return np.concatenate([np.zeros(0, bool), *(portion(x[p], y[p]) for p in parts)])
+
     return test
 
 
@@ -300,18 +311,13 @@ def short_ids(ids: list[bytes]) -> np.ndarray:
 def _numbered(texts: pa.Array, least: int) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
     """Row numbers, line numbers and lines of least characters or more, without the white space around them, in portions
     of whole texts of about PORTION_CHARS bytes."""
-    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(texts):
-        done = ends[at - 1] if at else 0
-        z = max(int(np.searchsorted(ends, done + PORTION_CHARS, side="right")), at + 1)
+    for at, z in spans(pc.binary_length(texts).to_numpy(zero_copy_only=False), PORTION_CHARS):
         split = pc.split_pattern(texts.slice(at, z - at), "\n")
         lines = pc.ascii_trim(split.flatten(), characters=BLANKS)
         n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
         rows, numbers = np.repeat(np.arange(at, z), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         long = np.nonzero(pc.utf8_length(lines).to_numpy(zero_copy_only=False) >= least)[0]
         yield rows[long], numbers[long], lines.take(pa.array(long))
-        at = z
 
 
 def _places(least: int):
@@ -459,9 +465,8 @@ def _pairs_within(sizes: np.ndarray, indexed: np.ndarray) -> Iterator[tuple[np.n
     if held:
         yield np.concatenate(xs), np.concatenate(ys)
     for g in np.nonzero(sizes > 64)[0]:
-        x, y = np.triu_indices(sizes[g], 1)
-        n = np.searchsorted(x, indexed[g])
-        yield start[g] + x[:n], start[g] + y[:n]
+        for x, y in triangle(int(sizes[g]), int(indexed[g])):
+            yield start[g] + x, start[g] + y
 
 
 def group_candidates(at: np.ndarray, indexed: np.ndarray, test: Test, dense: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -478,15 +483,19 @@ def group_candidates(at: np.ndarray, indexed: np.ndarray, test: Test, dense: int
         copies[g] = 2 * test(np.full(len(others), at[g]), others).sum() > len(others)
     rest = ~copies & (sizes > 1)
     rows = np.nonzero(np.repeat(rest, sizes))[0]
+    found = np.zeros(len(sizes), np.int64)
     for x, y in _pairs_within(sizes[rest], indexed[rest]):
         x, y = rows[x], rows[y]
         ok = test(x, y)
-        xs.append(x[ok])
-        ys.append(y[ok])
+        x, y = x[ok], y[ok]
+        group = np.searchsorted(at, x, side="right") - 1
+        found += np.bincount(group, minlength=len(sizes))
+        few = found[group] <= dense * sizes[group]  # pairs of other groups are not needed, and may be many
+        xs.append(x[few])
+        ys.append(y[few])
     x, y = np.concatenate(xs), np.concatenate(ys)
-    group = np.searchsorted(at, x, side="right") - 1
-    copies |= np.bincount(group, minlength=len(sizes)) > dense * sizes
-    few = ~copies[group]
+    copies |= found > dense * sizes
+    few = ~copies[np.searchsorted(at, x, side="right") - 1]
     label = np.arange(at[-1])
     for g in np.nonzero(copies)[0]:
         label[at[g] : at[g + 1]] = at[g] + links_within(sizes[g], with_first(np.array([0, sizes[g]])), lambda x, y, a=at[g]: test(x + a, y + a))
@@ -520,18 +529,27 @@ def _met_by_key(threshold: int, percent: int, limit: int):
 
 
 def _verified(threshold: int, percent: int):
-    """Links a, b of lines that are near the line whose id is at, in groups of at."""
+    """Links a, b of lines that are near the line whose id is at. Rows come in the order of at, those of that line first:
+    they are kept while the group's other rows come in portions of about VERIFIED_BYTES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t, at in whole_groups(batches, ["at"], VERIFIED_ROWS):
-            centre = np.nonzero(t.column("id").to_numpy() == t.column("at").to_numpy())[0]
-            group = np.searchsorted(at, centre, side="right") - 1
-            n = np.diff(at)[group]
-            x, y = np.repeat(centre, n), np.arange(n.sum()) + np.repeat(at[group] - np.cumsum(n) + n, n)
-            x, y = x[x != y], y[x != y]
-            ok = like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent)(x, y)
-            lid = t.column("lid")
-            yield pa.RecordBatch.from_arrays([lid.take(pa.array(x[ok])).combine_chunks(), lid.take(pa.array(y[ok])).combine_chunks()], ["a", "b"])
+        kept: list[pa.RecordBatch] = []
+        for b in batches:
+            for first, end in spans(pc.binary_length(b.column("line")).to_numpy(zero_copy_only=False), VERIFIED_BYTES):
+                t = pa.Table.from_batches([*kept, b.slice(first, end - first)]).combine_chunks()
+                old = sum(k.num_rows for k in kept)
+                ids, at = t.column("id").to_numpy(), t.column("at").to_numpy()
+                cuts = np.concatenate([[0], np.nonzero(at[1:] != at[:-1])[0] + 1, [len(at)]])
+                centre = np.nonzero(ids == at)[0]
+                group = np.searchsorted(cuts, centre, side="right") - 1
+                n = np.diff(cuts)[group]
+                x, y = np.repeat(centre, n), np.arange(n.sum()) + np.repeat(cuts[group] - np.cumsum(n) + n, n)
+                new = (x != y) & (np.maximum(x, y) >= old)
+                x, y = x[new], y[new]
+                ok = like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent)(x, y)
+                lid = t.column("lid")
+                yield pa.RecordBatch.from_arrays([lid.take(pa.array(x[ok])).combine_chunks(), lid.take(pa.array(y[ok])).combine_chunks()], ["a", "b"])
+                kept = t.take(pa.array(centre[at[centre] == at[-1]])).to_batches()
 
     return run
 
@@ -575,10 +593,12 @@ def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: in
     fetched = keep_possible(store, rows.select("text").mapInArrow(_fetched(edit_chars), "id long, lid binary, line string"), needed, "id")
     fetched = fetched.groupBy("id", "lid").agg(F.first("line").alias("line"))  # a line comes once from each task
     fetched = store.put(fetched.join(needed, "id"))
-    stars = fetched.where("not whole").select("at", "id", "lid", "line").repartition("at").sortWithinPartitions("at")
+    stars = fetched.where("not whole").select("at", "id", "lid", "line").repartition("at").sortWithinPartitions("at", F.col("id") != F.col("at"))
     near = store.put(stars.mapInArrow(_verified(threshold, percent), "a binary, b binary"))
     in_clusters = fetched.where("whole").select(F.col("at").alias("cluster"), "lid", "line")
-    sized = in_clusters.join(in_clusters.groupBy("cluster").agg(F.count("*").alias("m")), "cluster")
+    # blocks of many rows or long ones
+    m = F.greatest(F.count("*"), F.ceil(F.sum(F.octet_length("line")) * F.lit(PER_BLOCK) / F.lit(BLOCK_BYTES)))
+    sized = in_clusters.join(in_clusters.groupBy("cluster").agg(m.alias("m")), "cluster")
     alike = group_links(store, sized, "cluster", "m", "lid", PER_BLOCK, lambda t: like_pairs([code_points(s) for s in t.column("line").to_pylist()], threshold, percent))
     store.drop(fetched)
     classes = connected_components(store, near.unionByName(alike))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,7 +14,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from annotide.llm import byte_bpe, fingerprints, langid, line_dedup, mixing, ngram_jaccard, pii, quality_rules, sharding, token_counts
+from annotide.llm import _blocks, byte_bpe, fingerprints, langid, line_dedup, mixing, ngram_jaccard, pii, quality_rules, sharding, token_counts
 from annotide.llm import queries as llm_queries
 from annotide.llm._common import documents
 from tests.llm import brute
@@ -540,6 +541,73 @@ def test_keys_of_lines_go_in_packed_buckets(monkeypatch, held_rows):
     assert many == {r for k in met if len(want[k]) > 12 for r in want[k]} and many
 
 
+def star_rows(stars: dict[int, list[tuple[int, str]]]) -> pa.Table:
+    """Rows as _verified takes them: in the order of at, those of the line that id is at first."""
+    rows = [(at, i, f"{at}-{i}-{k}".encode(), s) for at in sorted(stars) for k, (i, s) in enumerate(sorted(stars[at], key=lambda r: r[0] != at))]
+    return pa.table([pa.array(c) for c in zip(*rows)], ["at", "id", "lid", "line"])
+
+
+@pytest.mark.parametrize("verified_bytes", [1, 500, 1 << 22])
+def test_stars_of_lines_are_verified_in_portions(monkeypatch, verified_bytes):
+    """A line meets all that it may be near, whatever portions of its group these come in."""
+    monkeypatch.setattr(line_dedup, "VERIFIED_BYTES", verified_bytes)
+    monkeypatch.setattr(line_dedup, "TESTED_PAIRS", 3)
+    monkeypatch.setattr(line_dedup, "COUNTED_CHARS", 70)
+    rng = np.random.default_rng(31)
+
+    def near(s: str, n: int) -> str:
+        s = list(s)
+        for k in rng.integers(0, len(s), n):
+            s[k] = "q"
+        return "".join(s)
+
+    base = ["".join(rng.choice(list("abcdefgh "), 60)) for _ in range(4)]
+    stars = {at: [(at, b), *((at + 1 + k, near(b, k % 7)) for k in range(40))] for at, b in zip((100, 200, 300, 400), base)}
+    stars[200].insert(7, (200, near(base[1], 2)))  # two lines of one short id
+    stars[500] = [(500, base[0])]
+    t = star_rows(stars)
+    lid, ids, at, lines = (t.column(c).to_pylist() for c in ("lid", "id", "at", "line"))
+    want = {frozenset((lid[i], lid[j])) for i in range(len(ids)) for j in range(len(ids)) if i != j and ids[i] == at[i] == at[j] and brute.edit_distance(lines[i], lines[j]) <= 3}
+    got = [frozenset(p) for b in line_dedup._verified(8, 5)(t.to_batches(max_chunksize=13)) for p in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    assert set(got) == want and len(want) > 80
+
+
+def test_memory_of_verifying_long_lines_is_bounded():
+    rng = np.random.default_rng(37)
+    text = "".join(rng.choice(list("abcdefghijklmnop "), 100_000))
+    t = star_rows({1: [(1 + k, text[(at := int(rng.integers(99_000))) : at + 700]) for k in range(12_000)]}).combine_chunks()
+    tracemalloc.start()
+    try:
+        for _ in line_dedup._verified(8, 5)(t.to_batches()):
+            pass
+        assert tracemalloc.get_traced_memory()[1] < 120e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_pairs_of_a_large_group_come_in_portions():
+    at, own = np.array([0, 700, 702, 705, 1705]), np.arange(1705) % 2
+    zero, one = np.zeros(1705, np.int32), np.ones(1705, np.int32)
+    for hi in (zero, one):
+        want = {(i, j) for a, z in zip(at, at[1:]) for i in range(a, z) for j in range(i + 1, z) if hi is zero or own[i] != own[j]}
+        got = list(_blocks.pairs_of(at, zero, hi, own, at_most=5000))
+        assert max(len(x) for x, _ in got) <= 10_000
+        pairs = [tuple(sorted(p)) for x, y in got for p in zip(x.tolist(), y.tolist())]
+        assert len(pairs) == len(want) and set(pairs) == want
+    got = [p for x, y in line_dedup._pairs_within(np.array([3, 200]), np.array([3, 40])) for p in zip(x.tolist(), y.tolist())]
+    assert sorted(got) == [(i, j) for a, n, k in ((0, 3, 3), (3, 200, 40)) for i in range(a, a + k) for j in range(i + 1, a + n)]
+
+
+def test_groups_of_long_rows_come_in_bounded_tables(monkeypatch):
+    monkeypatch.setattr(_blocks, "PORTION_BYTES", 4000)
+    groups = [1] * 5 + [2] * 90 + [3] * 40 + [4] * 65
+    t = pa.table([pa.array(groups), pa.array(["x" * 100] * 200)], ["g", "s"])
+    got = list(_blocks.whole_groups(t.to_batches(), ["g"]))
+    assert sum((t.column("g").to_pylist() for t, _ in got), []) == groups
+    assert all(len(set(t.column("g").to_pylist()[a:z])) == 1 for t, at in got for a, z in zip(at, at[1:])) and sum(len(at) - 1 for _, at in got) == 4
+    assert max(t.num_rows for t, _ in got) < 200
+
+
 def test_lines_are_numbered_as_python_splits_them(monkeypatch):
     monkeypatch.setattr(line_dedup, "PORTION_CHARS", 9)
     texts = ["", "a\n\n b ", "\n", "é\t\n xx\x0b\x0c\r\n日本語 \n", "q"]

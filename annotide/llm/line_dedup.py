@@ -26,10 +26,11 @@ from annotide.llm._blocks import Test, _all_pairs, group_links, links_within, sp
 from annotide.llm._common import Store, connected_components, keep_possible, own_names, plain_names, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
-BINS = 27  # of three bits in a line's sketch
+BINS = 21  # of two bits in the sketch of each end of a line
 # of a row's three numbers, the key's lowest 16 bits hold whether it is indexed and the line's length, the id's lowest 20
-# the first 6 bins, and the third all others
-KEY_BITS, ID_BITS, ID_BINS = 16, 20, 6
+# the first 10 bins, and the third all others
+KEY_BITS, ID_BITS, ID_BINS = 16, 20, 10
+LEAST_GRAM = 9
 PER_BLOCK = 2048
 BLOCK_BYTES = 1 << 22
 PORTION_CHARS = 1 << 20
@@ -42,10 +43,6 @@ HELD_ROWS = 1 << 21
 _ONE = np.uint64(1)
 _P = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 _P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_UNITS = np.uint64(sum(1 << at for at in range(0, 64, 6)))
-_COUNTS, _ABOVE = _UNITS * np.uint64(7), _UNITS << np.uint64(3)
-_WIDE_UNITS = np.uint64(sum(1 << at for at in range(0, 60, 12)))
-_WIDE = np.uint64(sum(0x3F << at for at in range(0, 60, 12)) | 0xF << 60)
 
 
 def edits(length, threshold: int, percent: int):
@@ -87,9 +84,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
-    """A hash for every window of size code points: its least k-gram's, with k about half the size, and 6 or more if
-    the size allows it. Equal windows have equal hashes wherever they stand, and neighbours often the same one."""
-    k = max(min(size, 6), (size + 1) // 2)
+    """A hash for every window of size code points: its least k-gram's, with k about half the size, and LEAST_GRAM or more
+    if the size allows it. Equal windows have equal hashes wherever they stand, and neighbours often the same one."""
+    k = max(min(size, LEAST_GRAM), (size + 1) // 2)
     n = len(codes)
     up, down = _powers(1 << int(n).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + _ONE) * up[:n])])
@@ -102,13 +99,10 @@ def window_hashes(codes: np.ndarray, size: int) -> np.ndarray:
     return least
 
 
-def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Line number, key, and whether the line is indexed under it or only probes it; a key seldom comes twice for a line.
-
-    Of the segment i of most + 1, the shifts from -i to i are probed in front, and from i - most to most - i at the back.
-    """
+def _class_keys(lines: list[str], threshold: int, percent: int, least: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each class of lengths: the lines in its reach, their number, the key, and whether it is indexed; then the
+    code points of the lines in reach and half the class's least length."""
     size = np.array([len(s) for s in lines], np.int64)
-    owners, keys, indexed = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
     for number, (lo, hi, most) in enumerate(length_classes(threshold, percent, least, int(size.max(initial=0)))):
         who = np.nonzero((size >= lo) & (size - most < hi))[0]
         if not len(who):
@@ -117,7 +111,9 @@ def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: in
         start = np.cumsum(n) - n
         own = n < hi
         z = lo // (most + 1)
-        windows = window_hashes(np.frombuffer("".join([lines[w] for w in who]).encode("utf-32-le", "replace"), np.uint32), z)
+        codes = np.frombuffer("".join([lines[w] for w in who]).encode("utf-32-le", "replace"), np.uint32)
+        windows = window_hashes(codes, z)
+        owners, keys, indexed = [], [], []
         for i in range(most + 1):
             front = 2 * i <= most
             reach = i if front else most - i
@@ -130,54 +126,68 @@ def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: in
             np.not_equal(found[1:], found[:-1], out=new[1:])
             # values are hashes already; segments of classes are told apart
             keys.append((found[new] ^ _mix(np.array([number * 64 + i + 1], np.uint64))).view(np.int64))
-            owners.append(np.broadcast_to(who, found.shape)[new])
+            owners.append(np.broadcast_to(np.arange(len(who)), found.shape)[new])
             indexed.append((own & (found == found[reach]))[new])
-    return np.concatenate(owners), np.concatenate(keys), np.concatenate(indexed)
+        yield who, np.concatenate(owners), np.concatenate(keys), np.concatenate(indexed), codes, lo // 2
 
 
-def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Length (15 bits; all longer ones as one, above a free bit), and character counts modulo 8 in the first ID_BINS and
-    in the other bins."""
-    size = np.array([len(s) for s in lines], np.int64)
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+def segment_keys(lines: list[str], threshold: int, percent: int = 100, least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Line number, key, and whether the line is indexed under it or only probes it; a key seldom comes twice for a line.
+
+    Of the segment i of most + 1, the shifts from -i to i are probed in front, and from i - most to most - i at the back.
+    """
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool))]
+    found += [(who[owner], key, indexed) for who, owner, key, indexed, *_ in _class_keys(lines, threshold, percent, least)]
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _end_counts(codes: np.ndarray, size: np.ndarray, half: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of characters in the first half and the last half code points of each line, modulo 4, by bins; each as a
+    Gray code, so that two counts differ in as many bits as they lie apart. The first ID_BINS, and the other bins."""
     bin_of = ((codes * np.uint32(0x9E3779B1)) >> np.uint32(16)) * np.uint32(BINS) >> np.uint32(16)  # neighbours in the alphabet lie apart
-    counts = np.bincount(np.repeat(np.arange(len(lines)), size) * BINS + bin_of, minlength=len(lines) * BINS).reshape(-1, BINS) & 7
-    few, many = counts[:, :ID_BINS], counts[:, ID_BINS:]
-    return np.minimum(size, 0x7FFF) << 1, (few << (3 * np.arange(ID_BINS))).sum(1), (many << (3 * np.arange(BINS - ID_BINS))).sum(1)
+    end = np.cumsum(size)
+    row = np.arange(len(size))[:, None] * (2 * BINS)
+    inside = np.arange(half)
+    counts = np.bincount((row + bin_of[(end - size)[:, None] + inside]).ravel(), minlength=len(size) * 2 * BINS)
+    counts += np.bincount((row + BINS + bin_of[(end - half)[:, None] + inside]).ravel(), minlength=len(size) * 2 * BINS)
+    counts = (counts & 3).astype(np.uint64).reshape(-1, 2 * BINS)
+    bits = (counts ^ (counts >> _ONE)) << (2 * np.concatenate([np.arange(ID_BINS), np.arange(2 * BINS - ID_BINS)])).astype(np.uint64)
+    return bits[:, :ID_BINS].sum(1).view(np.int64), bits[:, ID_BINS:].sum(1).view(np.int64)
 
 
-def _moved_counts(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Sum of the differences of counts modulo 8, three bits each, in words x and y: every other count has three bits
-    to spare, so that all of a word are subtracted at once."""
-    moved = np.zeros(len(x), np.uint64)
-    for shift in (np.uint64(0), np.uint64(3)):
-        apart = (((x >> shift) & _COUNTS | _ABOVE) - ((y >> shift) & _COUNTS)) & _COUNTS
-        over = (apart >> np.uint64(2)) & _UNITS  # 4 to 7 stand for -4 to -1
-        moved += (apart ^ (over * np.uint64(7))) + over
-    moved = (moved & _WIDE) + ((moved >> np.uint64(6)) & _WIDE)
-    return ((moved * _WIDE_UNITS >> np.uint64(48)) & np.uint64(0xFFF)) + (moved >> np.uint64(60))
+def sketches(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length (15 bits; all longer ones as one, above a free bit), and counts of the ends of lines, as long as half the
+    shortest one."""
+    size = np.array([len(s) for s in lines], np.int64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "replace"), np.uint32)
+    return np.minimum(size, 0x7FFF) << 1, *_end_counts(codes, size, int(min(size, default=0)) // 2)
 
 
 def like_sketches(key: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: int, percent: int) -> Test:
     """The test whether two rows of lines, one of them indexed under the key where they meet, may be within the edits allowed."""
     indexed, size = (key & 1).astype(bool), ((key >> 1) & 0x7FFF).astype(np.int16)
     allowed = edits(size.astype(np.int64), threshold, percent).astype(np.int16)  # grows with the length, so the shorter line has the least
-    few, many = (ids & ((1 << 3 * ID_BINS) - 1)).astype(np.uint64), sketch.astype(np.uint64)
+    few = ids & ((1 << 2 * ID_BINS) - 1)
 
     def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
         most = np.minimum(allowed[x], allowed[y])
         ok = np.nonzero((indexed[x] | indexed[y]) & (np.abs(size[x] - size[y]) <= most))[0]
-        # an edit changes two counts by one at most
-        moved, most = _moved_counts(many[x[ok]], many[y[ok]]), 2 * most[ok].astype(np.uint64)
+        # the ends of a line don't overlap; an edit falls into one of them or between, and there changes two counts by one
+        # at most: its own character's and that of the one which it moves over the border
+        moved, most = _bits_apart(sketch[x[ok]], sketch[y[ok]]), 2 * most[ok]
         near = moved <= most
         ok, moved, most = ok[near], moved[near], most[near]
         out = np.zeros(len(x), bool)
-        out[ok] = moved + _moved_counts(few[x[ok]], few[y[ok]]) <= most
+        out[ok] = moved + _bits_apart(few[x[ok]], few[y[ok]]) <= most
         return out
 
     return test
 
 
+def _bits_apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int16)
+
+
 def banded_distance(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray, band: int) -> np.ndarray:
     """Edit distances of columns a[:n[i], i] and b[:m[i], i], m[i] from n[i] - band to n[i], in step over all columns;
     exact up to band, above it only known to be above. One 64-bit word per pair holds the vertical differences of the
@@ -260,6 +270,36 @@ def within(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, threshold: int
     return out
 
 
+def cuts_allow(lines: list[np.ndarray], x: np.ndarray, y: np.ndarray, most: np.ndarray, bins: int = 32) -> np.ndarray:
+    """Which pairs of lines x[i], y[i] may be most[i] edits or fewer apart: cut anywhere, so that the characters before the
+    cut are counted from the start and those behind it from the end, their counts differ by two for each edit at most.
+    Lines are cut into eighths of their length in whole 32 characters; shorter ones, and pairs of other lengths, may all be."""
+    size = np.array([len(s) for s in lines], np.int64)
+    base = size // 32 * 32
+    who = np.nonzero(base >= 64)[0]
+    at = np.cumsum(base >= 64) - 1
+    front, back = np.zeros((2, len(who), 7, bins), np.uint8)
+    for a, z in spans(size[who], COUNTED_CHARS):
+        n = size[who[a:z]]
+        row = np.repeat(np.arange(z - a), n)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        bin_of = (np.concatenate([lines[w] for w in who[a:z]]) * np.uint32(0x9E3779B1) >> np.uint32(16)) * np.uint32(bins) >> np.uint32(16)
+        length = base[who[a:z]][row]
+        for out, from_end in ((front, place), (back, n[row] - 1 - place)):
+            inside = from_end < length
+            part = (row[inside] * 8 + from_end[inside] * 8 // length[inside]) * bins + bin_of[inside]
+            out[a:z] = np.bincount(part, minlength=(z - a) * 8 * bins).reshape(-1, 8, bins).cumsum(1)[:, :7] & 255
+    ok = np.ones(len(x), bool)
+    cut = np.nonzero((base[x] == base[y]) & (base[x] >= 64))[0]
+    for k in (3, 1, 5, 0, 2, 4, 6):
+        i, j = at[x[cut]], at[y[cut]]
+        moved = sum(np.abs((c[i, e] - c[j, e]).view(np.int8)).sum(1, dtype=np.int16) for c, e in ((front, k), (back, 6 - k)))
+        near = moved <= 2 * most[cut]
+        ok[cut[~near]] = False
+        cut = cut[near]
+    return ok
+
+
 def like_pairs(lines: list[np.ndarray], threshold: int, percent: int, bins: int = 64) -> Test:
     """The test whether lines are within the edits allowed: pairs whose counts of two-character strings (hashed to bins)
     differ by more than the edits can explain are not compared."""
@@ -282,7 +322,9 @@ def like_pairs(lines: list[np.ndarray], threshold: int, percent: int, bins: int
         out = np.zeros(len(x), bool)
         if len(maybe):
             used, at = np.unique(np.concatenate([x[maybe], y[maybe]]), return_inverse=True)
-            out[maybe] = within([lines[i] for i in used], at[: len(maybe)], at[len(maybe) :], threshold, percent)
+            some, x, y = [lines[i] for i in used], at[: len(maybe)], at[len(maybe) :]
+            left = cuts_allow(some, x, y, most[maybe])
+            out[maybe[left]] = within(some, x[left], y[left], threshold, percent)
         return out
 
     def test(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -369,12 +411,13 @@ def _keyed(threshold: int, percent: int, least: int, buckets: int):
                 new, ids = seen.new(lines)
                 if not ids:
                     continue
-                lines = new.to_pylist()
-                owner, key, indexed = segment_keys(lines, threshold, percent, least)
-                size, few, many = sketches(lines)
-                key = key >> KEY_BITS << KEY_BITS | size[owner] | indexed
-                held.append((owner + n_lines, key, short_ids(ids) | few, many))
-                n, n_lines = n + len(key), n_lines + len(ids)
+                lines, ids = new.to_pylist(), short_ids(ids)
+                length = np.array([len(s) for s in lines], np.int64)
+                for who, owner, key, indexed, codes, half in _class_keys(lines, threshold, percent, least):
+                    few, many = _end_counts(codes, length[who], half)
+                    key = key >> KEY_BITS << KEY_BITS | np.minimum(length[who], 0x7FFF)[owner] << 1 | indexed
+                    held.append((owner + n_lines, key, ids[who] | few, many))
+                    n, n_lines = n + len(key), n_lines + len(who)
                 if n >= PACKED_ROWS:
                     yield _packed(held, buckets)
                     held, n, n_lines = [], 0, 0
@@ -480,7 +523,7 @@ def group_candidates(at: np.ndarray, indexed: np.ndarray, test: Test, dense: int
     copies = np.zeros(len(sizes), bool)
     for g in np.nonzero(sizes > 4 * dense)[0]:
         others = np.arange(at[g] + 1, at[g + 1])
-        copies[g] = 2 * test(np.full(len(others), at[g]), others).sum() > len(others)
+        copies[g] = test(np.full(len(others), at[g]), others).sum() > max(2 * dense, len(others) // 8)
     rest = ~copies & (sizes > 1)
     rows = np.nonzero(np.repeat(rest, sizes))[0]
     found = np.zeros(len(sizes), np.int64)
@@ -565,7 +608,7 @@ def _fetched(least: int):
     return run
 
 
-def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100, in_task: int = 2048) -> DataFrame:
+def line_classes(store: Store, rows: DataFrame, places: DataFrame, threshold: int, edit_chars: int = 0, percent: int = 100, in_task: int = 1 << 14) -> DataFrame:
     """lid, root (the class's least lid) of every line whose class holds more than one line.
 
     rows: doc_id, dh, text. Groups of a key up to in_task lines are compared where they meet, larger ones in blocks.
